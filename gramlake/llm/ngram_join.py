@@ -5,9 +5,10 @@
 2. Shingles are ordered by their counter, rare ones first. Two sets that reach the threshold share a shingle among the
    first n - ceil(t n) + 1 of each, so only those become postings, each with the set's size; a set's bitmap (its shingles'
    parity over 2048 bits) is kept beside.
-3. A bucket's rows of fitting size are tiles. First each row meets only its bucket's smallest id. The bitmaps' differing bits
+3. A bucket is cut into size bands: in order of size, wherever two neighbours' sizes alone rule a link out. First each row
+   meets only its band's smallest id. The bitmaps' differing bits
    bound the overlap from above; sorted arrays decide what is left. The links' components are labelled.
-4. Then all pairs of a bucket whose labels still differ are compared, in tiles of bounded size, and the components finished.
+4. Then all pairs of a band whose labels still differ are compared, in tiles of bounded size, and the components finished.
    A pair within one component needs no look: its link would change nothing.
 No step emits all pairs of a group, no cap drops one, and no table of nodes or links reaches the driver.
 """
@@ -210,20 +211,22 @@ class NgramJoin:
         sets = written(rows.where("n > 0 and id is not null").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.min("n").alias("n")), "nodes")
         made = written(self.prefixes(level).join(sets.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), "prefixes")
         bits = made.select("id", "bits")
-        w = Window.partitionBy("key")
-        post = made.select("id", "n", F.explode("keys").alias("key"))
-        first = F.min(F.struct("id", "n")).over(w)
-        hits = written(post.select("key", "id", "n", F.count("*").over(w).alias("_c"), first.alias("f")).where("_c > 1").select("key", "id", "n", F.col("f.id").alias("a"), F.col("f.n").alias("na")), "hits")
+        by_size, segment = Window.partitionBy("key").orderBy("n", "id"), Window.partitionBy("key", "seg")
+        apart = F.coalesce(F.lag("n").over(by_size) * den < F.col("n") * num, F.lit(False)).cast("int")
+        post = made.select("id", "n", F.explode("keys").alias("key")).withColumn("apart", apart)
+        post = post.withColumn("seg", F.sum("apart").over(by_size.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
+        first = F.min(F.struct("id", "n")).over(segment)
+        hits = post.select("key", "seg", "id", "n", F.count("*").over(segment).alias("_c"), first.alias("f")).where("_c > 1")
+        hits = written(hits.select("key", "seg", "id", "n", F.col("f.id").alias("a"), F.col("f.n").alias("na")), "hits")
         star = hits.where("id <> a").where(self.like_sized("n", "na")).select("a", "na", F.col("id").alias("b"), F.col("n").alias("nb")).distinct()
         links = self.verified(written(self.bounded(star, bits), "pairs"))
         label = written(components(links), "labels")
 
-        seen = hits.select("key", "id", "n").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        mixed = seen.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-        open_hits = seen.join(mixed, "key", "left_semi").join(bits, "id")
+        seen = hits.select("key", "seg", "id", "n").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        spread = seen.select("*", F.min("component").over(segment).alias("lo"), F.max("component").over(segment).alias("hi")).where("lo <> hi").drop("lo", "hi")
 
         def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for t in tiles_in_turn(batches, ["key", "t1", "t2"]):
+            for t in tiles_in_turn(batches, ["key", "seg", "t1", "t2"]):
                 n, c, i, side = (t.column(x).to_numpy() for x in ("n", "component", "id", "side"))
                 u = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(len(n), -1)
                 for k in range(len(n) - 1):
@@ -241,8 +244,8 @@ class NgramJoin:
                     if len(j):
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i[j], i[k])), pa.array(np.maximum(i[j], i[k]))], ["a", "b"])
 
-        tiled = tiles(open_hits, ["key"]).select("key", "t1", "t2", "side", "id", "n", "component", "bits")
-        met = tiled.repartition("key", "t1", "t2").sortWithinPartitions("key", "t1", "t2").mapInArrow(meet, "a long, b long")
+        tiled = tiles(spread, ["key", "seg"]).join(bits, "id").select("key", "seg", "t1", "t2", "side", "id", "n", "component", "bits")
+        met = tiled.repartition("key", "seg", "t1", "t2").sortWithinPartitions("key", "seg", "t1", "t2").mapInArrow(meet, "a long, b long")
         pairs = written(met.distinct(), "pairs")
         more = self.verified(pairs)
         final = components(links.unionByName(more))
