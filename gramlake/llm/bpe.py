@@ -11,50 +11,60 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from itertools import chain, filterfalse
+
+import numpy as np
 
 SAFE = re.compile(r"(?<=\S)(?= \S)")
 TAIL = ".,!?;:"
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 19
+ALNUM = frozenset("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 
 class Memo(dict):
-    """piece -> ids as little-endian integers of a fixed width."""
+    """word -> ids (little-endian integers of a fixed width) of `prefix` and the word."""
 
     def __init__(self, owner: PieceEncoder, prefix: str):
         super().__init__()
         self.owner, self.prefix, self.old = owner, prefix, {}
 
-    def learn(self, pieces: set[str]) -> None:
-        if len(self) + len(pieces) > self.owner.limit:
-            self.old = dict(self)
+    def turn(self) -> None:
+        """Between batches: a full generation becomes the old one."""
+        if len(self) > self.owner.limit:
+            self.old = self.copy()
             self.clear()
-        old, todo, split = self.old, [], []
-        for p in pieces:
-            if p in old:
-                self[p] = old[p]
+
+    def learn(self, words: set[str]) -> None:
+        old, alone, ended, cores = self.old, [], [], set()
+        for w in words:
+            if (known := old.get(w)) is not None:
+                self[w] = known
+                continue
+            core = w.rstrip(TAIL)
+            if len(core) != len(w) and core[-1:] in ALNUM and core:
+                ended.append((w, core))
+                cores.add(core)
+            else:
+                alone.append(w)
+        listed = set(alone)
+        for c in cores:
+            if c in self or c in listed:
                 continue
-            core = p.rstrip(TAIL)
-            if core != p and core and core[-1].isascii() and core[-1].isalnum():
-                split.append((p, core, p[len(core):]))
+            if (known := old.get(c)) is not None:
+                self[c] = known
             else:
-                todo.append(p)
-        more = {c for _, c, _ in split if c not in self}
-        todo += [c for c in more.difference(todo)]
-        plain = self.owner.plain
-        tails = [t for t in {t for _, _, t in split} if t not in plain]
-        pre = self.prefix
-        for p, ids in zip(todo, self.owner.encode([pre + p for p in todo]), strict=True):
-            self[p] = ids
-        for t, ids in zip(tails, self.owner.encode(tails), strict=True):
-            plain[t] = ids
-        for p, core, t in split:
-            self[p] = self[core] + plain[t]
+                alone.append(c)
+        for w, ids in zip(alone, self.owner.words(alone, self.prefix), strict=True):
+            self[w] = ids
+        tail = self.owner.tail
+        for w, core in ended:
+            self[w] = self[core] + tail(w[len(core):])
 
 
 class PieceEncoder:
     """ids of whole texts through one tokenizers file.
 
-    spaces: "kept" for byte-level vocabularies (a piece's leading space is part of it), "dropped" for vocabularies whose
+    spaces: "kept" for byte-level vocabularies (a word's leading space is part of it), "dropped" for vocabularies whose
     pre-tokenizer removes white space. width: bytes an id takes in the returned buffers (2 or 4).
     """
 
@@ -69,10 +79,13 @@ class PieceEncoder:
         self.tk.no_padding()
         self.width, self.code, self.limit, self.kept = width, "H" if width == 2 else "I", limit, spaces == "kept"
         assert width == 4 or self.tk.get_vocab_size() <= 1 << 16
-        self.plain: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
         self.first = Memo(self, "")
         self.rest = Memo(self, " ") if self.kept else self.first
-        self.newline = self.encode(["\n"])[0] if self.kept else b""
+        # Between words that are encoded in one call stands a separator of one id, a word of its own wherever it stands.
+        self.between = "\n" if self.kept else " | "
+        self.mark = self.tk.encode(self.between, add_special_tokens=False).ids
+        self.newline = self.encode(["\n"])[0]
 
     @classmethod
     def get(cls, *key) -> PieceEncoder:
@@ -82,9 +95,27 @@ class PieceEncoder:
         return cls._made[key]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out, code = [], self.code
-        for k in range(0, len(texts), 20_000):
-            out += [array(code, x.ids).tobytes() for x in self.tk.encode_batch_fast(texts[k : k + 20_000], add_special_tokens=False)]
+        return [array(self.code, x.ids).tobytes() for x in self.tk.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def tail(self, text: str) -> bytes:
+        if text not in self.tails:
+            if len(self.tails) > 50_000:
+                self.tails.clear()
+            self.tails[text] = self.encode([text])[0]
+        return self.tails[text]
+
+    def words(self, words: list[str], prefix: str) -> list[bytes]:
+        """ids of each of many words (without white space inside), 500 to a string of the batch."""
+        groups = [[prefix + w for w in words[k : k + 500]] for k in range(0, len(words), 500)]
+        out: list[bytes] = []
+        for group, got in zip(groups, self.tk.encode_batch_fast([self.between.join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(got.ids, f"<u{self.width}")
+            cuts = np.flatnonzero(ids == self.mark[0]).tolist() if len(self.mark) == 1 else []
+            if len(cuts) != len(group) - 1:  # a word holds the separator
+                out += self.encode(group)
+                continue
+            buffer, w = ids.tobytes(), self.width
+            out += [buffer[a * w : b * w] for a, b in zip([0, *(c + 1 for c in cuts)], [*cuts, len(ids)], strict=True)]
         return out
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
@@ -100,38 +131,31 @@ class PieceEncoder:
         return out + self._batch(batch)
 
     def _batch(self, texts: list[str]) -> list[bytes]:
-        cut, seen_first, seen_rest = [], set(), set()
+        self.first.turn()
+        self.rest.turn()
+        cut, heads = [], set()
         for t in texts:
             flat = t.replace("\n", " ")
             parts = flat.split(" ")
             if parts != flat.split():  # other or repeated white space, or none but it
-                pieces = SAFE.split(t) if t else []
-                cut.append((False, pieces))
-            elif self.kept:
-                lines = [x.split(" ") for x in t.split("\n")]
-                seen_first.update(x[0] for x in lines)
-                for x in lines:
-                    seen_rest.update(x[1:])
-                cut.append((True, lines))
-            else:
-                seen_first.update(parts)
-                cut.append((True, parts))
-        if new := seen_first - self.first.keys():
+                cut.append((False, SAFE.split(t) if t else []))
+                continue
+            if self.kept and "\n" in t:  # the words at a line's start keep the line feed
+                parts = t.replace("\n", " \n").split(" ")
+            heads.add(parts[0])
+            cut.append((True, parts))
+        if new := set(filterfalse(self.first.__contains__, heads)):
             self.first.learn(new)
-            if lost := seen_first - self.first.keys():
-                self.first.learn(lost)
-        if self.kept and (new := seen_rest - self.rest.keys()):
-            self.rest.learn(new)
-            if lost := seen_rest - self.rest.keys():
-                self.rest.learn(lost)
-        first, rest, out = self.first.__getitem__, self.rest.__getitem__, []
-        for regular, x in cut:
-            if not regular:
-                out.append(b"".join(self.encode(x)))
-            elif self.kept:
-                out.append(self.newline.join(first(y[0]) + b"".join(map(rest, y[1:])) for y in x))
+        known = self.rest.__contains__
+        if new := set(filterfalse(known, chain.from_iterable(x[1:] for regular, x in cut if regular))):
+            if self.kept:
+                lines = {w for w in new if w[0] == "\n"}
+                if starts := {w[1:] for w in lines if w[1:] not in self.first}:
+                    self.first.learn(starts)
+                self.rest.learn(new - lines)
+                for w in lines:
+                    self.rest[w] = self.newline + self.first[w[1:]]
             else:
-                out.append(b"".join(map(first, x)))
-        if len(self.plain) > 50_000:
-            self.plain.clear()
-        return out
+                self.rest.learn(new)
+        first, rest = self.first.__getitem__, self.rest.__getitem__
+        return [(first(x[0]) + b"".join(map(rest, x[1:])) if regular else b"".join(self.encode(x))) for regular, x in cut]
