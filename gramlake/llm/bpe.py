@@ -11,13 +11,17 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from itertools import chain, filterfalse
-
-import numpy as np
+from itertools import filterfalse
+from operator import attrgetter
+from unicodedata import is_normalized
 
 SAFE = re.compile(r"(?<=\S)(?= \S)")
 TAIL = ".,!?;:"
 BATCH_BYTES = 1 << 19
+#: The byte alphabet of byte-level vocabularies: printable bytes stand for themselves, the others for the characters from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+ALPHABET = {chr(b): chr(b) for b in _PRINTABLE} | {chr(b): chr(256 + k) for k, b in enumerate(sorted({*range(256)}.difference(_PRINTABLE)))}
+ALPHABET_MAP = str.maketrans(ALPHABET)
 ALNUM = frozenset("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 
@@ -70,7 +74,7 @@ class PieceEncoder:
 
     _made: dict[tuple, PieceEncoder] = {}
 
-    def __init__(self, path: str, spaces: str, width: int, limit: int = 500_000):
+    def __init__(self, path: str, spaces: str, width: int, limit: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -82,9 +86,6 @@ class PieceEncoder:
         self.tails: dict[str, bytes] = {}
         self.first = Memo(self, "")
         self.rest = Memo(self, " ") if self.kept else self.first
-        # Between words that are encoded in one call stands a separator of one id, a word of its own wherever it stands.
-        self.between = "\n" if self.kept else " | "
-        self.mark = self.tk.encode(self.between, add_special_tokens=False).ids
         self.newline = self.encode(["\n"])[0]
 
     @classmethod
@@ -105,17 +106,28 @@ class PieceEncoder:
         return self.tails[text]
 
     def words(self, words: list[str], prefix: str) -> list[bytes]:
-        """ids of each of many words (without white space inside), 500 to a string of the batch."""
-        groups = [[prefix + w for w in words[k : k + 500]] for k in range(0, len(words), 500)]
-        out: list[bytes] = []
-        for group, got in zip(groups, self.tk.encode_batch_fast([self.between.join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(got.ids, f"<u{self.width}")
-            cuts = np.flatnonzero(ids == self.mark[0]).tolist() if len(self.mark) == 1 else []
-            if len(cuts) != len(group) - 1:  # a word holds the separator
-                out += self.encode(group)
+        """ids of each of many words without white space inside.
+
+        A word of letters is one piece for the pre-tokenizer, so the library's BPE model takes it at once, written in the
+        byte alphabet (where white space is dropped: in lower case, and only if composed already). The others go through
+        the whole library, in one batch."""
+        out: list[bytes | None] = []
+        lead, kept, merge, code, ids, rest = ALPHABET[prefix] if prefix else "", self.kept, self.tk.model.tokenize, self.code, attrgetter("id"), []
+        for k, w in enumerate(words):
+            if not w.isalpha():
+                out.append(None)
+                rest.append(k)
                 continue
-            buffer, w = ids.tobytes(), self.width
-            out += [buffer[a * w : b * w] for a, b in zip([0, *(c + 1 for c in cuts)], [*cuts, len(ids)], strict=True)]
+            if not kept:
+                low = w.lower()
+                if not w.isascii() and (len(low) != len(w) or max(w) > "\u017f" or not is_normalized("NFC", w)):
+                    out.append(None)
+                    rest.append(k)
+                    continue
+                w = low
+            out.append(array(code, map(ids, merge(lead + (w if w.isascii() else w.encode().decode("latin-1").translate(ALPHABET_MAP))))).tobytes())
+        for k, got in zip(rest, self.encode([prefix + words[k] for k in rest]), strict=True):
+            out[k] = got
         return out
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
@@ -133,29 +145,43 @@ class PieceEncoder:
     def _batch(self, texts: list[str]) -> list[bytes]:
         self.first.turn()
         self.rest.turn()
-        cut, heads = [], set()
+        cut, heads, unknown, get = [], set(), set(), self.rest.get
         for t in texts:
             flat = t.replace("\n", " ")
-            parts = flat.split(" ")
-            if parts != flat.split():  # other or repeated white space, or none but it
-                cut.append((False, SAFE.split(t) if t else []))
+            # Printable texts have no white space but spaces.
+            plain = flat.isprintable() and "  " not in flat and flat[:1] != " " and flat[-1:] != " "
+            if not flat or not plain and flat.split(" ") != flat.split():  # other or repeated white space, or none but it
+                cut.append((None, SAFE.split(t) if t else []))
                 continue
-            if self.kept and "\n" in t:  # the words at a line's start keep the line feed
-                parts = t.replace("\n", " \n").split(" ")
-            heads.add(parts[0])
-            cut.append((True, parts))
+            # The words at a line's start keep the line feed.
+            words = (t.replace("\n", " \n") if self.kept and "\n" in t else flat).split(" ")
+            ids = list(map(get, words))
+            if self.kept:
+                heads.add(words[0])
+                ids[0] = b""
+            if None in ids:
+                lost = [k for k, x in enumerate(ids) if x is None]
+                unknown.update([words[k] for k in lost])
+                cut.append((words, ids, lost))
+            else:
+                cut.append((words, ids, ()))
         if new := set(filterfalse(self.first.__contains__, heads)):
             self.first.learn(new)
-        known = self.rest.__contains__
-        if new := set(filterfalse(known, chain.from_iterable(x[1:] for regular, x in cut if regular))):
+        if unknown:
+            lines = {w for w in unknown if w[0] == "\n"}
+            if starts := {w[1:] for w in lines if w[1:] not in self.first}:
+                self.first.learn(starts)
+            self.rest.learn(unknown - lines)
+            for w in lines:
+                self.rest[w] = self.newline + self.first[w[1:]]
+        out, rest = [], self.rest
+        for words, ids, *lost in cut:
+            if words is None:
+                out.append(b"".join(self.encode(ids)))
+                continue
+            for k in lost[0]:
+                ids[k] = rest[words[k]]
             if self.kept:
-                lines = {w for w in new if w[0] == "\n"}
-                if starts := {w[1:] for w in lines if w[1:] not in self.first}:
-                    self.first.learn(starts)
-                self.rest.learn(new - lines)
-                for w in lines:
-                    self.rest[w] = self.newline + self.first[w[1:]]
-            else:
-                self.rest.learn(new)
-        first, rest = self.first.__getitem__, self.rest.__getitem__
-        return [(first(x[0]) + b"".join(map(rest, x[1:])) if regular else b"".join(self.encode(x))) for regular, x in cut]
+                ids[0] = self.first[words[0]]
+            out.append(b"".join(ids))
+        return out

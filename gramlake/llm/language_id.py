@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_sample, id_crc, table
+from .common import bounded_batches, hash_sample, id_crc, table
 
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 UNKNOWN = "und"
@@ -87,6 +87,7 @@ def fit_profiles(docs: DataFrame, rows: int = FIT_ROWS, size: int = PROFILE, max
 
     n-grams are counted in each partition, the counts summed by Spark, and only the `size` leaders of a language reach the
     driver. More than max_languages languages are refused."""
+    bounded_batches(docs.sparkSession)
     labelled = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null")
     sample = hash_sample(labelled, "doc_id", rows).select("lang", "text")
 

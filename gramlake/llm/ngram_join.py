@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, table, written
+from .common import bounded_batches, bounded_broadcast, table, written
 from .linking import components, tiles, tiles_in_turn
 
 SKETCH_BITS = 20
@@ -39,7 +39,7 @@ class WordHash(dict):
     """word -> 64-bit hash, forgotten beyond a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -86,6 +86,7 @@ class NgramJoin:
     def __init__(self, docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text"):
         self.width, self.num, self.den = width, num, den
         self.spark = docs.sparkSession
+        bounded_batches(docs.sparkSession)
         self.docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
     # Step 1
