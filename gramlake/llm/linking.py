@@ -71,3 +71,36 @@ def tiles_in_turn(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator
         held = rest.to_batches()
     if held:
         yield from runs(pa.Table.from_batches(held).combine_chunks(), True)[0]
+
+
+def whole_runs(batches: Iterator[pa.RecordBatch], key: list[str], rows: int = 1 << 15) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Sorted batches regrouped to tables of about `rows` rows that cut no run of equal `key`, with each row's run end."""
+    held: list[pa.RecordBatch] = []
+
+    def cut(last: bool) -> tuple[pa.Table, np.ndarray, pa.Table]:
+        t = pa.Table.from_batches(held).combine_chunks()
+        change = np.zeros(t.num_rows - 1, bool)
+        for k in key:
+            x = t.column(k).to_numpy()
+            change |= x[1:] != x[:-1]
+        stops = np.append(np.flatnonzero(change) + 1, t.num_rows)
+        if not last:
+            stops = stops[:-1]
+        n = int(stops[-1]) if len(stops) else 0
+        return t.slice(0, n), np.repeat(stops, np.diff(stops, prepend=0)), t.slice(n)
+
+    size, most = 0, rows
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        size += b.num_rows
+        if size >= most:
+            whole, ends, rest = cut(False)
+            if whole.num_rows:
+                yield whole, ends
+            held, size = rest.to_batches(), rest.num_rows
+            most = max(rows, 2 * size)  # a run longer than a table is not looked through again at each batch
+    if held:
+        whole, ends, _ = cut(True)
+        yield whole, ends

@@ -19,10 +19,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table, written
-from .linking import components, tiles, tiles_in_turn
+from .linking import components, tiles, whole_runs
 
 SCALES, POINTS, RADIUS, BITS, TABLES = (1.0, 1.5), 24, 7, 256, 8
 MATCHES, TOLERANCE, NEAR = 6, 2.5, 40
+#: Pixels of images of one shape that are treated at a time (a larger image alone).
+STACK_PIXELS = 1 << 16
 _rng = np.random.default_rng(20)
 TESTS = np.clip(np.rint(_rng.normal(0, RADIUS / 2.2, (BITS, 4))), -RADIUS + 1, RADIUS - 1)
 
@@ -85,59 +87,85 @@ def decode(data: bytes | None) -> np.ndarray | None:
 
 
 def box(a: np.ndarray, r: int) -> np.ndarray:
-    """The mean over a square of side 2r + 1, edges repeated."""
+    """The mean over a square of side 2r + 1 in the last two axes, edges repeated."""
     k = 2 * r + 1
-    for axis in (0, 1):
-        pad = [(0, 0), (0, 0)]
-        pad[axis] = (r + 1, r)
-        s = np.cumsum(np.pad(a, pad, mode="edge"), axis=axis)
-        a = (np.take(s, range(k, s.shape[axis]), axis) - np.take(s, range(s.shape[axis] - k), axis)) / k
-    return a
+    h, w = a.shape[-2:]
+    p = np.pad(a, [(0, 0)] * (a.ndim - 2) + [(r, r), (r, r)], mode="edge")
+    rows = p[..., :h, :].copy()
+    for i in range(1, k):
+        rows += p[..., i : i + h, :]
+    out = rows[..., :w].copy()
+    for i in range(1, k):
+        out += rows[..., i : i + w]
+    out /= k * k
+    return out
 
 
 def resized(a: np.ndarray, factor: float) -> np.ndarray:
-    h, w = (max(1, int(n / factor)) for n in a.shape)
-    y, x = np.minimum((np.arange(h) * factor), a.shape[0] - 1), np.minimum(np.arange(w) * factor, a.shape[1] - 1)
+    h, w = (max(1, int(n / factor)) for n in a.shape[-2:])
+    y, x = np.minimum(np.arange(h) * factor, a.shape[-2] - 1), np.minimum(np.arange(w) * factor, a.shape[-1] - 1)
     y0, x0 = y.astype(int), x.astype(int)
-    y1, x1 = np.minimum(y0 + 1, a.shape[0] - 1), np.minimum(x0 + 1, a.shape[1] - 1)
-    fy, fx = (y - y0)[:, None], (x - x0)[None, :]
-    return (a[y0][:, x0] * (1 - fx) + a[y0][:, x1] * fx) * (1 - fy) + (a[y1][:, x0] * (1 - fx) + a[y1][:, x1] * fx) * fy
-
-
-def keypoints(image: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """(x, y, angle, scale) and 256 bits as 32 bytes of each key point."""
-    places, bits = [], []
-    for scale in SCALES if image is not None else ():
-        a = image if scale == 1.0 else resized(box(image, 1), scale)
+    y1, x1 = np.minimum(y0 + 1, a.shape[-2] - 1), np.minimum(x0 + 1, a.shape[-1] - 1)
+    fy, fx = (y - y0).astype(np.float32)[:, None], (x - x0).astype(np.float32)[None, :]
+    upper, lower = a[..., y0, :], a[..., y1, :]
+    return (upper[..., x0] * (1 - fx) + upper[..., x1] * fx) * (1 - fy) + (lower[..., x0] * (1 - fx) + lower[..., x1] * fx) * fy
+
+
+def stack_points(images: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Key points of images of one shape (n, h, w): image number, (x, y, angle, scale) and 256 bits as 32 bytes of each."""
+    owner, places, bits = [np.zeros(0, np.int64)], [np.zeros((0, 4))], [np.zeros((0, BITS // 8), np.uint8)]
+    images = images.astype(np.float32)
+    span = np.arange(-RADIUS, RADIUS + 1)
+    dy, dx = (v.ravel() for v in np.meshgrid(span, span, indexing="ij"))
+    inside = dy * dy + dx * dx <= RADIUS * RADIUS
+    dy, dx = dy[inside], dx[inside]
+    for scale in SCALES:
+        a = images if scale == 1.0 else resized(box(images, 1), scale)
         m = RADIUS + 3
-        if min(a.shape) <= 2 * m + 2:
+        if min(a.shape[1:]) <= 2 * m + 2:
             continue
         a = box(a, 1)
-        gy, gx = np.gradient(a)
+        gy, gx = np.gradient(a, axis=(1, 2))
         xx, yy, xy = box(gx * gx, 2), box(gy * gy, 2), box(gx * gy, 2)
-        r = xx * yy - xy * xy - 0.05 * (xx + yy) ** 2
-        peak = np.max([np.roll(r, (i, j), (0, 1)) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j], axis=0)
-        ok = (r > peak) & (r > 1.0)
-        ok[:m] = ok[-m:] = ok[:, :m] = ok[:, -m:] = False
-        y, x = np.nonzero(ok)
-        best = np.argsort(-r[y, x], kind="stable")[:POINTS]
-        y, x = y[best], x[best]
-        if not len(y):
+        r = xx * yy - xy * xy - np.float32(0.05) * (xx + yy) ** 2
+        h, w = r.shape[1:]
+        inner = r[:, m : h - m, m : w - m]
+        ok = inner > 1.0
+        for i, j in ((i, j) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j):
+            ok &= inner > r[:, m + i : h - m + i, m + j : w - m + j]
+        n, y, x = np.nonzero(ok)
+        y, x = y + m, x + m
+        if not len(n):
             continue
-        span = np.arange(-RADIUS, RADIUS + 1)
-        dy, dx = (v.ravel() for v in np.meshgrid(span, span, indexing="ij"))
-        inside = dy * dy + dx * dx <= RADIUS * RADIUS
-        dy, dx = dy[inside], dx[inside]
-        patch = a[y[:, None] + dy, x[:, None] + dx]
+        best = np.lexsort((-r[n, y, x], n))
+        best = best[np.arange(len(n)) - np.searchsorted(n, n) < POINTS]  # n is sorted, before and after
+        n, y, x = n[best], y[best], x[best]
+        patch = a[n[:, None], y[:, None] + dy, x[:, None] + dx].astype(float)
         angle = np.arctan2((patch * dy).sum(1), (patch * dx).sum(1))
         c, s = np.cos(angle)[:, None], np.sin(angle)[:, None]
         x1, y1, x2, y2 = (TESTS[:, k][None] for k in range(4))
-        grey = [a[np.clip(np.rint(y[:, None] + s * u + c * v).astype(int), 0, a.shape[0] - 1), np.clip(np.rint(x[:, None] + c * u - s * v).astype(int), 0, a.shape[1] - 1)] for u, v in ((x1, y1), (x2, y2))]
+        grey = [a[n[:, None], np.clip(np.rint(y[:, None] + s * u + c * v).astype(int), 0, h - 1), np.clip(np.rint(x[:, None] + c * u - s * v).astype(int), 0, w - 1)] for u, v in ((x1, y1), (x2, y2))]
+        owner.append(n)
         bits.append(np.packbits(grey[0] < grey[1], axis=1))
         places.append(np.stack([x * scale, y * scale, angle, np.full(len(x), scale)], axis=1))
-    if not places:
-        return np.zeros((0, 4)), np.zeros((0, BITS // 8), np.uint8)
-    return np.concatenate(places), np.concatenate(bits)
+    return np.concatenate(owner), np.concatenate(places), np.concatenate(bits)
+
+
+def keypoints(images: list[np.ndarray | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(x, y, angle, scale) and 256 bits as 32 bytes of each key point, for each image; images of one shape go together."""
+    shapes: dict[tuple, list[int]] = {}
+    for k, image in enumerate(images):
+        if image is not None and image.size:
+            shapes.setdefault(image.shape, []).append(k)
+    out = [(np.zeros((0, 4)), np.zeros((0, BITS // 8), np.uint8))] * len(images)
+    for shape, members in shapes.items():
+        step = max(1, STACK_PIXELS // (shape[0] * shape[1]))
+        for at in range(0, len(members), step):
+            some = members[at : at + step]
+            owner, places, bits = stack_points(np.stack([images[k] for k in some]))
+            for i, k in enumerate(some):
+                out[k] = places[owner == i], bits[owner == i]
+    return out
 
 
 def consensus(p: np.ndarray, q: np.ndarray) -> int:
@@ -159,7 +187,11 @@ def consensus(p: np.ndarray, q: np.ndarray) -> int:
     return best
 
 
-POINT = "struct<x:float,y:float,angle:float,scale:float,bits:binary>"
+def fixed(values: np.ndarray, width: int) -> pa.Array:
+    """Rows of `width` bytes as a binary array."""
+    n = values.nbytes // width
+    offsets = np.arange(n + 1, dtype=np.int32) * np.int32(width)
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
 
 
 def match_media(media: DataFrame, id_col: str, bytes_col: str) -> DataFrame:
@@ -172,17 +204,11 @@ def match_media(media: DataFrame, id_col: str, bytes_col: str) -> DataFrame:
 
     def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(0, b.num_rows, 200):
-                c = b.slice(k, 200)
-                ids, shas, n, xs, bits = [], [], [], [], []
-                for i, sha, data in zip(*(c.column(x).to_pylist() for x in range(3)), strict=True):
-                    p, d = keypoints(decode(data))
-                    ids.append(i)
-                    shas.append(sha)
-                    n.append(len(p))
-                    xs.append(p.astype("<f4").tobytes())
-                    bits.append(d.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(shas, pa.string()), pa.array(n, pa.int64()), pa.array(xs, pa.binary()), pa.array(bits, pa.binary())], ["id", "sha", "n_keypoints", "places", "bits"])
+            for k in range(0, b.num_rows, 50):
+                c = b.slice(k, 50)
+                got = keypoints([decode(data) for data in c.column(2).to_pylist()])
+                n, xs, bits = [len(p) for p, _ in got], [p.astype("<f4").tobytes() for p, _ in got], [d.tobytes() for _, d in got]
+                yield pa.RecordBatch.from_arrays([c.column(0), c.column(1), pa.array(n, pa.int64()), pa.array(xs, pa.binary()), pa.array(bits, pa.binary())], ["id", "sha", "n_keypoints", "places", "bits"])
 
     found = written(keyed.mapInArrow(points, "id long, sha string, n_keypoints long, places binary, bits binary"), "keypoints")
     files = found.where("sha is not null and id is not null").groupBy("sha").agg(F.min("id").alias("rep"))
@@ -190,12 +216,13 @@ def match_media(media: DataFrame, id_col: str, bytes_col: str) -> DataFrame:
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, p, d in zip(*(b.column(x).to_pylist() for x in range(3)), strict=True):
-                place = np.frombuffer(p, "V16")
-                desc = np.frombuffer(d, np.uint32).reshape(-1, TABLES)
+            for k in range(0, b.num_rows, 100):
+                c = b.slice(k, 100)
+                place, bits = (np.frombuffer(b"".join(c.column(x).to_pylist()), kind) for x, kind in ((1, "V16"), (2, np.uint32)))
+                desc = bits.reshape(-1, TABLES)
                 keys = (desc.astype(np.int64) | (np.arange(TABLES, dtype=np.int64) << 32)).ravel()
-                m = len(keys)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(m, i, np.int64)), pa.array([x.tobytes() for x in np.repeat(place, TABLES)], pa.binary()), pa.array([x.tobytes() for x in np.repeat(desc, TABLES, axis=0)], pa.binary())], ["key", "id", "place", "bits"])
+                owner = np.repeat(c.column(0).to_numpy(), [len(x) // 16 * TABLES for x in c.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(owner), fixed(np.repeat(place, TABLES), 16), fixed(np.repeat(desc, TABLES, axis=0), BITS // 8)], ["key", "id", "place", "bits"])
 
     post = reps.select("id", "places", "bits").mapInArrow(spread, "key long, id long, place binary, bits binary")
     w = Window.partitionBy("key")
@@ -209,19 +236,23 @@ def match_media(media: DataFrame, id_col: str, bytes_col: str) -> DataFrame:
     mixed = seen.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in tiles_in_turn(batches, ["key", "t1", "t2"]):
-            i, c, side = (t.column(x).to_numpy() for x in ("id", "component", "side"))
+        # Row k meets row k + step of its tile, for all rows at once. Pairs that agree in several tables leave from the first.
+        for t, ends in whole_runs(batches, ["key", "t1", "t2"]):
+            i, c, side, t1, t2 = (t.column(x).to_numpy() for x in ("id", "component", "side", "t1", "t2"))
+            table_no = t.column("key").to_numpy() >> 32
             u = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(len(i), -1)
-            place = t.column("place").to_pylist()
-            for k in range(len(i) - 1):
-                ok = c[k + 1 :] != c[k]
-                if t.column("t1")[0] != t.column("t2")[0]:
-                    ok &= side[k + 1 :] != side[k]
-                ok &= np.bitwise_count(u[k + 1 :] ^ u[k]).sum(axis=1) <= NEAR
-                j = (np.flatnonzero(ok) + k + 1).tolist()
-                if j:
-                    pairs = [(int(i[k]), int(i[x]), place[k], place[x]) if i[k] < i[x] else (int(i[x]), int(i[k]), place[x], place[k]) for x in j]
-                    yield pa.RecordBatch.from_arrays([pa.array([p[z] for p in pairs], pa.int64() if z < 2 else pa.binary()) for z in range(4)], ["a", "b", "p", "q"])
+            place = np.frombuffer(b"".join(t.column("place").to_pylist()), "V16")
+            k, step = np.arange(len(i)), 1
+            while len(k := k[k + step < ends[k]]):
+                x = k[(c[k] != c[k + step]) & ((t1[k] == t2[k]) | (side[k] != side[k + step]))]
+                apart = u[x] ^ u[x + step]
+                close = np.bitwise_count(apart).sum(axis=1) <= NEAR
+                x, apart = x[close], apart[close]
+                x = x[(apart.view(np.uint32) == 0).argmax(axis=1) == table_no[x]]
+                step, y = step + 1, x + step
+                if len(x):
+                    lo, hi = np.where(i[x] < i[y], x, y), np.where(i[x] < i[y], y, x)
+                    yield pa.RecordBatch.from_arrays([pa.array(i[lo]), pa.array(i[hi]), fixed(place[lo], 16), fixed(place[hi], 16)], ["a", "b", "p", "q"])
 
     tiled = tiles(seen.join(mixed, "key", "left_semi"), ["key"]).select("key", "t1", "t2", "side", "id", "component", "place", "bits")
     more = agreeing(tiled.repartition("key", "t1", "t2").sortWithinPartitions("key", "t1", "t2").mapInArrow(meet, "a long, b long, p binary, q binary"))
@@ -248,12 +279,13 @@ def agreeing(matches: DataFrame) -> DataFrame:
     """The written pairs (a, b) of which MATCHES key points follow one movement."""
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in tiles_in_turn(batches, ["a", "b"]):
-            if t.num_rows < MATCHES:
-                continue
+        for t, ends in whole_runs(batches, ["a", "b"]):
+            stops = np.unique(ends)
+            starts = np.append(0, stops[:-1])
             p, q = (np.frombuffer(b"".join(t.column(x).to_pylist()), "<f4").reshape(-1, 4).astype(float) for x in ("p", "q"))
-            if consensus(p, q) >= MATCHES:
-                yield pa.RecordBatch.from_arrays([t.column("a").chunk(0)[:1], t.column("b").chunk(0)[:1]], ["a", "b"])
+            long = stops - starts >= MATCHES
+            found = [i for i, j in zip(starts[long].tolist(), stops[long].tolist(), strict=True) if consensus(p[i:j], q[i:j]) >= MATCHES]
+            yield pa.RecordBatch.from_arrays([t.column(x).combine_chunks().take(pa.array(found, pa.int64())) for x in ("a", "b")], ["a", "b"])
 
     return written(matches.distinct().repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(vote, "a long, b long"), "links")
 
