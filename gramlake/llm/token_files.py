@@ -21,7 +21,8 @@ from .bpe import PieceEncoder
 from .common import shared_path, table
 
 FILE_SCHEMA = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
-MAX_BATCH_IDS = 4 << 20
+#: Words in a generation of a Python worker's token memo: about 200 bytes each, two generations, whatever the input's size.
+MEMO_WORDS = 1_000_000
 
 
 def write_token_files(docs: DataFrame, out: str, tokenizer: str, end_id: int = 0, parts: int | None = None, id_col: str = "doc_id", text_col: str = "text", stride: int = 1000) -> None:
@@ -31,7 +32,7 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str, end_id: int = 0
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, part, at = PieceEncoder.get(tokenizer, "kept", 4), TaskContext.get().partitionId(), 0
+        enc, part, at = PieceEncoder.get(tokenizer, "kept", 4, MEMO_WORDS), TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u4").tobytes()
         for b in batches:
             for k in range(0, b.num_rows, 500):
