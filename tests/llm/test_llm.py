@@ -8,11 +8,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from gramlake.llm import decontaminate, html_extract, language_id, license_scan, media_match, ngram_join, packing, registry, token_counts, token_files, toxicity
+from gramlake.llm import decontaminate, html_extract, language_id, license_scan, linking, media_match, ngram_join, packing, registry, token_counts, token_files, toxicity
 from gramlake.llm.bpe import PieceEncoder
 
 SF = "/root/testdata/sf0.001"
@@ -208,3 +209,16 @@ def test_pipeline(spark):
 
     rows = corpus_pipeline.run(spark, SF).collect()
     assert 0 < len({r.doc_id for r in rows}) <= 200
+
+
+def test_whole_runs_cut_no_run():
+    rng = np.random.default_rng(3)
+    key = np.sort(np.concatenate([rng.integers(0, 40, 300), np.full(200, 17)]))
+    for width in (1, 7, 64, 1000):
+        batches = [pa.RecordBatch.from_arrays([pa.array(key[k : k + width])], ["key"]) for k in range(0, len(key), width)]
+        got = [(t.column("key").to_numpy(), ends) for t, ends in linking.whole_runs(iter([batches[0].slice(0, 0), *batches]), ["key"], rows=16)]
+        assert np.concatenate([x for x, _ in got]).tolist() == key.tolist()
+        assert all(a[0][-1] < b[0][0] for a, b in zip(got, got[1:], strict=False))
+        for x, ends in got:
+            assert ends.tolist() == np.searchsorted(x, x, "right").tolist()
+    assert list(linking.whole_runs(iter([]), ["key"])) == []
