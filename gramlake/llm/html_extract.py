@@ -1,13 +1,14 @@
 """Main text of web pages (operator 5): template deduction by equivalence classes over the pages of one host.
 
 A page becomes blocks: runs of text under a role, the path of its enclosing block elements with their class names. Each
-host's tokens are its roles and its blocks' texts; a token's occurrence vector (its count on every page of the host) is kept
-as two sums of page hashes times counts, which partitions can add, so no host's pages meet in one task. Tokens with equal
-sums over as many pages are one equivalence class. Classes with enough support are valid; they nest by their roles' paths,
-and the nested skeleton is the template: its constant texts are boilerplate, what varies between its tokens are slots.
-The host's content slot is the article's or main element's, or without one the container whose slots hold most varying text
+host's tokens are its roles and its blocks' texts; a token's occurrence vector (its count on every page of the host) is kept as two sums of page hashes times counts, which partitions can add, so no host's pages
+meet in one task. Tokens with equal sums over as many pages are one equivalence class. Classes with enough support are valid;
+a class nests in a gap between the tokens of the class around it, and the nested skeleton is the template: its constant texts
+are boilerplate, wherever they stand, what varies between its tokens are slots.
+The content slot is the article's or main element's, or without one the container whose slots hold most varying text
 outside links; menus, headers, footers, sidebars, notices, adverts, forms, scripts and comments are never content.
-A page is read through its host's template; pages of hosts without one (too few pages) by the same rules on themselves.
+Every page is read through its host's template; pages of hosts without one (too few pages) by the same rules on
+themselves.
 """
 
 from __future__ import annotations
@@ -165,107 +166,178 @@ def host_of(url):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """(host, template) from (page_id, host, html): the template as JSON {"main": content container, "constant": text keys}.
+PARSED = "page_id {}, url string, host string, content long, roles array<string>, mains array<boolean>, texts array<string>, keys array<long>, free array<int>"
+
+
+def parsed(pages: DataFrame) -> DataFrame:
+    """The written blocks that may be content, a list per page; `content` is their hash: equal on copies of a page."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 200):
+                c = b.slice(at, 200)
+                pages_ = [[x for x in Page(source).blocks if x[1] != "not"] for source in c.column(3).to_pylist()]
+                keys = [[text_key(x[2]) for x in blocks] for blocks in pages_]
+                content = [text_key("\0".join(f"{x[0]}\0{x[2]}" for x in blocks)) for blocks in pages_]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *c.columns[:3],
+                        pa.array(content, pa.int64()),
+                        pa.array([[x[0] for x in blocks] for blocks in pages_], pa.list_(pa.string())),
+                        pa.array([[x[1] == "main" for x in blocks] for blocks in pages_], pa.list_(pa.bool_())),
+                        pa.array([[x[2] for x in blocks] for blocks in pages_], pa.list_(pa.string())),
+                        pa.array(keys, pa.list_(pa.int64())),
+                        pa.array([[max(0, len(x[2]) - x[3]) for x in blocks] for blocks in pages_], pa.list_(pa.int32())),
+                    ],
+                    ["page_id", "url", "host", "content", "roles", "mains", "texts", "keys", "free"],
+                )
+
+    kind = pages.schema["page_id"].dataType.simpleString()
+    return written(pages.select("page_id", "url", "host", "html").mapInArrow(read, PARSED.format(kind)), "blocks")
+
+
+def below(role: str, root: str) -> bool:
+    return not root or role == root or role.startswith(root + "/")
+
+
+def nested(classes: list[list[dict]]) -> list[dict]:
+    """A host's equivalence classes as template nodes, parents first: {"tokens": [[role, key, times]] in page order,
+    "parent": node or -1, "slot": which of the parent's gaps it stands in}.
+
+    A class stands in the innermost class of more pages whose elements enclose its own; the gap follows the mean position."""
+    nodes = []
+    for tokens in classes:
+        texts = sorted((t for t in tokens if t["key"]), key=lambda t: (t["at"] / t["pages"], t["role"], t["key"]))
+        if texts:
+            paths = [t["role"].split("/")[:-1] for t in texts]
+            common = 0
+            while all(len(x) > common and x[common] == paths[0][common] for x in paths):
+                common += 1
+            nodes.append({"root": "/".join(paths[0][:common]), "pages": texts[0]["pages"], "places": [t["at"] / t["pages"] for t in texts], "tokens": [[t["role"], t["key"], -(-t["n"] // t["pages"])] for t in texts]})
+    nodes.sort(key=lambda x: (-x["pages"], len(x["root"]), x["places"], x["tokens"]))
+    for k, node in enumerate(nodes):
+        outer = [i for i in range(k) if nodes[i]["pages"] > node["pages"] and below(node["root"], nodes[i]["root"])]
+        node["parent"] = max(outer, key=lambda i: (len(nodes[i]["root"]), i), default=-1)
+        node["slot"] = sum(x < node["places"][0] for x in nodes[node["parent"]]["places"]) if outer else 0
+    return [{k: node[k] for k in ("tokens", "parent", "slot")} for node in nodes]
+
+
+def constant_blocks(roles: list[str], keys: list[int], nodes: list[dict]) -> set[int]:
+    """The blocks that are tokens of the template, each node read within its gap of its parent."""
+    where: dict[tuple[str, int], list[int]] = {}
+    for k, key in enumerate(zip(roles, keys, strict=True)):
+        where.setdefault(key, []).append(k)
+    out: set[int] = set()
+    gaps: list[list[tuple[int, int]]] = []
+    for node in nodes:
+        lo, hi = gaps[node["parent"]][node["slot"]] if node["parent"] >= 0 else (0, len(roles))
+        at, cuts = lo, []
+        for role, key, times in node["tokens"]:
+            found = [k for k in where.get((role, key), ()) if lo <= k < hi and k not in out][:times]
+            out.update(found)
+            at = max(at, found[0]) if found else at
+            cuts.append(at)
+        edges = [lo, *cuts, hi]
+        gaps.append(list(zip(edges, edges[1:], strict=False)))
+    return out
+
+
+def templates(blocks: DataFrame) -> DataFrame:
+    """(host, template) from parsed pages: the template as JSON {"main": content container, "nodes": nested()}.
 
     Hosts of fewer than LEAST_PAGES pages have none."""
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             seen: dict[tuple[str, str, int], list[int]] = {}
-            for page, host, source in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                h = xxhash.xxh3_64_intdigest(f"{page}")
+            for host, content, page in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                h = xxhash.xxh3_64_intdigest(f"{content}")
                 x, y = h & 0x3FFFFFFF, h >> 34
-                count: dict[tuple[str, int], list[int]] = {}
-                for role, kind, text, linked in Page(source).blocks:
-                    if kind == "not":
-                        continue
-                    free = max(0, len(text) - linked)
-                    for key in ((container(role), 0), (role, text_key(text))):
-                        v = count.setdefault(key, [0, 0])
+                count: dict[tuple[str, int], list[int]] = {("", 0): [1, 0, 0]}
+                for at, (role, text, free) in enumerate(zip(page["roles"], page["keys"], page["free"], strict=True)):
+                    for key in ((container(role), 0), (role, text)):
+                        v = count.setdefault(key, [0, 0, at])
                         v[0] += 1
                         v[1] += free
-                count[("", 0)] = [1, 0]
-                for (role, key), (n, free) in count.items():
-                    v = seen.setdefault((host, role, key), [0, 0, 0, 0, 0])
-                    for k, z in enumerate((1, n, n * x, n * y, free)):
+                for (role, key), (n, free, at) in count.items():
+                    v = seen.setdefault((host, role, key), [0, 0, 0, 0, 0, 0])
+                    for k, z in enumerate((1, n, n * x, n * y, free, at)):
                         v[k] += z
             keys = list(seen)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))] + [pa.array([seen[k][i] for k in keys], pa.int64()) for i in range(5)],
-                ["host", "role", "key", "pages", "n", "x", "y", "free"],
+                [pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))] + [pa.array([seen[k][i] for k in keys], pa.int64()) for i in range(6)],
+                ["host", "role", "key", "pages", "n", "x", "y", "free", "at"],
             )
 
-    schema = "host string, role string, key long, pages long, n long, x long, y long, free long"
-    vectors = pages.select("page_id", "host", "html").mapInArrow(tokens, schema).groupBy("host", "role", "key").agg(*(F.sum(c).alias(c) for c in ("pages", "n", "x", "y", "free")))
+    schema = "host string, role string, key long, pages long, n long, x long, y long, free long, at long"
+    different = blocks.select("host", F.col("page_id").cast("string").alias("content"), F.struct("roles", "keys", "free").alias("page"))
+    vectors = different.mapInArrow(tokens, schema).groupBy("host", "role", "key").agg(*(F.sum(c).alias(c) for c in ("pages", "n", "x", "y", "free", "at")))
     vectors = written(vectors.where((F.col("pages") > 1) | (F.col("key") == 0)), "vectors")
     size = vectors.where("role = ''").select("host", F.col("pages").alias("all_pages"))
-    valid = vectors.where("role <> ''").join(size, "host").where((F.col("all_pages") >= LEAST_PAGES) & (F.col("pages") >= SUPPORT * F.col("all_pages")))
+    enough = (F.col("pages") >= SUPPORT * F.col("all_pages")) & ((F.col("key") == 0) | (F.col("pages") >= LEAST_PAGES))
+    valid = vectors.where("role <> ''").join(size, "host").where((F.col("all_pages") >= LEAST_PAGES) & enough)
     # Equivalence classes: tokens of one occurrence vector. A host's valid tokens are few: each is on half of its pages.
-    classes = valid.groupBy("host", "pages", "x", "y").agg(F.collect_list(F.struct("role", "key", "n", "free")).alias("tokens"))
+    classes = valid.groupBy("host", "pages", "x", "y").agg(F.collect_list(F.struct("role", "key", "n", "free", "pages", "at")).alias("tokens"))
 
     def nest(key: tuple, groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        constant, best = set(), ("", -1)
-        for b in groups:
-            for tokens_ in b.column("tokens").to_pylist():
-                for t in tokens_:
-                    if t["key"]:
-                        constant.add(t["key"])
-                        continue
-                    main = any(x.split(".")[0] in MAIN for x in t["role"].split("/"))
-                    rank = (main, t["free"], -len(t["role"]), t["role"])
-                    if best[1] == -1 or rank > best[1]:
-                        best = (t["role"], rank)
-        out = json.dumps({"main": best[0], "constant": sorted(constant)})
+        classes_ = [tokens_ for b in groups for tokens_ in b.column("tokens").to_pylist()]
+        rank = lambda t: (any(x.split(".")[0] in MAIN for x in t["role"].split("/")), t["free"], -len(t["role"]), t["role"])
+        best = max((t for c in classes_ for t in c if not t["key"]), key=rank, default={"role": ""})
+        out = json.dumps({"main": best["role"], "nodes": nested(classes_)})
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.string()), pa.array([out])], ["host", "template"])
 
     return classes.select("host", "tokens").groupBy("host").applyInArrow(nest, "host string, template string")
 
 
+def slot_text(roles: list[str], mains: list[bool], texts: list[str], keys: list[int], free: list[int], template: dict | None) -> str:
+    """The blocks of the content slot that are no tokens of the template, joined by line feeds; "" without any."""
+    if any(mains):  # the page names its slot itself
+        kept = [k for k, main in enumerate(mains) if main]
+    else:
+        boxes = [container(role) for role in roles]
+        root = (template or {}).get("main")
+        if root not in boxes:
+            sums: dict[str, int] = {}
+            for box, n in zip(boxes, free, strict=True):
+                sums[box] = sums.get(box, 0) + n
+            root = max(sums, key=lambda r: (sums[r], r), default="")
+        whole = not root or root.split("/")[-1] in ("body", "html")
+        kept = [k for k, role in enumerate(roles) if whole or below(role, root)]
+    constant = constant_blocks(roles, keys, template["nodes"]) if template else ()
+    return "\n".join(texts[k] for k in kept if k not in constant)
+
+
 def main_text(source: str | None, template: dict | None) -> str:
-    """The blocks of the content slot, joined by line feeds; "" without any."""
+    """slot_text() of one page."""
     blocks = [b for b in Page(source).blocks if b[1] != "not"]
-    if any(b[1] == "main" for b in blocks):
-        return "\n".join(b[2] for b in blocks if b[1] == "main")  # the page says it itself; nothing of it is dropped
-    kept = blocks
-    roots = {container(b[0]) for b in blocks}
-    root = (template or {}).get("main")
-    if root not in roots:
-        free: dict[str, int] = {}
-        for role, _, text, linked in blocks:
-            free[container(role)] = free.get(container(role), 0) + max(0, len(text) - linked)
-        root = max(free, key=lambda r: (free[r], r), default="")
-    if root and root.split("/")[-1] not in ("body", "html"):
-        kept = [b for b in blocks if b[0] == root or b[0].startswith(root + "/")]
-    constant = set((template or {}).get("constant", ()))
-    return "\n".join(b[2] for b in kept if not constant or text_key(b[2]) not in constant)
+    return slot_text([b[0] for b in blocks], [b[1] == "main" for b in blocks], [b[2] for b in blocks], [text_key(b[2]) for b in blocks], [max(0, len(b[2]) - b[3]) for b in blocks], template)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_rows: int = 100_000, salts: int = 64) -> DataFrame:
     """page_id, url, text, n_chars: one row per page. Null or empty html gives an empty text; a null url is the host "".
 
     Templates are broadcast up to broadcast_rows hosts; beyond, pages join them by host and salt, so no host is one task."""
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).withColumn("host", host_of(F.col("url")))
+    rows = parsed(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).withColumn("host", host_of(F.col("url"))))
     found = written(templates(rows), "templates")
     if found.count() <= broadcast_rows:
         joined = rows.join(F.broadcast(found), "host", "left")
     else:
         spread = found.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         joined = rows.withColumn("_salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int")).join(spread, ["host", "_salt"], "left")
-    parsed: dict[str, dict] = {}
+    known: dict[str, dict] = {}
 
     @F.arrow_udf("string")
-    def text(source: pa.Array, template: pa.Array) -> pa.Array:
+    def text(template: pa.Array, *columns: pa.Array) -> pa.Array:
         out = []
-        for s, t in zip(source.to_pylist(), template.to_pylist(), strict=True):
-            if t is not None and t not in parsed:
-                if len(parsed) > 5_000:
-                    parsed.clear()
-                parsed[t] = json.loads(t)
-            out.append(main_text(s, parsed.get(t) if t is not None else None))
+        for t, *page in zip(template.to_pylist(), *(c.to_pylist() for c in columns), strict=True):
+            if t is not None and t not in known:
+                if len(known) > 5_000:
+                    known.clear()
+                known[t] = json.loads(t)
+            out.append(slot_text(*page, known[t] if t is not None else None))
         return pa.array(out, pa.string())
 
-    return joined.select("page_id", "url", text("html", "template").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    return joined.select("page_id", "url", text("template", "roles", "mains", "texts", "keys", "free").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -174,6 +174,26 @@ def test_html(spark):
     assert got[3] == ("Text number 3 of many words\nand 3 more", 38) and got[9] == ("", 0)
 
 
+def extracted(spark, pages):
+    rows = spark.createDataFrame([(k, "http://h.example/x", page) for k, page in enumerate(pages)], "page_id long, url string, html string")
+    return [r.text for r in html_extract.extract(rows).orderBy("page_id").collect()]
+
+
+def test_html_template_is_read_within_articles(spark):
+    page = "<body><article><h1>Title {k}</h1><div class=kicker><p>Part of our series</p></div><p>Body {k}.</p>{more}<div class=outro><p>Thank you for reading</p></div></article>"
+    tips = "<div class=tip><p>Tip of the day</p></div>"
+    got = extracted(spark, [page.format(k=k, more=tips * (k < 4) + "<p>Thank you for reading</p>" * (k == 5)) for k in range(6)])
+    assert got[:5] == [f"Title {k}\nBody {k}." for k in range(5)]
+    assert got[5] == "Title 5\nBody 5.\nThank you for reading"  # the same words at another place are no token
+
+
+def test_html_nested_classes():
+    token = lambda role, key, pages, at: {"role": role, "key": key, "n": pages, "free": 0, "pages": pages, "at": at * pages}
+    nodes = html_extract.nested([[token("b/p", 1, 6, 0), token("b/p", 2, 6, 9)], [token("b/div/p", 3, 4, 4)]])
+    assert [(n["parent"], n["slot"]) for n in nodes] == [(-1, 0), (0, 1)]
+    assert html_extract.constant_blocks(["b/p", "b/div/p", "b/p", "b/div/p"], [1, 3, 2, 3], nodes) == {0, 1, 2}
+
+
 def test_licenses(spark, docs):
     index = license_scan.TemplateIndex(license_scan.TEMPLATES)
     text = "Ünïcode head.\n" + license_scan.TEMPLATES["mit"].replace("publish, ", "").replace("merge", "blend") + "\nReleased under the MIT License."
