@@ -1,13 +1,14 @@
 """Main text of web pages (operator 5): template deduction by equivalence classes over the pages of one host.
 
 A page becomes blocks: runs of text under a role, the path of its enclosing block elements with their class names. Each
-host's tokens are its roles and its blocks' texts; a token's occurrence vector (its count on every page of the host) is kept as two sums of page hashes times counts, which partitions can add, so no host's pages
+host's tokens are its roles and its blocks' texts; a token's occurrence vector (its count on every different page of the host;
+copies of a page count once) is kept as two sums of page hashes times counts, which partitions can add, so no host's pages
 meet in one task. Tokens with equal sums over as many pages are one equivalence class. Classes with enough support are valid;
 a class nests in a gap between the tokens of the class around it, and the nested skeleton is the template: its constant texts
 are boilerplate, wherever they stand, what varies between its tokens are slots.
 The content slot is the article's or main element's, or without one the container whose slots hold most varying text
 outside links; menus, headers, footers, sidebars, notices, adverts, forms, scripts and comments are never content.
-Every page is read through its host's template; pages of hosts without one (too few pages) by the same rules on
+Every page is read through its host's template; pages of hosts without one (too few different pages) by the same rules on
 themselves.
 """
 
@@ -245,7 +246,7 @@ def constant_blocks(roles: list[str], keys: list[int], nodes: list[dict]) -> set
 def templates(blocks: DataFrame) -> DataFrame:
     """(host, template) from parsed pages: the template as JSON {"main": content container, "nodes": nested()}.
 
-    Hosts of fewer than LEAST_PAGES pages have none."""
+    Copies of a page count once in the occurrence vectors. Hosts of fewer than LEAST_PAGES different pages have none."""
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -270,7 +271,7 @@ def templates(blocks: DataFrame) -> DataFrame:
             )
 
     schema = "host string, role string, key long, pages long, n long, x long, y long, free long, at long"
-    different = blocks.select("host", F.col("page_id").cast("string").alias("content"), F.struct("roles", "keys", "free").alias("page"))
+    different = blocks.groupBy("host", "content").agg(F.min(F.struct("roles", "keys", "free")).alias("page"))
     vectors = different.mapInArrow(tokens, schema).groupBy("host", "role", "key").agg(*(F.sum(c).alias(c) for c in ("pages", "n", "x", "y", "free", "at")))
     vectors = written(vectors.where((F.col("pages") > 1) | (F.col("key") == 0)), "vectors")
     size = vectors.where("role = ''").select("host", F.col("pages").alias("all_pages"))

@@ -194,6 +194,13 @@ def test_html_nested_classes():
     assert html_extract.constant_blocks(["b/p", "b/div/p", "b/p", "b/div/p"], [1, 3, 2, 3], nodes) == {0, 1, 2}
 
 
+def test_html_copies_keep_their_article(spark):
+    page = "<body><div class=t><p>The article {k} of many words</p><p>and more of {k}</p></div>"
+    kept = [f"The article {k} of many words\nand more of {k}" for k in (0, 0, 1, 2)]
+    assert extracted(spark, [page.format(k=k) for k in (0, 0, 1, 2)]) == kept
+    assert extracted(spark, [page.format(k=k) for k in (0, 0, 0, 0, 0, 1)]) == [kept[0]] * 5 + [kept[2]]
+
+
 def test_licenses(spark, docs):
     index = license_scan.TemplateIndex(license_scan.TEMPLATES)
     text = "Ünïcode head.\n" + license_scan.TEMPLATES["mit"].replace("publish, ", "").replace("merge", "blend") + "\nReleased under the MIT License."
