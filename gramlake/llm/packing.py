@@ -1,10 +1,12 @@
 """Packing (operator 3): lexical retrieval packing over a sharded BM25 inverted index.
 
-Documents are spread over shards by a hash; the number of shards follows the corpus' bytes, so a shard's size is bounded
-at any scale. A shard's index holds all its pieces. A seed (the rest of the document cut last, else the longest one
-unused) asks the index for its neighbours; those unused fill its window greedily in order of score, whole where they fit,
-and the best one left is cut to close the window. Full windows of longer documents are sequences of their own. What
-is left when a shard is used up is cut into sequences whose lengths are powers of two, which need no padding.
+Document frequencies and the mean length are counted over all documents' pieces. Documents are routed to shards by their
+weightiest shared terms: ordered by the first three, copies side by side, and cut into shards of bounded size, so copies and
+texts of one topic meet at any scale; only copies of one text that are larger than a shard are spread over several. A shard's index holds all its pieces.
+A seed (the rest of the document cut last, else the longest one unused) asks the index for its neighbours with all its terms;
+those unused fill its window greedily in order of score, whole where they fit, and the best one left is cut to close the
+window. Full windows of longer documents are sequences of their own. What is left when a shard is used up is cut into
+sequences whose lengths are powers of two, which need no padding.
 """
 
 from __future__ import annotations
@@ -16,20 +18,46 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import PieceEncoder
-from .common import bounded_batches, table
+from .common import bounded_batches, table, written
 
-SHARD_BYTES = 6 << 20
+SHARD_BYTES, VOCABULARY = 6 << 20, 1 << 16
+K1, B = 1.2, 0.75
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+class Statistics:
+    """Of all pieces: how many hold each term, and their mean length."""
+
+    def __init__(self, df: np.ndarray, n: int, tokens: int):
+        self.df, self.idf, self.mean = df, np.log1p((n - df + 0.5) / (df + 0.5)), max(tokens / max(n, 1), 1)
+
+    @classmethod
+    def of(cls, pieces: list[np.ndarray]) -> Statistics:
+        df = np.zeros(VOCABULARY, np.int64)
+        for p in pieces:
+            df[np.unique(p)] += 1
+        return cls(df, len(pieces), sum(map(len, pieces)))
+
+    def weights(self, terms: np.ndarray, tf: np.ndarray, lens: np.ndarray | int) -> np.ndarray:
+        return (self.idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lens / self.mean))).astype(np.float32)
+
+    def route(self, piece: np.ndarray) -> tuple[int, int, int]:
+        """The three weightiest terms that another piece holds too; -1 for want of one."""
+        terms, tf = np.unique(piece, return_counts=True)
+        shared = self.df[terms] > 1
+        terms, tf = terms[shared], tf[shared]
+        best = terms[np.argsort(-self.weights(terms, tf, len(piece)), kind="stable")[:3]].tolist()
+        return (*best, -1, -1, -1)[:3]
+
+
 class ShardIndex:
     """BM25 inverted index of one shard: for each term a slice of (piece, weight)."""
 
-    def __init__(self, pieces: list[np.ndarray], k1: float = 1.2, b: float = 0.75):
+    def __init__(self, pieces: list[np.ndarray], statistics: Statistics):
         n = len(pieces)
         lens = np.array([len(p) for p in pieces], np.int64)
         owner = np.repeat(np.arange(n, dtype=np.int64), lens)
@@ -38,17 +66,15 @@ class ShardIndex:
         self.n, term, doc = n, key // max(n, 1), key % max(n, 1)
         self.vocabulary, first, df = np.unique(term, return_index=True, return_counts=True)
         self.first = np.append(first, len(term))
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        mean = lens.mean() if n else 1.0
-        self.weight = (np.repeat(idf, df) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * lens[doc] / max(mean, 1)))).astype(np.float32)
+        self.weight = statistics.weights(term, tf, lens[doc])
         self.doc = doc
         by_doc = np.lexsort((-self.weight, doc))  # each piece's terms, the weightiest first
         self.terms_of = np.repeat(np.arange(len(df)), df)[by_doc]
         self.ends = np.searchsorted(doc[by_doc], np.arange(n + 1))
 
-    def neighbours(self, piece: int, unused: np.ndarray, terms: int) -> np.ndarray:
-        """Unused pieces that share a query term (the seed's `terms` weightiest), best first; ties by position."""
-        query = self.terms_of[self.ends[piece] : min(self.ends[piece] + terms, self.ends[piece + 1])]
+    def neighbours(self, piece: int, unused: np.ndarray, terms: int | None) -> np.ndarray:
+        """Unused pieces that share a query term (the seed's `terms` weightiest, or all), best first; ties by position."""
+        query = self.terms_of[self.ends[piece] : self.ends[piece + 1]][:terms]
         if not len(query):
             return query
         cuts = [slice(a, b) for a, b in zip(self.first[query].tolist(), self.first[query + 1].tolist(), strict=True)]
@@ -62,7 +88,7 @@ def powers(n: int) -> list[int]:
     return [1 << k for k in range(n.bit_length() - 1, -1, -1) if n >> k & 1]
 
 
-def pack_shard(lengths: list[int], tokens: list[np.ndarray], window: int, terms: int) -> list[list[tuple[int, int, int]]]:
+def pack_shard(lengths: list[int], tokens: list[np.ndarray], window: int, terms: int | None, statistics: Statistics | None = None) -> list[list[tuple[int, int, int]]]:
     """Sequences of (row, start, length); each token of each row lies in exactly one."""
     out, start = [], []
     for r, n in enumerate(lengths):
@@ -72,7 +98,8 @@ def pack_shard(lengths: list[int], tokens: list[np.ndarray], window: int, terms:
     pool = [r for r, n in enumerate(lengths) if n > start[r]]
     if not pool:
         return out
-    index = ShardIndex([tokens[r][start[r] :] for r in pool])
+    pieces = [tokens[r][start[r] :] for r in pool]
+    index = ShardIndex(pieces, statistics or Statistics.of(pieces))
     at = {k: start[r] for k, r in enumerate(pool)}
     left = np.array([lengths[r] - start[r] for r in pool], np.int64)
     unused = np.ones(len(pool), bool)
@@ -136,10 +163,10 @@ def pack_shard(lengths: list[int], tokens: list[np.ndarray], window: int, terms:
     return out
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, terms: int = 24, shard_bytes: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, terms: int | None = None, shard_bytes: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, within sequences of `window`.
 
-    Null text is an empty document (its end id alone). Repeated rows are packed each; an empty table gives no rows. Sequence
+    A seed's query holds its `terms` weightiest terms, or all. Null text is an empty document (its end id alone). Repeated rows are packed each; an empty table gives no rows. Sequence
     ids are unique: the shard in the upper bits.
     """
 
@@ -149,15 +176,36 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, t
         for b in batches:
             for k in range(0, b.num_rows, 1000):
                 c = b.slice(k, 1000)
-                ids = pa.array([x + end for x in enc.ids(c.column(2).to_pylist())], pa.binary())
-                yield pa.RecordBatch.from_arrays([c.column(0), c.column(1), ids], ["shard", "doc_id", "ids"])
+                ids = pa.array([x + end for x in enc.ids(c.column(1).to_pylist())], pa.binary())
+                yield pa.RecordBatch.from_arrays([c.column(0), ids, c.column(2)], ["doc_id", "ids", "bytes"])
+
+    def piece(ids: bytes) -> np.ndarray:
+        tokens = np.frombuffer(ids, "<u2")
+        return tokens[len(tokens) - len(tokens) % window :]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, n, tokens = np.zeros(VOCABULARY, np.int64), 0, 0
+        for b in batches:
+            for ids in b.column(0).to_pylist():
+                if len(p := piece(ids)):
+                    df[np.unique(p)] += 1
+                    n, tokens = n + 1, tokens + len(p)
+        held = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array([*held.tolist(), -1, -2], pa.int64()), pa.array([*df[held].tolist(), n, tokens], pa.int64())], ["term", "n"])
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 1000):
+                c = b.slice(k, 1000)
+                routes = [statistics.route(piece(ids)) for ids in c.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*c.columns, *(pa.array([r[i] for r in routes], pa.int32()) for i in (0, 1, 2))], ["doc_id", "ids", "bytes", "t1", "t2", "t3"])
 
     def fill(shard: pd.DataFrame) -> pd.DataFrame:
         shard = shard.sort_values(["doc_id", "ids"], kind="stable")
         tokens = [np.frombuffer(x, "<u2") for x in shard["ids"]]
         base, ids = int(shard["shard"].iloc[0]) << 32, shard["doc_id"].tolist()
         rows = []
-        for number, sequence in enumerate(pack_shard([len(t) for t in tokens], tokens, window, terms)):
+        for number, sequence in enumerate(pack_shard([len(t) for t in tokens], tokens, window, terms, statistics)):
             offset = 0
             for r, s, n in sequence:
                 rows.append((ids[r], s, n, zlib.crc32(tokens[r][s : s + n].astype("<u4").tobytes()), len(tokens[r]), base | number, offset))
@@ -165,11 +213,25 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, t
         return pd.DataFrame(rows, columns=[x.split()[0] for x in PIECES.split(", ")]).astype({"doc_id": "Int64"})
 
     bounded_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    shards = max(1, -(-size // shard_bytes))
-    shard = F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).alias("shard")
-    encoded = rows.select(shard, "doc_id", "text").mapInArrow(encode, "shard long, doc_id long, ids binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("bytes", F.octet_length("text").cast("long"))
+    encoded = written(rows.mapInArrow(encode, "doc_id long, ids binary, bytes long"), "ids")
+    # At most one row a term of the vocabulary reaches the driver, here and below.
+    counts = {r["term"]: r["n"] for r in encoded.select("ids").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    df = np.zeros(VOCABULARY, np.int64)
+    for term, n in counts.items():
+        if term >= 0:
+            df[term] = n
+    statistics = Statistics(df, counts.get(-1, 0), counts.get(-2, 0))
+    routed = written(encoded.mapInArrow(route, "doc_id long, ids binary, bytes long, t1 int, t2 int, t3 int").withColumn("h", F.xxhash64("ids")), "routed")
+    cell = ["t1", "t2", "t3", "h"]
+    cells = routed.groupBy(cell).agg(F.sum("bytes").alias("cell"))
+    firsts = sorted((r["t1"], r["n"]) for r in cells.groupBy("t1").agg(F.sum("cell").alias("n")).collect())
+    starts = np.cumsum([0, *(n for _, n in firsts)]).tolist()
+    offsets = rows.sparkSession.createDataFrame([(t, at) for (t, _), at in zip(firsts, starts, strict=False)], "t1 int, base long")
+    before = F.sum("cell").over(Window.partitionBy("t1").orderBy("t2", "t3", "h")) - F.col("cell")
+    placed = cells.withColumn("before", before).join(F.broadcast(offsets), "t1").select(*cell, F.floor((F.col("base") + F.col("before")) / shard_bytes).alias("first"), F.greatest(F.ceil(F.col("cell") / shard_bytes), F.lit(1)).alias("spread"))
+    shard = (F.col("first") + F.pmod(F.xxhash64("doc_id", "ids"), F.col("spread"))).alias("shard")
+    encoded = routed.join(placed, cell).select(shard, "doc_id", "ids")
     return encoded.groupBy("shard").applyInPandas(fill, PIECES)
 
 

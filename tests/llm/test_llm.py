@@ -89,6 +89,26 @@ def test_packing_prefers_neighbours():
     assert {r for r, _, _ in first} in ({0, 3}, {1, 2})
 
 
+def test_packing_brings_copies_together_across_shards(spark):
+    rng = np.random.default_rng(4)
+    words = [f"{a}{b}" for a in ("river", "stone", "cloud", "apple", "horse", "table") for b in ("man", "land", "ship", "work")]
+    texts = [" ".join(rng.permutation(words[4 * (k % 6) : 4 * (k % 6) + 4] * 15)) for k in range(36)]
+    rows = spark.createDataFrame([(k, texts[k % 36]) for k in range(72)], "doc_id long, text string")
+    got = packing.pack(rows, WORD, window=256, shard_bytes=3000).collect()
+    assert len({r.sequence_id >> 32 for r in got}) > 3
+    shards = {k: {r.sequence_id >> 32 for r in got if r.doc_id == k} for k in range(72)}
+    assert sum(bool(shards[k] & shards[k + 36]) for k in range(36)) >= 30  # 9 of 36 are expected of a hash
+
+
+def test_packing_statistics_are_of_all_pieces():
+    a, b = np.array([1, 1, 2], np.uint16), np.array([2, 3], np.uint16)
+    whole = packing.Statistics.of([a, b, b])
+    assert whole.df[:4].tolist() == [0, 1, 3, 2] and whole.mean == 7 / 3
+    assert whole.route(a) == (2, -1, -1) and whole.route(b) == (3, 2, -1)
+    index = packing.ShardIndex([a], whole)
+    assert index.weight[index.first[1]] == whole.weights(np.array([2]), np.array([1]), 3)[0]
+
+
 def test_language_id(spark, empty):
     rows = [(k, "the cat and the dog sit in the house" if k % 2 else "der Hund und die Katze sind in dem Haus", "en" if k % 2 else "de", "s", "", "") for k in range(40)]
     profiles = language_id.fit_profiles(spark.createDataFrame(rows, SCHEMA))
