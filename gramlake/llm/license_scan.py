@@ -3,11 +3,13 @@
 Templates are winnowed: of every WINDOW consecutive word k-grams the least hash is a fingerprint, and an inverted index maps
 a fingerprint to its templates and positions. A document's k-grams are looked up in it; hits of one template whose diagonals
 (document position minus template position) lie within the band make a candidate. A banded alignment of the template with the
-document's words around the candidate gives the matched words: their share is the coverage, the first and last the span.
+document's words around the candidate gives the matched words: their share is the coverage, the first and last the span;
+every further match of the band that shares no word with it is one too.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -113,8 +115,8 @@ class TemplateIndex:
             if len(np.unique(p[group])) * 4 < self.n_prints[name]:  # a quarter of the fingerprints at least
                 continue
             for first in self._starts(d[group]):
-                if (m := self.align(words, name, first)) and m[0] >= COVERAGE * len(self.words[name]):
-                    found.append((m[0], m[1], m[2], name))
+                found += self._matches(words, name, first)
+        found = self._apart(found)
         found.sort(key=lambda m: (m[1] - m[2], m[1], m[3]))
         kept: list[tuple[int, int, int, int]] = []
         for m in found:
@@ -135,8 +137,37 @@ class TemplateIndex:
                 out.append(d)
         return out
 
-    def align(self, words: list[bytes], name: int, diagonal: int) -> tuple[int, int, int] | None:
-        """(matched words, first and last matched word): the longest common subsequence within the band of the diagonal."""
+    def _matches(self, words: list[bytes], name: int, diagonal: int) -> list[tuple[int, int, int, int]]:
+        """All matches (matched words, first, last, template) of the band that share no word: the best one, then those of
+        the words before and after it."""
+        n, out = len(self.words[name]), []
+        gaps = [(max(0, diagonal - BAND), min(len(words), diagonal + n + BAND))]
+        while gaps:
+            lo, hi = gaps.pop()
+            if hi - lo < COVERAGE * n:
+                continue
+            m = self.align(words, name, diagonal, lo, hi)
+            if m and m[0] >= COVERAGE * n:
+                out.append((*m, name))
+                gaps += [(lo, m[1]), (m[2] + 1, hi)]
+        return out
+
+    @staticmethod
+    def _apart(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+        """Of one template's matches that overlap (bands overlap too) the one with most matched words, then the shortest."""
+        kept: dict[int, list[tuple[int, int]]] = {}
+        out = []
+        for m in sorted(set(found), key=lambda m: (m[3], -m[0], m[2] - m[1], m[1])):
+            spans = kept.setdefault(m[3], [])
+            k = bisect.bisect_right(spans, (m[2], m[2]))  # those that start at its last word or before
+            if not k or spans[k - 1][1] < m[1]:
+                bisect.insort(spans, (m[1], m[2]))
+                out.append(m)
+        return out
+
+    def align(self, words: list[bytes], name: int, diagonal: int, lo: int, hi: int) -> tuple[int, int, int] | None:
+        """(matched words, first and last matched word): the longest common subsequence within the band of the diagonal
+        and the document's words from lo to before hi."""
         t = self.words[name]
         width = 2 * BAND + 1
         # best[j]: (matched, -span, first, last) up to this template word with the document word at diagonal + row - BAND + j.
@@ -147,11 +178,11 @@ class TemplateIndex:
             for j in range(1, width + 1):
                 k = row + diagonal - BAND + j - 1
                 top = max(best[j + 1] if j < width else empty, new[j - 1])
-                if 0 <= k < len(words) and words[k] == word:
+                if lo <= k < hi and words[k] == word:
                     n, _, first, _ = best[j]
                     first = k if first < 0 else first
                     top = max(top, (n + 1, first - k, first, k))
-                new[j] = max(top, best[j]) if not 0 <= k < len(words) or words[k] != word else top
+                new[j] = max(top, best[j]) if not lo <= k < hi or words[k] != word else top
             best = new
         n, _, first, last = max(best)
         return (n, first, last) if n else None

@@ -230,6 +230,17 @@ def test_licenses(spark, docs):
     assert license_scan.scan_licenses(docs).count() == 0
 
 
+def test_licenses_back_to_back():
+    index = license_scan.TemplateIndex(license_scan.TEMPLATES)
+    for between in ("", " - lib{k}", " - lib{k} of the list, version {k}"):
+        text = "".join(f"Released under the MIT License.{between.format(k=k)}\n" for k in range(40))
+        got = index.scan(text)
+        assert [(m[0], m[1]) for m in got] == [("mit-line", 1.0)] * 40
+        assert [m[3] for m in got] == [m.start() for m in re.finditer("Released", text)]
+    text = "Released under a MIT License. x\nReleased under the MIT License."  # an edited line before a whole one
+    assert [m[1] for m in index.scan(text)] == [0.8, 1.0]
+
+
 def test_media(spark):
     rng = np.random.default_rng(5)
     y, x = np.mgrid[:96, :96]
