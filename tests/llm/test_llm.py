@@ -241,6 +241,24 @@ def test_licenses_back_to_back():
     assert [m[1] for m in index.scan(text)] == [0.8, 1.0]
 
 
+ENDINGS = {
+    "bsd-3-clause": "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE",
+    "isc": "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE",
+    "gpl-3.0-notice": "You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/",
+    "unlicense": 'In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. For more information, please refer to <https://unlicense.org/',
+}
+
+
+@pytest.mark.parametrize("name", list(ENDINGS))
+def test_licenses_are_whole(name):
+    index = license_scan.TemplateIndex(license_scan.TEMPLATES)
+    head, end = license_scan.TEMPLATES[name].split(ENDINGS[name][:24])[0], ENDINGS[name]
+    text = f"A head.\n{head}{end}"
+    got = [m for m in index.scan(text + "> and a tail.") if m[0] == name]
+    assert len(got) == 1 and got[0][4] == len(text.rstrip("/"))
+    assert all(m[1] < 1 for m in index.scan(head) if m[0] == name)
+
+
 def test_media(spark):
     rng = np.random.default_rng(5)
     y, x = np.mgrid[:96, :96]
