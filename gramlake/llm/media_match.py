@@ -1,14 +1,18 @@
 """Media columns (operator 2): cropped and edited copies of images by local descriptors.
 
-An image (binary PGM, PPM, BMP or PNG) becomes key points: corners of two scales with an orientation. Each has 256 binary
+An image (binary PGM, PPM, BMP or PNG) becomes key points: the strongest corners of each cell of a grid, at scales
+STEP apart down to the smallest usable size, with an orientation. So their number grows with the area. Each has 256 binary
 tests in its turned patch. The 256 bits are cut into eight tables of 32 bits: key points that agree in one table meet there
-(Hamming tables). Of two images' meeting key points those that follow one turn, scale and shift must number MATCHES at least.
+(Hamming tables). Of two images' meeting key points those that follow one turn, scale and shift must number MATCHES at least,
+and more than chance explains.
 Identical files are one node. As in the n-gram join, a bucket's images first meet its smallest id only; after components are
 labelled, all pairs of a bucket with different labels meet in tiles of bounded size, behind a check of the whole 256 bits.
 """
 
 from __future__ import annotations
 
+import itertools
+import math
 import struct
 import zlib
 from collections.abc import Iterator
@@ -21,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import table, written
 from .linking import components, tiles, whole_runs
 
-SCALES, POINTS, RADIUS, BITS, TABLES = (1.0, 1.5), 24, 7, 256, 8
+STEP, CELL, POINTS, RADIUS, BITS, TABLES = 2**0.5, 48, 24, 7, 256, 8
 MATCHES, TOLERANCE, NEAR = 6, 2.5, 40
 #: Pixels of images of one shape that are treated at a time (a larger image alone).
 STACK_PIXELS = 1 << 16
@@ -119,11 +123,12 @@ def stack_points(images: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray
     dy, dx = (v.ravel() for v in np.meshgrid(span, span, indexing="ij"))
     inside = dy * dy + dx * dx <= RADIUS * RADIUS
     dy, dx = dy[inside], dx[inside]
-    for scale in SCALES:
-        a = images if scale == 1.0 else resized(box(images, 1), scale)
-        m = RADIUS + 3
-        if min(a.shape[1:]) <= 2 * m + 2:
-            continue
+    m = RADIUS + 3
+    for level in itertools.count():
+        scale = STEP**level
+        if min(int(n / scale) for n in images.shape[1:]) <= 2 * m + 2:
+            break
+        a = images if not level else resized(box(images, max(1, round((scale - 1) / 2))), scale)
         a = box(a, 1)
         gy, gx = np.gradient(a, axis=(1, 2))
         xx, yy, xy = box(gx * gx, 2), box(gy * gy, 2), box(gx * gy, 2)
@@ -137,17 +142,21 @@ def stack_points(images: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray
         y, x = y + m, x + m
         if not len(n):
             continue
-        best = np.lexsort((-r[n, y, x], n))
-        best = best[np.arange(len(n)) - np.searchsorted(n, n) < POINTS]  # n is sorted, before and after
-        n, y, x = n[best], y[best], x[best]
-        patch = a[n[:, None], y[:, None] + dy, x[:, None] + dx].astype(float)
-        angle = np.arctan2((patch * dy).sum(1), (patch * dx).sum(1))
-        c, s = np.cos(angle)[:, None], np.sin(angle)[:, None]
+        cell = (n * h + (y - m) // CELL) * w + (x - m) // CELL
+        best = np.lexsort((-r[n, y, x], cell))
+        cell = cell[best]
+        best = best[np.arange(len(n)) - np.searchsorted(cell, cell) < POINTS]  # cells, and so n, are sorted
         x1, y1, x2, y2 = (TESTS[:, k][None] for k in range(4))
-        grey = [a[n[:, None], np.clip(np.rint(y[:, None] + s * u + c * v).astype(int), 0, h - 1), np.clip(np.rint(x[:, None] + c * u - s * v).astype(int), 0, w - 1)] for u, v in ((x1, y1), (x2, y2))]
-        owner.append(n)
-        bits.append(np.packbits(grey[0] < grey[1], axis=1))
-        places.append(np.stack([x * scale, y * scale, angle, np.full(len(x), scale)], axis=1))
+        for part in range(0, len(best), 4096):
+            some = best[part : part + 4096]
+            i, py, px = n[some], y[some], x[some]
+            patch = a[i[:, None], py[:, None] + dy, px[:, None] + dx].astype(float)
+            angle = np.arctan2((patch * dy).sum(1), (patch * dx).sum(1))
+            c, s = np.cos(angle)[:, None], np.sin(angle)[:, None]
+            grey = [a[i[:, None], np.clip(np.rint(py[:, None] + s * u + c * v).astype(int), 0, h - 1), np.clip(np.rint(px[:, None] + c * u - s * v).astype(int), 0, w - 1)] for u, v in ((x1, y1), (x2, y2))]
+            owner.append(i)
+            bits.append(np.packbits(grey[0] < grey[1], axis=1))
+            places.append(np.stack([px * scale, py * scale, angle, np.full(len(px), scale)], axis=1))
     return np.concatenate(owner), np.concatenate(places), np.concatenate(bits)
 
 
@@ -168,6 +177,19 @@ def keypoints(images: list[np.ndarray | None]) -> list[tuple[np.ndarray, np.ndar
     return out
 
 
+def needed(q: np.ndarray) -> int:
+    """How many of these matches must follow one movement: MATCHES, and more where as many are likely by chance, as many
+    matches in a small area make it (a Poisson tail over all movements tried)."""
+    area = max(float(np.prod(np.ptp(q[:, :2], axis=0) + 2 * TOLERANCE)), 1.0)
+    mean = (len(q) - 1) * math.pi * TOLERANCE**2 / area
+    k, term, below_ = 0, math.exp(-mean), 0.0
+    while 4 * len(q) * (1 - below_) > 1e-3 and k < len(q):
+        below_ += term
+        k += 1
+        term *= mean / k
+    return max(MATCHES, k + 1)
+
+
 def consensus(p: np.ndarray, q: np.ndarray) -> int:
     """The greatest number of key points (distinct on both sides) that one turn, scale and shift of a match carries along."""
     best = 0
@@ -284,7 +306,7 @@ def agreeing(matches: DataFrame) -> DataFrame:
             starts = np.append(0, stops[:-1])
             p, q = (np.frombuffer(b"".join(t.column(x).to_pylist()), "<f4").reshape(-1, 4).astype(float) for x in ("p", "q"))
             long = stops - starts >= MATCHES
-            found = [i for i, j in zip(starts[long].tolist(), stops[long].tolist(), strict=True) if consensus(p[i:j], q[i:j]) >= MATCHES]
+            found = [i for i, j in zip(starts[long].tolist(), stops[long].tolist(), strict=True) if consensus(p[i:j], q[i:j]) >= needed(q[i:j])]
             yield pa.RecordBatch.from_arrays([t.column(x).combine_chunks().take(pa.array(found, pa.int64())) for x in ("a", "b")], ["a", "b"])
 
     return written(matches.distinct().repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(vote, "a long, b long"), "links")

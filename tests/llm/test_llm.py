@@ -273,6 +273,19 @@ def test_media(spark):
     assert got == {0: 0, 1: 1, 2: 2, 3: 3, 10: 0, 11: 1, 12: 2, 13: 13, 14: 14, 15: 15}
 
 
+def test_media_large_images(spark):
+    rng = np.random.default_rng(8)
+    y, x = np.mgrid[:256, :256]
+    images = []
+    for _ in range(3):
+        f = sum(rng.normal() * np.cos((np.cos(t) * x + np.sin(t) * y) * 2 * np.pi / n + p) for t, n, p in zip(rng.uniform(0, 3.1, 40), rng.uniform(6, 24, 40), rng.uniform(0, 6, 40), strict=True))
+        images.append(np.clip(128 + 45 * f / f.std(), 0, 255))
+    crop, half = images[0][40:221, 60:241], images[1].reshape(128, 2, 128, 2).mean(axis=(1, 3))
+    pgm = lambda a: b"P5 %d %d 255\n" % a.shape[::-1] + a.astype(np.uint8).tobytes()
+    rows = spark.createDataFrame([(k, bytearray(pgm(a))) for k, a in enumerate([*images, crop, half])], "id long, image binary")
+    assert {r.id: r.component_id for r in media_match.match_media(rows, "id", "image").collect()} == {0: 0, 1: 1, 2: 2, 3: 0, 4: 1}
+
+
 @pytest.mark.parametrize("name", list(registry.ORACLE_SQL))
 def test_against_sql(spark, name):
     from ..oracle import differences
