@@ -29,6 +29,13 @@ K1, B = 1.2, 0.75
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def terms_of(piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A piece's different terms in order and how often each stands there."""
+    s = np.sort(piece, kind="stable")
+    first = np.flatnonzero(np.diff(s, prepend=s[:1] ^ 1))
+    return s[first], np.diff(first, append=len(s))
+
+
 class Statistics:
     """Of all pieces: how many hold each term, and their mean length."""
 
@@ -39,7 +46,7 @@ class Statistics:
     def of(cls, pieces: list[np.ndarray]) -> Statistics:
         df = np.zeros(VOCABULARY, np.int64)
         for p in pieces:
-            df[np.unique(p)] += 1
+            df[terms_of(p)[0]] += 1
         return cls(df, len(pieces), sum(map(len, pieces)))
 
     def weights(self, terms: np.ndarray, tf: np.ndarray, lens: np.ndarray | int) -> np.ndarray:
@@ -47,7 +54,7 @@ class Statistics:
 
     def route(self, piece: np.ndarray) -> tuple[int, int, int]:
         """The three weightiest terms that another piece holds too; -1 for want of one."""
-        terms, tf = np.unique(piece, return_counts=True)
+        terms, tf = terms_of(piece)
         shared = self.df[terms] > 1
         terms, tf = terms[shared], tf[shared]
         best = terms[np.argsort(-self.weights(terms, tf, len(piece)), kind="stable")[:3]].tolist()
@@ -58,26 +65,34 @@ class ShardIndex:
     """BM25 inverted index of one shard: for each term a slice of (piece, weight)."""
 
     def __init__(self, pieces: list[np.ndarray], statistics: Statistics):
-        n = len(pieces)
-        lens = np.array([len(p) for p in pieces], np.int64)
-        owner = np.repeat(np.arange(n, dtype=np.int64), lens)
-        terms = np.concatenate(pieces).astype(np.int64) if n else np.zeros(0, np.int64)
-        key, tf = np.unique(terms * n + owner if n else terms, return_counts=True)
-        self.n, term, doc = n, key // max(n, 1), key % max(n, 1)
-        self.vocabulary, first, df = np.unique(term, return_index=True, return_counts=True)
-        self.first = np.append(first, len(term))
-        self.weight = statistics.weights(term, tf, lens[doc])
-        self.doc = doc
-        by_doc = np.lexsort((-self.weight, doc))  # each piece's terms, the weightiest first
-        self.terms_of = np.repeat(np.arange(len(df)), df)[by_doc]
-        self.ends = np.searchsorted(doc[by_doc], np.arange(n + 1))
-
-    def neighbours(self, piece: int, unused: np.ndarray, terms: int | None) -> np.ndarray:
-        """Unused pieces that share a query term (the seed's `terms` weightiest, or all), best first; ties by position."""
-        query = self.terms_of[self.ends[piece] : self.ends[piece + 1]][:terms]
-        if not len(query):
-            return query
-        cuts = [slice(a, b) for a, b in zip(self.first[query].tolist(), self.first[query + 1].tolist(), strict=True)]
+        self.terms = [terms_of(p) for p in pieces]
+        each = np.array([len(t) for t, _ in self.terms], np.int64)
+        term = np.concatenate([np.zeros(0, np.uint16), *(t for t, _ in self.terms)])
+        tf = np.concatenate([np.zeros(0, np.int64), *(n for _, n in self.terms)])
+        weight = statistics.weights(term, tf, np.repeat([len(p) for p in pieces], each))
+        order = np.argsort(term, kind="stable")  # by term, then by piece
+        self.n, self.term, self.doc, self.weight = len(pieces), term[order], np.repeat(np.arange(len(pieces)), each)[order], weight[order]
+        self._cut()
+
+    def _cut(self) -> None:
+        self.first = np.searchsorted(self.term, np.arange(VOCABULARY + 1))
+        self.held = len(self.term)
+
+    def drop(self, unused: np.ndarray) -> None:
+        """Leaves out the postings of used pieces once they are half of all."""
+        alive = unused[self.doc]
+        if 2 * alive.sum() < self.held:
+            self.term, self.doc, self.weight = self.term[alive], self.doc[alive], self.weight[alive]
+            self._cut()
+
+    def neighbours(self, piece: int, unused: np.ndarray) -> np.ndarray:
+        """Unused pieces that share a term with the seed, best first; ties by position."""
+        query = self.terms[piece][0].astype(np.int64)
+        a, b = self.first[query], self.first[query + 1]
+        some = b > a
+        cuts = [slice(x, y) for x, y in zip(a[some].tolist(), b[some].tolist(), strict=True)]
+        if not cuts:
+            return np.zeros(0, np.int64)
         score = np.bincount(np.concatenate([self.doc[s] for s in cuts]), np.concatenate([self.weight[s] for s in cuts]), self.n)
         found = np.flatnonzero((score > 0) & unused)
         return found[np.argsort(-score[found], kind="stable")]
@@ -88,7 +103,7 @@ def powers(n: int) -> list[int]:
     return [1 << k for k in range(n.bit_length() - 1, -1, -1) if n >> k & 1]
 
 
-def pack_shard(lengths: list[int], tokens: list[np.ndarray], window: int, terms: int | None, statistics: Statistics | None = None) -> list[list[tuple[int, int, int]]]:
+def pack_shard(lengths: list[int], tokens: list[np.ndarray], window: int, statistics: Statistics | None = None) -> list[list[tuple[int, int, int]]]:
     """Sequences of (row, start, length); each token of each row lies in exactly one."""
     out, start = [], []
     for r, n in enumerate(lengths):
@@ -126,7 +141,7 @@ def pack_shard(lengths: list[int], tokens: list[np.ndarray], window: int, terms:
         take(seed, n)
         room -= n
         if room:
-            order = index.neighbours(seed, unused, terms)
+            order = index.neighbours(seed, unused)
             for k in order.tolist():
                 if left[k] <= room:
                     n = int(left[k])
@@ -146,6 +161,8 @@ def pack_shard(lengths: list[int], tokens: list[np.ndarray], window: int, terms:
         elif unused[seed]:
             rest = seed
         total -= size
+        if len(out) % 64 == 0:
+            index.drop(unused)
         if size == window:
             out.append(sequence)
             continue
@@ -163,20 +180,21 @@ def pack_shard(lengths: list[int], tokens: list[np.ndarray], window: int, terms:
     return out
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, terms: int | None = None, shard_bytes: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, shard_bytes: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, within sequences of `window`.
 
-    A seed's query holds its `terms` weightiest terms, or all. Null text is an empty document (its end id alone). Repeated rows are packed each; an empty table gives no rows. Sequence
-    ids are unique: the shard in the upper bits.
+    A seed's query holds all its terms. Null text is an empty document (its end id alone). Repeated rows are packed each; an
+    empty table gives no rows. Sequence ids are unique: the shard in the upper bits.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = PieceEncoder.get(tokenizer, "dropped", 2)
-        end = np.array([end_id], "<u2").tobytes()
         for b in batches:
             for k in range(0, b.num_rows, 1000):
                 c = b.slice(k, 1000)
-                ids = pa.array([x + end for x in enc.ids(c.column(1).to_pylist())], pa.binary())
+                flat, lens = enc.ended(c.column(1), end_id)
+                offsets = np.concatenate([[0], 2 * np.cumsum(lens)]).astype(np.int32)
+                ids = pa.Array.from_buffers(pa.binary(), len(lens), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
                 yield pa.RecordBatch.from_arrays([c.column(0), ids, c.column(2)], ["doc_id", "ids", "bytes"])
 
     def piece(ids: bytes) -> np.ndarray:
@@ -188,7 +206,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, t
         for b in batches:
             for ids in b.column(0).to_pylist():
                 if len(p := piece(ids)):
-                    df[np.unique(p)] += 1
+                    df[terms_of(p)[0]] += 1
                     n, tokens = n + 1, tokens + len(p)
         held = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array([*held.tolist(), -1, -2], pa.int64()), pa.array([*df[held].tolist(), n, tokens], pa.int64())], ["term", "n"])
@@ -205,7 +223,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, t
         tokens = [np.frombuffer(x, "<u2") for x in shard["ids"]]
         base, ids = int(shard["shard"].iloc[0]) << 32, shard["doc_id"].tolist()
         rows = []
-        for number, sequence in enumerate(pack_shard([len(t) for t in tokens], tokens, window, terms, statistics)):
+        for number, sequence in enumerate(pack_shard([len(t) for t in tokens], tokens, window, statistics)):
             offset = 0
             for r, s, n in sequence:
                 rows.append((ids[r], s, n, zlib.crc32(tokens[r][s : s + n].astype("<u4").tobytes()), len(tokens[r]), base | number, offset))

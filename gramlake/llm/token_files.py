@@ -21,34 +21,38 @@ from .bpe import PieceEncoder
 from .common import shared_path, table
 
 FILE_SCHEMA = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
-MAX_BATCH_IDS = 4 << 20
+#: Bytes of text that one file is made of, about.
+PART_BYTES = 64 << 20
 
 
-def write_token_files(docs: DataFrame, out: str, tokenizer: str, end_id: int = 0, parts: int | None = None, id_col: str = "doc_id", text_col: str = "text", stride: int = 1000) -> None:
-    """Writes the token files. Null text is an empty document (its end id alone); null ids come first; rows that share an id
-    keep one row each, next to one another; an empty table writes no rows."""
+def write_token_files(docs: DataFrame, out: str, tokenizer: str, end_id: int = 0, parts: int | None = None, part_bytes: int = PART_BYTES, id_col: str = "doc_id", text_col: str = "text", stride: int = 1000) -> None:
+    """Writes the token files: `parts` of them, else one for about every `part_bytes` of text.
+
+    Null text is an empty document (its end id alone); null ids come first; rows that share an id keep one row each, next to
+    one another, and may be cut into several files; an empty table writes no rows."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         enc, part, at = PieceEncoder.get(tokenizer, "kept", 4), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<u4").tobytes()
         for b in batches:
             for k in range(0, b.num_rows, 500):
                 c = b.slice(k, 500)
-                ids = [x + end for x in enc.ids(c.column(1).to_pylist())]
-                lens = np.array([len(x) // 4 for x in ids], np.int64)
+                flat, lens = enc.ended(c.column(1), end_id)
                 ends = np.cumsum(lens)
-                flat = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(ids))])
-                arr = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), flat)
+                arr = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat.view(np.int32)))
                 yield pa.RecordBatch.from_arrays([c.column(0), pa.array(np.full(len(lens), part, np.int32)), pa.array(at + ends - lens), pa.array(lens), arr], ["doc_id", "part", "local_start", "n_tokens", "ids"])
                 at += int(ends[-1])
 
-    n = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    if parts is None:
+        size = rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("n")).first()["n"]
+        parts = -(-size // part_bytes) or 1
     (
-        docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-        .repartitionByRange(n, "doc_id")
-        .sortWithinPartitions("doc_id", "text")
+        rows.withColumn("h", F.xxhash64("text"))
+        .repartitionByRange(parts, "doc_id", "h")
+        .sortWithinPartitions("doc_id", "h", "text")
+        .select("doc_id", "text")
         .mapInArrow(encode, FILE_SCHEMA)
         .write.option("compression", "zstd")
         .option("orc.bloom.filter.columns", "doc_id")
@@ -73,8 +77,8 @@ def checksums(rows: DataFrame) -> DataFrame:
     def crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column("ids")
-            values, offsets = ids.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False), ids.offsets.to_numpy()
-            view = memoryview(np.ascontiguousarray(values)).cast("B")
+            values, offsets = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
+            view = memoryview(np.ascontiguousarray(values, "<i4")).cast("B")
             sums = [zlib.crc32(view[4 * i : 4 * j]) for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), b.column("n_tokens"), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 

@@ -85,7 +85,7 @@ def test_packing_places_each_id_once(docs, empty):
 
 def test_packing_prefers_neighbours():
     a, b = np.arange(100, 160, dtype=np.uint16), np.arange(900, 960, dtype=np.uint16)
-    first = packing.pack_shard([60, 60, 60, 60], [a, b, b, a], 120, 24)[0]
+    first = packing.pack_shard([60, 60, 60, 60], [a, b, b, a], 120)[0]
     assert {r for r, _, _ in first} in ({0, 3}, {1, 2})
 
 
@@ -106,7 +106,21 @@ def test_packing_statistics_are_of_all_pieces():
     assert whole.df[:4].tolist() == [0, 1, 3, 2] and whole.mean == 7 / 3
     assert whole.route(a) == (2, -1, -1) and whole.route(b) == (3, 2, -1)
     index = packing.ShardIndex([a], whole)
-    assert index.weight[index.first[1]] == whole.weights(np.array([2]), np.array([1]), 3)[0]
+    assert index.weight[index.first[2]] == whole.weights(np.array([2]), np.array([1]), 3)[0]
+
+
+def test_packing_neighbours_equal_brute_force():
+    rng = np.random.default_rng(6)
+    pieces = [rng.integers(0, 60, rng.integers(0, 30)).astype(np.uint16) for _ in range(80)]
+    s = packing.Statistics.of(pieces)
+    index, unused = packing.ShardIndex(pieces, s), np.ones(80, bool)
+    for k in range(80):
+        unused[k] = False
+        index.drop(unused)
+        score = {d: sum(float(s.weights(np.array([t]), np.array([(p == t).sum()]), len(p))[0]) for t in set(pieces[k].tolist()) & set(p.tolist())) for d, p in enumerate(pieces) if unused[d]}
+        got = index.neighbours(k, unused).tolist()
+        assert set(got) == {d for d, x in score.items() if x > 0}
+        assert all(score[a] > score[b] - 1e-4 for a, b in zip(got, got[1:], strict=False))
 
 
 def test_language_id(spark, empty):
