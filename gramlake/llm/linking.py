@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
@@ -40,14 +40,13 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def tiles(hits: DataFrame, key: list[str], block: int = BLOCK) -> DataFrame:
-    """hits with columns t1, t2, side: every pair of rows of one key meets in exactly one tile (key, t1, t2), of at most two
-    blocks. A bucket of up to `block` rows is one tile; a larger one is cut, its rows repeated once for each block."""
-    w = Window.partitionBy(*key)
-    numbered = hits.withColumn("_n", F.count("*").over(w)).withColumn("_k", F.row_number().over(w.orderBy("id")))
-    own = F.floor((F.col("_k") - 1) / block).cast("int")
-    last = F.floor((F.col("_n") - 1) / block).cast("int")
-    spread = numbered.withColumn("_b", own).withColumn("_o", F.explode(F.sequence(F.lit(0), last)))
-    return spread.select("*", F.least("_b", "_o").alias("t1"), F.greatest("_b", "_o").alias("t2"), (F.col("_b") > F.col("_o")).cast("int").alias("side")).drop("_n", "_k", "_o", "_b")
+    """hits, which hold their bucket's number of rows as `n`, with columns t1, t2, side: every pair of rows of one key meets in
+    exactly one tile (key, t1, t2) of about two blocks at most. A bucket of up to `block` rows is one tile; a larger one is
+    dealt into blocks by a hash of the row, without bringing it together, and its rows are repeated once for each block."""
+    last = F.ceil(F.col("n") / block).cast("int") - 1
+    own = F.when(last > 0, F.pmod(F.xxhash64(*hits.columns), last + 1)).otherwise(0).cast("int")
+    spread = hits.withColumn("_b", own).withColumn("_o", F.explode(F.sequence(F.lit(0), last)))
+    return spread.select("*", F.least("_b", "_o").alias("t1"), F.greatest("_b", "_o").alias("t2"), (F.col("_b") > F.col("_o")).cast("int").alias("side")).drop("n", "_o", "_b")
 
 
 def tiles_in_turn(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Table]:

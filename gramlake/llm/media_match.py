@@ -2,11 +2,12 @@
 
 An image (binary PGM, PPM, BMP or PNG) becomes key points: the strongest corners of each cell of a grid, at scales
 STEP apart down to the smallest usable size, with an orientation. So their number grows with the area. Each has 256 binary
-tests in its turned patch. The 256 bits are cut into eight tables of 32 bits: key points that agree in one table meet there
-(Hamming tables). Of two images' meeting key points those that follow one turn, scale and shift must number MATCHES at least,
-and more than chance explains.
-Identical files are one node. As in the n-gram join, a bucket's images first meet its smallest id only; after components are
-labelled, all pairs of a bucket with different labels meet in tiles of bounded size, behind a check of the whole 256 bits.
+tests, read between pixels in its turned patch. The first 224 bits are cut into four tables of 56 bits: key points that agree
+in one table meet there (Hamming tables), behind a check of 64 other bits. A table's row holds key, id, place and those bits
+only. Of two images' meeting key points those that follow one turn, scale and shift must number MATCHES at least, and more
+than chance explains; pairs with WEAK of them, but fewer than that, are decided by all their key points.
+Identical files are one node. A bucket's images first meet its smallest id only; after components are labelled, all pairs of
+a bucket with different labels meet in tiles of bounded size.
 """
 
 from __future__ import annotations
@@ -19,14 +20,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import bounded_broadcast, table, written
 from .linking import components, tiles, whole_runs
 
-STEP, CELL, POINTS, RADIUS, BITS, TABLES = 2**0.5, 48, 24, 7, 256, 8
-MATCHES, TOLERANCE, NEAR = 6, 2.5, 40
+STEP, CELL, POINTS, RADIUS, BITS, TABLES, KEY_BYTES = 2 ** (1 / 3), 48, 24, 7, 256, 4, 7
+MATCHES, WEAK, TOLERANCE, NEAR, NEAR_64 = 6, 3, 2.5, 40, 10
+#: Bucket keys and labels that are broadcast at most; beyond, they are joined by shuffle.
+BROADCAST_ROWS = 2_000_000
 #: Pixels of images of one shape that are treated at a time (a larger image alone).
 STACK_PIXELS = 1 << 16
 _rng = np.random.default_rng(20)
@@ -115,6 +118,29 @@ def resized(a: np.ndarray, factor: float) -> np.ndarray:
     return (upper[..., x0] * (1 - fx) + upper[..., x1] * fx) * (1 - fy) + (lower[..., x0] * (1 - fx) + lower[..., x1] * fx) * fy
 
 
+def between(a: np.ndarray, i: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The values of images `i` at places between their pixels."""
+    h, w = a.shape[1:]
+    y, x = np.clip(y, 0, h - 1.001).astype(np.float32), np.clip(x, 0, w - 1.001).astype(np.float32)
+    y0, x0 = y.astype(np.int64), x.astype(np.int64)
+    fy, fx, flat = y - y0, x - x0, a.ravel()
+    at = (i[:, None] * h + y0) * w + x0
+    upper, lower = flat[at] * (1 - fx) + flat[at + 1] * fx, flat[at + w] * (1 - fx) + flat[at + w + 1] * fx
+    return upper * (1 - fy) + lower * fy
+
+
+def packed(places: np.ndarray) -> np.ndarray:
+    """(x, y, angle, scale) as one integer: quarters of a pixel, 4096 angles, the number of the scale."""
+    x, y = (np.rint(places[:, k] * 4).astype(np.int64) & 0xFFFFF for k in (0, 1))
+    angle = np.rint(places[:, 2] * (2048 / np.pi)).astype(np.int64) & 0xFFF
+    return x << 44 | y << 24 | angle << 12 | np.rint(np.log(places[:, 3]) / np.log(STEP)).astype(np.int64)
+
+
+def unpacked(p: np.ndarray) -> np.ndarray:
+    x, y, angle = (p >> 44 & 0xFFFFF) / 4, (p >> 24 & 0xFFFFF) / 4, (p >> 12 & 0xFFF) * (np.pi / 2048)
+    return np.stack([x, y, angle, STEP ** (p & 0xFFF).astype(float)], axis=1)
+
+
 def stack_points(images: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Key points of images of one shape (n, h, w): image number, (x, y, angle, scale) and 256 bits as 32 bytes of each."""
     owner, places, bits = [np.zeros(0, np.int64)], [np.zeros((0, 4))], [np.zeros((0, BITS // 8), np.uint8)]
@@ -128,7 +154,7 @@ def stack_points(images: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray
         scale = STEP**level
         if min(int(n / scale) for n in images.shape[1:]) <= 2 * m + 2:
             break
-        a = images if not level else resized(box(images, max(1, round((scale - 1) / 2))), scale)
+        a = images if not level else resized(box(images, max(1, round((scale - 1) / 2))) if scale >= 2**0.5 else images, scale)
         a = box(a, 1)
         gy, gx = np.gradient(a, axis=(1, 2))
         xx, yy, xy = box(gx * gx, 2), box(gy * gy, 2), box(gx * gy, 2)
@@ -153,7 +179,7 @@ def stack_points(images: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray
             patch = a[i[:, None], py[:, None] + dy, px[:, None] + dx].astype(float)
             angle = np.arctan2((patch * dy).sum(1), (patch * dx).sum(1))
             c, s = np.cos(angle)[:, None], np.sin(angle)[:, None]
-            grey = [a[i[:, None], np.clip(np.rint(py[:, None] + s * u + c * v).astype(int), 0, h - 1), np.clip(np.rint(px[:, None] + c * u - s * v).astype(int), 0, w - 1)] for u, v in ((x1, y1), (x2, y2))]
+            grey = [between(a, i, py[:, None] + s * u + c * v, px[:, None] + c * u - s * v) for u, v in ((x1, y1), (x2, y2))]
             owner.append(i)
             bits.append(np.packbits(grey[0] < grey[1], axis=1))
             places.append(np.stack([px * scale, py * scale, angle, np.full(len(px), scale)], axis=1))
@@ -193,8 +219,9 @@ def needed(q: np.ndarray) -> int:
 def consensus(p: np.ndarray, q: np.ndarray) -> int:
     """The greatest number of key points (distinct on both sides) that one turn, scale and shift of a match carries along."""
     best = 0
+    spots = [np.unique(np.rint(v[:, :2] / 2), axis=0, return_inverse=True)[1].ravel() for v in (p, q)]
     s = q[:, 3] / p[:, 3]
-    for turn, scale in ((t, z) for t in (0, 1) for z in (0, 1)):
+    for turn, scale in ((1, 1), (0, 0), (0, 1), (1, 0)):
         theta = (q[:, 2] - p[:, 2]) * turn  # also the upright, unscaled copy, whose angles may be noisy
         z = s if scale else np.ones(len(s))
         c, n = z * np.cos(theta), z * np.sin(theta)
@@ -203,24 +230,34 @@ def consensus(p: np.ndarray, q: np.ndarray) -> int:
             h = slice(k, k + 64)
             ex = c[h, None] * p[None, :, 0] - n[h, None] * p[None, :, 1] + tx[h, None] - q[None, :, 0]
             ey = n[h, None] * p[None, :, 0] + c[h, None] * p[None, :, 1] + ty[h, None] - q[None, :, 1]
-            for row in ex * ex + ey * ey <= TOLERANCE**2:
-                if row.sum() > best:
-                    best = max(best, min(len({*map(tuple, np.rint(v[row][:, :2] / 2))}) for v in (p, q)))
+            carried = ex * ex + ey * ey <= TOLERANCE**2
+            size = carried.sum(axis=1)
+            for r in np.argsort(-size, kind="stable").tolist():
+                if size[r] <= best:
+                    break
+                best = max(best, min(len(np.unique(v[carried[r]])) for v in spots))
     return best
 
 
-def fixed(values: np.ndarray, width: int) -> pa.Array:
-    """Rows of `width` bytes as a binary array."""
-    n = values.nbytes // width
-    offsets = np.arange(n + 1, dtype=np.int32) * np.int32(width)
-    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+def alike(p: np.ndarray, q: np.ndarray, u: np.ndarray, v: np.ndarray) -> bool:
+    """Whether two images are copies, by all their key points: the nearest of q to each of p within NEAR bits may match."""
+    i, j = [], []
+    for k in range(0, len(u), 256):
+        apart = np.bitwise_count(u[k : k + 256, None] ^ v[None]).sum(axis=2, dtype=np.int64)
+        near = apart.argmin(axis=1)
+        own = np.flatnonzero(apart[np.arange(len(near)), near] <= NEAR)
+        i.append(own + k)
+        j.append(near[own])
+    i, j = np.concatenate(i), np.concatenate(j)
+    return len(i) >= MATCHES and consensus(p[i], q[j]) >= needed(q[j])
 
 
 def match_media(media: DataFrame, id_col: str, bytes_col: str) -> DataFrame:
     """(id, n_keypoints, component_id), one row per image: component_id is the smallest id that copies lead to.
 
     Images that can't be decoded or lack corners are linked with byte-identical ones only; null and empty bytes and null ids
-    with nothing (a null id gets a null component)."""
+    with nothing (a null id gets a null component). Of rows that share an id the first file by its hash stands for it; an
+    empty table gives no rows; other columns are left out."""
     rows = media.select(F.col(id_col).cast("long").alias("id"), F.col(bytes_col).alias("data"))
     keyed = rows.select("id", F.when(F.octet_length("data") > 0, F.sha2("data", 256)).alias("sha"), "data")
 
@@ -229,87 +266,99 @@ def match_media(media: DataFrame, id_col: str, bytes_col: str) -> DataFrame:
             for k in range(0, b.num_rows, 50):
                 c = b.slice(k, 50)
                 got = keypoints([decode(data) for data in c.column(2).to_pylist()])
-                n, xs, bits = [len(p) for p, _ in got], [p.astype("<f4").tobytes() for p, _ in got], [d.tobytes() for _, d in got]
+                n, xs, bits = [len(p) for p, _ in got], [packed(p).tobytes() for p, _ in got], [d.tobytes() for _, d in got]
                 yield pa.RecordBatch.from_arrays([c.column(0), c.column(1), pa.array(n, pa.int64()), pa.array(xs, pa.binary()), pa.array(bits, pa.binary())], ["id", "sha", "n_keypoints", "places", "bits"])
 
     found = written(keyed.mapInArrow(points, "id long, sha string, n_keypoints long, places binary, bits binary"), "keypoints")
     files = found.where("sha is not null and id is not null").groupBy("sha").agg(F.min("id").alias("rep"))
-    reps = found.where("n_keypoints > 0 and id is not null").join(files.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"])
+    first = found.where("n_keypoints > 0 and id is not null").select("id", "sha").groupBy("id").agg(F.min("sha").alias("sha"))
+    chosen = first.join(files, "sha").where("id = rep").select("id", "sha")
+    reps = found.join(chosen, ["id", "sha"], "left_semi").select("id", "places", "bits").dropDuplicates(["id"])
+    reps = written(reps, "images")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(0, b.num_rows, 100):
-                c = b.slice(k, 100)
-                place, bits = (np.frombuffer(b"".join(c.column(x).to_pylist()), kind) for x, kind in ((1, "V16"), (2, np.uint32)))
-                desc = bits.reshape(-1, TABLES)
-                keys = (desc.astype(np.int64) | (np.arange(TABLES, dtype=np.int64) << 32)).ravel()
-                owner = np.repeat(c.column(0).to_numpy(), [len(x) // 16 * TABLES for x in c.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(owner), fixed(np.repeat(place, TABLES), 16), fixed(np.repeat(desc, TABLES, axis=0), BITS // 8)], ["key", "id", "place", "bits"])
-
-    post = reps.select("id", "places", "bits").mapInArrow(spread, "key long, id long, place binary, bits binary")
-    w = Window.partitionBy("key")
-    hits = post.select("*", F.min(F.struct("id", "place", "bits")).over(w).alias("f"), F.max("id").over(w).alias("hi")).where("f.id <> hi")
-    hits = written(hits.drop("hi"), "hits")
-    star = hits.where("id <> f.id").select(F.col("f.id").alias("a"), F.col("id").alias("b"), F.col("f.place").alias("p"), F.col("place").alias("q"), F.col("f.bits").alias("u"), F.col("bits").alias("v"))
-    links = agreeing(star.where(near("u", "v")).select("a", "b", "p", "q"))
+            for k in range(0, b.num_rows, 200):
+                c = b.slice(k, 200)
+                place, bits = (np.frombuffer(b"".join(c.column(x).to_pylist()), kind) for x, kind in ((1, np.int64), (2, np.uint8)))
+                bits = bits.reshape(-1, BITS // 8)
+                keys, checks = np.zeros((TABLES, len(bits)), np.int64), np.zeros((TABLES, len(bits)), np.int64)
+                for t in range(TABLES):
+                    wide = np.zeros((len(bits), 8), np.uint8)
+                    wide[:, :KEY_BYTES], wide[:, 7] = bits[:, t * KEY_BYTES : (t + 1) * KEY_BYTES], t
+                    keys[t] = wide.view(np.int64)[:, 0]
+                    checks[t] = np.ascontiguousarray(bits[:, -8:] if t < TABLES // 2 else bits[:, :8]).view(np.int64)[:, 0]
+                owner = np.repeat(c.column(0).to_numpy(), [len(x) // 8 for x in c.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.tile(owner, TABLES)), pa.array(np.tile(place, TABLES)), pa.array(checks.ravel())], ["key", "id", "place", "check"])
+
+    post = reps.mapInArrow(spread, "key long, id long, place long, check long")
+    head = F.min(F.struct("id", "place", "check")).alias("f")
+    buckets = post.groupBy("key").agg(head, F.max("id").alias("hi"), F.count("*").alias("n")).where("f.id <> hi")
+    buckets = written(buckets.select("key", F.col("f.id").alias("a"), F.col("f.place").alias("p"), F.col("f.check").alias("u"), "n"), "buckets")
+    keys = buckets.select("key")
+    held = written(post.join(bounded_broadcast(keys, keys.count(), BROADCAST_ROWS), "key", "left_semi"), "hits")
+    star = held.join(buckets, "key").where("id <> a").where(F.bit_count(F.col("check").bitwiseXOR(F.col("u"))) <= NEAR_64)
+    links = linked(star.select("a", F.col("id").alias("b"), "p", F.col("place").alias("q")), reps)
     label = written(components(links), "labels")
 
-    seen = hits.select("key", "id", "place", "bits").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = seen.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    label = bounded_broadcast(label, label.count(), BROADCAST_ROWS)
+    seen = held.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = written(seen.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n"), "mixed")
+    seen = seen.join(bounded_broadcast(mixed, mixed.count(), BROADCAST_ROWS), "key")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Row k meets row k + step of its tile, for all rows at once. Pairs that agree in several tables leave from the first.
+        # Row k meets row k + step of its tile, for all rows at once.
         for t, ends in whole_runs(batches, ["key", "t1", "t2"]):
-            i, c, side, t1, t2 = (t.column(x).to_numpy() for x in ("id", "component", "side", "t1", "t2"))
-            table_no = t.column("key").to_numpy() >> 32
-            u = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(len(i), -1)
-            place = np.frombuffer(b"".join(t.column("place").to_pylist()), "V16")
+            i, c, side, t1, t2, u, place = (t.column(x).to_numpy() for x in ("id", "component", "side", "t1", "t2", "check", "place"))
             k, step = np.arange(len(i)), 1
             while len(k := k[k + step < ends[k]]):
                 x = k[(c[k] != c[k + step]) & ((t1[k] == t2[k]) | (side[k] != side[k + step]))]
-                apart = u[x] ^ u[x + step]
-                close = np.bitwise_count(apart).sum(axis=1) <= NEAR
-                x, apart = x[close], apart[close]
-                x = x[(apart.view(np.uint32) == 0).argmax(axis=1) == table_no[x]]
+                x = x[np.bitwise_count(u[x] ^ u[x + step]) <= NEAR_64]
                 step, y = step + 1, x + step
                 if len(x):
                     lo, hi = np.where(i[x] < i[y], x, y), np.where(i[x] < i[y], y, x)
-                    yield pa.RecordBatch.from_arrays([pa.array(i[lo]), pa.array(i[hi]), fixed(place[lo], 16), fixed(place[hi], 16)], ["a", "b", "p", "q"])
+                    yield pa.RecordBatch.from_arrays([pa.array(z) for z in (i[lo], i[hi], place[lo], place[hi])], ["a", "b", "p", "q"])
 
-    tiled = tiles(seen.join(mixed, "key", "left_semi"), ["key"]).select("key", "t1", "t2", "side", "id", "component", "place", "bits")
-    more = agreeing(tiled.repartition("key", "t1", "t2").sortWithinPartitions("key", "t1", "t2").mapInArrow(meet, "a long, b long, p binary, q binary"))
+    tiled = tiles(seen, ["key"]).select("key", "t1", "t2", "side", "id", "component", "place", "check")
+    more = linked(tiled.repartition("key", "t1", "t2").sortWithinPartitions("key", "t1", "t2").mapInArrow(meet, "a long, b long, p long, q long"), reps)
     final = components(links.unionByName(more))
     nodes = files.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("sha", F.coalesce("component", "rep").alias("component"))
     own = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return found.select("id", "sha", "n_keypoints").join(nodes, "sha", "left").select("id", "n_keypoints", own.alias("component_id"))
 
 
-def near(u: str, v: str) -> Column:
-    """Whether two descriptors differ in NEAR bits at most."""
-
-    @F.arrow_udf("boolean")
-    def close(x: pa.Array, y: pa.Array) -> pa.Array:
-        if not len(x):
-            return pa.array([], pa.bool_())
-        a, b = (np.frombuffer(b"".join(z.to_pylist()), np.uint64).reshape(len(z), -1) for z in (x, y))
-        return pa.array(np.bitwise_count(a ^ b).sum(axis=1) <= NEAR)
-
-    return close(u, v)
-
-
-def agreeing(matches: DataFrame) -> DataFrame:
-    """The written pairs (a, b) of which MATCHES key points follow one movement."""
+def linked(matches: DataFrame, images: DataFrame) -> DataFrame:
+    """The written pairs (a, b) of images that are copies: by the movement of their matches (a, b, p, q), or, where only a few
+    of these agree, by all key points."""
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, ends in whole_runs(batches, ["a", "b"]):
             stops = np.unique(ends)
             starts = np.append(0, stops[:-1])
-            p, q = (np.frombuffer(b"".join(t.column(x).to_pylist()), "<f4").reshape(-1, 4).astype(float) for x in ("p", "q"))
-            long = stops - starts >= MATCHES
-            found = [i for i, j in zip(starts[long].tolist(), stops[long].tolist(), strict=True) if consensus(p[i:j], q[i:j]) >= needed(q[i:j])]
-            yield pa.RecordBatch.from_arrays([t.column(x).combine_chunks().take(pa.array(found, pa.int64())) for x in ("a", "b")], ["a", "b"])
-
-    return written(matches.distinct().repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(vote, "a long, b long"), "links")
+            p, q = (t.column(x).to_numpy() for x in ("p", "q"))
+            sure, at = [], []
+            many = stops - starts >= WEAK
+            for i, j in zip(starts[many].tolist(), stops[many].tolist(), strict=True):
+                x, y = unpacked(p[i:j]), unpacked(q[i:j])
+                if (n := consensus(x, y)) >= WEAK:
+                    at.append(i)
+                    sure.append(n >= needed(y))
+            yield pa.RecordBatch.from_arrays([*(t.column(x).combine_chunks().take(pa.array(at, pa.int64())) for x in ("a", "b")), pa.array(sure, pa.bool_())], ["a", "b", "sure"])
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kept = []
+            for p, q, u, v in zip(*(b.column(x).to_pylist() for x in ("pa", "pb", "ua", "ub")), strict=True):
+                p, q = (unpacked(np.frombuffer(x, np.int64)) for x in (p, q))
+                u, v = (np.frombuffer(x, np.uint64).reshape(-1, BITS // 64) for x in (u, v))
+                kept.append(alike(p, q, u, v))
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(kept, pa.bool_())), b.column("b").filter(pa.array(kept, pa.bool_()))], ["a", "b"])
+
+    voted = written(matches.distinct().repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(vote, "a long, b long, sure boolean"), "votes")
+    both = voted.where("not sure").select("a", "b")
+    for side in ("a", "b"):
+        both = both.join(images.select(F.col("id").alias(side), F.col("places").alias(f"p{side}"), F.col("bits").alias(f"u{side}")), side)
+    return written(voted.where("sure").select("a", "b").unionByName(both.mapInArrow(decide, "a long, b long")), "links")
 
 
 def drawn(vector: Column, side: int = 64) -> Column:

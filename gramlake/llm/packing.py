@@ -1,8 +1,9 @@
 """Packing (operator 3): lexical retrieval packing over a sharded BM25 inverted index.
 
 Document frequencies and the mean length are counted over all documents' pieces. Documents are routed to shards by their
-weightiest shared terms: ordered by the first three, copies side by side, and cut into shards of bounded size, so copies and
-texts of one topic meet at any scale; only copies of one text that are larger than a shard are spread over several. A shard's index holds all its pieces.
+weightiest shared terms: ranged by the first three, copies side by side, and cut in this order into shards of bounded size, so
+copies and texts of one topic meet at any scale; a group of copies larger than a task's range is cut by id. A shard's index
+holds all its pieces.
 A seed (the rest of the document cut last, else the longest one unused) asks the index for its neighbours with all its terms;
 those unused fill its window greedily in order of score, whole where they fit, and the best one left is cut to close the
 window. Full windows of longer documents are sequences of their own. What is left when a shard is used up is cut into
@@ -15,16 +16,15 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import PieceEncoder
 from .common import bounded_batches, table, written
 
-SHARD_BYTES, VOCABULARY = 6 << 20, 1 << 16
+SHARD_TOKENS, SHARDS_A_TASK, VOCABULARY = 2_400_000, 4, 1 << 16
 K1, B = 1.2, 0.75
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -180,77 +180,88 @@ def pack_shard(lengths: list[int], tokens: list[np.ndarray], window: int, statis
     return out
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, shard_bytes: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, shard_tokens: int = SHARD_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, within sequences of `window`.
 
     A seed's query holds all its terms. Null text is an empty document (its end id alone). Repeated rows are packed each; an
-    empty table gives no rows. Sequence ids are unique: the shard in the upper bits.
+    empty table gives no rows; other columns are left out, whatever their names. Sequence ids are unique: the task in the upper bits.
     """
 
+    def piece(tokens: np.ndarray) -> np.ndarray:
+        return tokens[len(tokens) - len(tokens) % window :]
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The documents' ids, then how many of this task's pieces hold each term; -1 counts the pieces, -2 their tokens, -3 all tokens.
         enc = PieceEncoder.get(tokenizer, "dropped", 2)
+        df, n, tokens, total = np.zeros(VOCABULARY, np.int64), 0, 0, 0
         for b in batches:
             for k in range(0, b.num_rows, 1000):
                 c = b.slice(k, 1000)
                 flat, lens = enc.ended(c.column(1), end_id)
-                offsets = np.concatenate([[0], 2 * np.cumsum(lens)]).astype(np.int32)
+                ends = np.cumsum(lens)
+                for e, m in zip(ends.tolist(), lens.tolist(), strict=True):
+                    if len(p := piece(flat[e - m : e])):
+                        df[terms_of(p)[0]] += 1
+                        n, tokens = n + 1, tokens + len(p)
+                total += int(lens.sum())
+                offsets = np.concatenate([[0], 2 * ends]).astype(np.int32)
                 ids = pa.Array.from_buffers(pa.binary(), len(lens), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
-                yield pa.RecordBatch.from_arrays([c.column(0), ids, c.column(2)], ["doc_id", "ids", "bytes"])
-
-    def piece(ids: bytes) -> np.ndarray:
-        tokens = np.frombuffer(ids, "<u2")
-        return tokens[len(tokens) - len(tokens) % window :]
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n, tokens = np.zeros(VOCABULARY, np.int64), 0, 0
-        for b in batches:
-            for ids in b.column(0).to_pylist():
-                if len(p := piece(ids)):
-                    df[terms_of(p)[0]] += 1
-                    n, tokens = n + 1, tokens + len(p)
+                none = pa.nulls(len(lens), pa.int64())
+                yield pa.RecordBatch.from_arrays([c.column(0), ids, none, none], ["doc_id", "ids", "term", "n"])
         held = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array([*held.tolist(), -1, -2], pa.int64()), pa.array([*df[held].tolist(), n, tokens], pa.int64())], ["term", "n"])
+        term, count = np.concatenate([held, [-1, -2, -3]]), np.concatenate([df[held], [n, tokens, total]])
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(term), pa.int64()), pa.nulls(len(term), pa.binary()), pa.array(term), pa.array(count)], ["doc_id", "ids", "term", "n"])
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(0, b.num_rows, 1000):
                 c = b.slice(k, 1000)
-                routes = [statistics.route(piece(ids)) for ids in c.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*c.columns, *(pa.array([r[i] for r in routes], pa.int32()) for i in (0, 1, 2))], ["doc_id", "ids", "bytes", "t1", "t2", "t3"])
-
-    def fill(shard: pd.DataFrame) -> pd.DataFrame:
-        shard = shard.sort_values(["doc_id", "ids"], kind="stable")
-        tokens = [np.frombuffer(x, "<u2") for x in shard["ids"]]
-        base, ids = int(shard["shard"].iloc[0]) << 32, shard["doc_id"].tolist()
-        rows = []
-        for number, sequence in enumerate(pack_shard([len(t) for t in tokens], tokens, window, statistics)):
-            offset = 0
-            for r, s, n in sequence:
-                rows.append((ids[r], s, n, zlib.crc32(tokens[r][s : s + n].astype("<u4").tobytes()), len(tokens[r]), base | number, offset))
-                offset += n
-        return pd.DataFrame(rows, columns=[x.split()[0] for x in PIECES.split(", ")]).astype({"doc_id": "Int64"})
+                routes = [statistics.route(piece(np.frombuffer(ids, "<u2"))) for ids in c.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*c.columns, *(pa.array([r[i] for r in routes], pa.int32()) for i in (0, 1, 2))], ["doc_id", "ids", "t1", "t2", "t3"])
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        base, number = TaskContext.get().partitionId() << 32, 0
+        held: list[tuple[int | None, np.ndarray]] = []
+        size = 0
+
+        def packed() -> pa.RecordBatch:
+            nonlocal number
+            rows: list[tuple] = []
+            for sequence in pack_shard([len(t) for _, t in held], [t for _, t in held], window, statistics):
+                offset = 0
+                for r, s, n in sequence:
+                    rows.append((held[r][0], s, n, zlib.crc32(held[r][1][s : s + n].astype("<u4").tobytes()), len(held[r][1]), base | number, offset))
+                    offset += n
+                number += 1
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], [x.split()[0] for x in PIECES.split(", ")])
+
+        for b in batches:
+            for i, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                held.append((i, np.frombuffer(ids, "<u2")))
+                size += len(held[-1][1])
+                if size >= shard_tokens:
+                    yield packed()
+                    held, size = [], 0
+        if held:
+            yield packed()
 
     bounded_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("bytes", F.octet_length("text").cast("long"))
-    encoded = written(rows.mapInArrow(encode, "doc_id long, ids binary, bytes long"), "ids")
-    # At most one row a term of the vocabulary reaches the driver, here and below.
-    counts = {r["term"]: r["n"] for r in encoded.select("ids").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    encoded = written(rows.mapInArrow(encode, "doc_id long, ids binary, term long, n long"), "ids")
+    # At most one row a term of the vocabulary reaches the driver.
+    counts = {r["term"]: r["n"] for r in encoded.where("term is not null").groupBy("term").agg(F.sum("n").alias("n")).collect()}
     df = np.zeros(VOCABULARY, np.int64)
     for term, n in counts.items():
         if term >= 0:
             df[term] = n
     statistics = Statistics(df, counts.get(-1, 0), counts.get(-2, 0))
-    routed = written(encoded.mapInArrow(route, "doc_id long, ids binary, bytes long, t1 int, t2 int, t3 int").withColumn("h", F.xxhash64("ids")), "routed")
-    cell = ["t1", "t2", "t3", "h"]
-    cells = routed.groupBy(cell).agg(F.sum("bytes").alias("cell"))
-    firsts = sorted((r["t1"], r["n"]) for r in cells.groupBy("t1").agg(F.sum("cell").alias("n")).collect())
-    starts = np.cumsum([0, *(n for _, n in firsts)]).tolist()
-    offsets = rows.sparkSession.createDataFrame([(t, at) for (t, _), at in zip(firsts, starts, strict=False)], "t1 int, base long")
-    before = F.sum("cell").over(Window.partitionBy("t1").orderBy("t2", "t3", "h")) - F.col("cell")
-    placed = cells.withColumn("before", before).join(F.broadcast(offsets), "t1").select(*cell, F.floor((F.col("base") + F.col("before")) / shard_bytes).alias("first"), F.greatest(F.ceil(F.col("cell") / shard_bytes), F.lit(1)).alias("spread"))
-    shard = (F.col("first") + F.pmod(F.xxhash64("doc_id", "ids"), F.col("spread"))).alias("shard")
-    encoded = routed.join(placed, cell).select(shard, "doc_id", "ids")
-    return encoded.groupBy("shard").applyInPandas(fill, PIECES)
+    parts = -(-counts.get(-3, 0) // (SHARDS_A_TASK * shard_tokens)) or 1
+    routed = encoded.where("term is null").select("doc_id", "ids").mapInArrow(route, "doc_id long, ids binary, t1 int, t2 int, t3 int")
+    order = ["t1", "t2", "t3", "h", "doc_id"]
+    ranged = routed.withColumn("h", F.xxhash64("ids")).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    return ranged.select("doc_id", "ids").mapInArrow(fill, PIECES)
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

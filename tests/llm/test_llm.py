@@ -94,10 +94,10 @@ def test_packing_brings_copies_together_across_shards(spark):
     words = [f"{a}{b}" for a in ("river", "stone", "cloud", "apple", "horse", "table") for b in ("man", "land", "ship", "work")]
     texts = [" ".join(rng.permutation(words[4 * (k % 6) : 4 * (k % 6) + 4] * 15)) for k in range(36)]
     rows = spark.createDataFrame([(k, texts[k % 36]) for k in range(72)], "doc_id long, text string")
-    got = packing.pack(rows, WORD, window=256, shard_bytes=3000).collect()
+    got = packing.pack(rows, WORD, window=256, shard_tokens=500).collect()
     assert len({r.sequence_id >> 32 for r in got}) > 3
-    shards = {k: {r.sequence_id >> 32 for r in got if r.doc_id == k} for k in range(72)}
-    assert sum(bool(shards[k] & shards[k + 36]) for k in range(36)) >= 30  # 9 of 36 are expected of a hash
+    tasks = {k: {r.sequence_id >> 32 for r in got if r.doc_id == k} for k in range(72)}
+    assert sum(bool(tasks[k] & tasks[k + 36]) for k in range(36)) >= 30  # 36 in the number of tasks are expected of a hash
 
 
 def test_packing_statistics_are_of_all_pieces():
