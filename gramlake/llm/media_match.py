@@ -2,7 +2,7 @@
 
 An image (binary PGM, PPM, BMP or PNG) becomes key points: the strongest corners of each cell of a grid, at scales
 STEP apart down to the smallest usable size, with an orientation. So their number grows with the area. Each has 256 binary
-tests, read between pixels in its turned patch. The first 224 bits are cut into four tables of 56 bits: key points that agree
+tests, read between pixels in its turned patch. The first 240 bits are cut into five tables of 48 bits: key points that agree
 in one table meet there (Hamming tables), behind a check of 64 other bits. A table's row holds key, id, place and those bits
 only. Of two images' meeting key points those that follow one turn, scale and shift must number MATCHES at least, and more
 than chance explains; pairs with WEAK of them, but fewer than that, are decided by all their key points.
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import bounded_broadcast, table, written
 from .linking import components, tiles, whole_runs
 
-STEP, CELL, POINTS, RADIUS, BITS, TABLES, KEY_BYTES = 2 ** (1 / 3), 48, 24, 7, 256, 4, 7
-MATCHES, WEAK, TOLERANCE, NEAR, NEAR_64 = 6, 3, 2.5, 40, 10
+STEP, CELL, POINTS, RADIUS, BITS, TABLES, KEY_BYTES = 2 ** (1 / 3), 48, 24, 7, 256, 5, 6
+MATCHES, WEAK, TOLERANCE, NEAR, NEAR_64 = 6, 2, 2.5, 40, 10
 #: Bucket keys and labels that are broadcast at most; beyond, they are joined by shuffle.
 BROADCAST_ROWS = 2_000_000
 #: Pixels of images of one shape that are treated at a time (a larger image alone).
@@ -287,7 +287,7 @@ def match_media(media: DataFrame, id_col: str, bytes_col: str) -> DataFrame:
                     wide = np.zeros((len(bits), 8), np.uint8)
                     wide[:, :KEY_BYTES], wide[:, 7] = bits[:, t * KEY_BYTES : (t + 1) * KEY_BYTES], t
                     keys[t] = wide.view(np.int64)[:, 0]
-                    checks[t] = np.ascontiguousarray(bits[:, -8:] if t < TABLES // 2 else bits[:, :8]).view(np.int64)[:, 0]
+                    checks[t] = np.ascontiguousarray(bits[:, -8:] if t < 2 else bits[:, :8]).view(np.int64)[:, 0]
                 owner = np.repeat(c.column(0).to_numpy(), [len(x) // 8 for x in c.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.tile(owner, TABLES)), pa.array(np.tile(place, TABLES)), pa.array(checks.ravel())], ["key", "id", "place", "check"])
 

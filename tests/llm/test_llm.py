@@ -300,6 +300,53 @@ def test_media_large_images(spark):
     assert {r.id: r.component_id for r in media_match.match_media(rows, "id", "image").collect()} == {0: 0, 1: 1, 2: 2, 3: 0, 4: 1}
 
 
+def turned(a, degrees):
+    h, w = a.shape
+    t, (y, x) = np.deg2rad(degrees), np.mgrid[:h, :w]
+    at = np.stack([(np.cos(t) * (x - w / 2) - np.sin(t) * (y - h / 2)) + w / 2, (np.sin(t) * (x - w / 2) + np.cos(t) * (y - h / 2)) + h / 2])
+    return media_match.between(a[None], np.zeros(h, np.int64), at[1], at[0])
+
+
+EDITS = {
+    "crop to a half of the area": lambda a: a[18:109, 18:109],
+    "half size": lambda a: a.reshape(64, 2, 64, 2).mean(axis=(1, 3)),
+    "scale 0.8": lambda a: media_match.resized((a + media_match.box(a, 1)) / 2, 1.25),
+    "scale 1.5": lambda a: media_match.resized(a, 1 / 1.5),
+    "noise": lambda a: np.clip(a + np.random.default_rng(1).normal(0, 8, a.shape), 0, 255),
+    "turn by 20 degrees": lambda a: turned(a, 20),
+    "quarter turn": np.rot90,
+    "blur": lambda a: media_match.box(a, 1),
+    "sixteen greys": lambda a: np.round(a / 16) * 16,
+}
+
+
+def test_media_recall_against_all_pairs(spark):
+    rng = np.random.default_rng(3)
+    y, x = np.mgrid[:128, :128]
+    pgm = lambda a: b"P5 %d %d 255\n" % a.shape[::-1] + np.clip(a, 0, 255).astype(np.uint8).tobytes()
+    rows = []
+    for k in range(12):
+        f = sum(rng.normal() * np.cos((np.cos(t) * x + np.sin(t) * y) * 2 * np.pi / n + p) for t, n, p in zip(rng.uniform(0, 3.1, 40), rng.uniform(6, 30, 40), rng.uniform(0, 6, 40), strict=True))
+        a = np.clip(128 + 45 * f / f.std(), 0, 255)
+        rows += [(100 * k + e, bytearray(pgm(edit(a)))) for e, edit in enumerate([lambda a: a, *EDITS.values()])]
+    got = {r.id: r.component_id for r in media_match.match_media(spark.createDataFrame(rows, "id long, image binary"), "id", "image").collect()}
+    found = {name: np.mean([got[100 * k + e + 1] == got[100 * k] for k in range(12)]) for e, name in enumerate(EDITS)}
+    assert min(found.values()) >= 0.9, found
+    assert len(set(got.values())) >= 12 and all(v // 100 == k // 100 for k, v in got.items())
+    points = dict(zip([i for i, _ in rows], media_match.keypoints([media_match.decode(bytes(d)) for _, d in rows]), strict=True))
+    ids = sorted(points)
+    pairs = [(a, b) for a in ids for b in ids if a < b and (a // 100 == b // 100 or (a + b) % 31 == 0)]
+    brute = [p for p in pairs if media_match.alike(points[p[0]][0], points[p[1]][0], *(np.ascontiguousarray(points[i][1]).view(np.uint64).reshape(-1, 4) for i in p))]
+    assert np.mean([got[a] == got[b] for a, b in brute]) >= 0.9 and all(a // 100 == b // 100 for a, b in brute)
+
+
+def test_media_repeats_and_empty_tables(spark):
+    blank = b"P5 32 32 255\n" + bytes(1024)
+    rows = spark.createDataFrame([(1, bytearray(blank), "x"), (1, bytearray(b"other"), "x"), (2, bytearray(blank), "y"), (None, bytearray(blank), "z")], "id long, data binary, component_id string")
+    assert sorted((r.id or 0, r.component_id) for r in media_match.match_media(rows, "id", "data").collect() if r.id) == [(1, 1), (1, 1), (2, 1)]
+    assert media_match.match_media(rows.limit(0), "id", "data").count() == 0
+
+
 @pytest.mark.parametrize("name", list(registry.ORACLE_SQL))
 def test_against_sql(spark, name):
     from ..oracle import differences
