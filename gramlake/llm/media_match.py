@@ -3,8 +3,8 @@
 An image (binary PGM, PPM, BMP or PNG) becomes key points: the strongest corners of each cell of a grid, at scales
 STEP apart down to the smallest usable size, with an orientation. So their number grows with the area. Each has 256 binary
 tests, read between pixels in its turned patch. The first 240 bits are cut into five tables of 48 bits: key points that agree
-in one table meet there (Hamming tables), behind a check of 64 other bits. A table's row holds key, id, place and those bits
-only. Of two images' meeting key points those that follow one turn, scale and shift must number MATCHES at least, and more
+in one table meet there (Hamming tables), behind a check of 128 other bits. Keys are counted with ids only; rows with place
+and check follow for keys of several images. Of two images' meeting key points those that follow one turn, scale and shift must number MATCHES at least, and more
 than chance explains; pairs with WEAK of them, but fewer than that, are decided by all their key points.
 Identical files are one node. A bucket's images first meet its smallest id only; after components are labelled, all pairs of
 a bucket with different labels meet in tiles of bounded size.
@@ -27,7 +27,7 @@ from .common import bounded_broadcast, table, written
 from .linking import components, tiles, whole_runs
 
 STEP, CELL, POINTS, RADIUS, BITS, TABLES, KEY_BYTES = 2 ** (1 / 3), 48, 24, 7, 256, 5, 6
-MATCHES, WEAK, TOLERANCE, NEAR, NEAR_64 = 6, 2, 2.5, 40, 10
+MATCHES, WEAK, TOLERANCE, NEAR, NEAR_128 = 6, 2, 2.5, 40, 8
 #: Bucket keys and labels that are broadcast at most; beyond, they are joined by shuffle.
 BROADCAST_ROWS = 2_000_000
 #: Pixels of images of one shape that are treated at a time (a larger image alone).
@@ -274,31 +274,40 @@ def match_media(media: DataFrame, id_col: str, bytes_col: str) -> DataFrame:
     first = found.where("n_keypoints > 0 and id is not null").select("id", "sha").groupBy("id").agg(F.min("sha").alias("sha"))
     chosen = first.join(files, "sha").where("id = rep").select("id", "sha")
     reps = found.join(chosen, ["id", "sha"], "left_semi").select("id", "places", "bits").dropDuplicates(["id"])
-    reps = written(reps, "images")
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keyed_points(b: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+        for k in range(0, b.num_rows, 200):
+            c = b.slice(k, 200)
+            bits = np.frombuffer(b"".join(c.column(2).to_pylist()), np.uint8).reshape(-1, BITS // 8)
+            for t in range(TABLES):
+                wide = np.zeros((len(bits), 8), np.uint8)
+                wide[:, :KEY_BYTES], wide[:, 7] = bits[:, t * KEY_BYTES : (t + 1) * KEY_BYTES], t
+                other = np.delete(bits, np.s_[t * KEY_BYTES : (t + 1) * KEY_BYTES], axis=1)
+                yield c, wide.view(np.int64)[:, 0], other
+
+    def keys_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(0, b.num_rows, 200):
-                c = b.slice(k, 200)
-                place, bits = (np.frombuffer(b"".join(c.column(x).to_pylist()), kind) for x, kind in ((1, np.int64), (2, np.uint8)))
-                bits = bits.reshape(-1, BITS // 8)
-                keys, checks = np.zeros((TABLES, len(bits)), np.int64), np.zeros((TABLES, len(bits)), np.int64)
-                for t in range(TABLES):
-                    wide = np.zeros((len(bits), 8), np.uint8)
-                    wide[:, :KEY_BYTES], wide[:, 7] = bits[:, t * KEY_BYTES : (t + 1) * KEY_BYTES], t
-                    keys[t] = wide.view(np.int64)[:, 0]
-                    checks[t] = np.ascontiguousarray(bits[:, -8:] if t < 2 else bits[:, :8]).view(np.int64)[:, 0]
+            for c, key, _ in keyed_points(b):
                 owner = np.repeat(c.column(0).to_numpy(), [len(x) // 8 for x in c.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.tile(owner, TABLES)), pa.array(np.tile(place, TABLES)), pa.array(checks.ravel())], ["key", "id", "place", "check"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(owner)], ["key", "id"])
 
-    post = reps.mapInArrow(spread, "key long, id long, place long, check long")
-    head = F.min(F.struct("id", "place", "check")).alias("f")
-    buckets = post.groupBy("key").agg(head, F.max("id").alias("hi"), F.count("*").alias("n")).where("f.id <> hi")
-    buckets = written(buckets.select("key", F.col("f.id").alias("a"), F.col("f.place").alias("p"), F.col("f.check").alias("u"), "n"), "buckets")
-    keys = buckets.select("key")
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for c, key, other in keyed_points(b):
+                places = c.column(1).to_pylist()
+                checks = [np.ascontiguousarray(other[:, k : k + 8]).view(np.int64)[:, 0] for k in (0, 18)]
+                owner = np.repeat(c.column(0).to_numpy(), [len(x) // 8 for x in places])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(owner), pa.array(np.frombuffer(b"".join(places), np.int64)), *map(pa.array, checks)], ["key", "id", "place", "c1", "c2"])
+
+    counts = reps.mapInArrow(keys_only, "key long, id long").groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+    keys = written(counts.where("lo <> hi").select("key"), "keys")
+    post = reps.mapInArrow(spread, "key long, id long, place long, c1 long, c2 long")
     held = written(post.join(bounded_broadcast(keys, keys.count(), BROADCAST_ROWS), "key", "left_semi"), "hits")
-    star = held.join(buckets, "key").where("id <> a").where(F.bit_count(F.col("check").bitwiseXOR(F.col("u"))) <= NEAR_64)
-    links = linked(star.select("a", F.col("id").alias("b"), "p", F.col("place").alias("q")), reps)
+    row = F.struct("id", "place", "c1", "c2")
+    heads = held.groupBy("key").agg(F.min(row).alias("f"))
+    apart = F.bit_count(F.col("c1").bitwiseXOR(F.col("f.c1"))) + F.bit_count(F.col("c2").bitwiseXOR(F.col("f.c2")))
+    star = held.join(heads, "key").where((F.col("id") != F.col("f.id")) & (apart <= NEAR_128))
+    links = linked(star.select(F.col("f.id").alias("a"), F.col("id").alias("b"), F.col("f.place").alias("p"), F.col("place").alias("q")), reps)
     label = written(components(links), "labels")
 
     label = bounded_broadcast(label, label.count(), BROADCAST_ROWS)
@@ -309,17 +318,17 @@ def match_media(media: DataFrame, id_col: str, bytes_col: str) -> DataFrame:
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Row k meets row k + step of its tile, for all rows at once.
         for t, ends in whole_runs(batches, ["key", "t1", "t2"]):
-            i, c, side, t1, t2, u, place = (t.column(x).to_numpy() for x in ("id", "component", "side", "t1", "t2", "check", "place"))
+            i, c, side, t1, t2, u, v, place = (t.column(x).to_numpy() for x in ("id", "component", "side", "t1", "t2", "c1", "c2", "place"))
             k, step = np.arange(len(i)), 1
             while len(k := k[k + step < ends[k]]):
                 x = k[(c[k] != c[k + step]) & ((t1[k] == t2[k]) | (side[k] != side[k + step]))]
-                x = x[np.bitwise_count(u[x] ^ u[x + step]) <= NEAR_64]
+                x = x[np.bitwise_count(u[x] ^ u[x + step]) + np.bitwise_count(v[x] ^ v[x + step]) <= NEAR_128]
                 step, y = step + 1, x + step
                 if len(x):
                     lo, hi = np.where(i[x] < i[y], x, y), np.where(i[x] < i[y], y, x)
                     yield pa.RecordBatch.from_arrays([pa.array(z) for z in (i[lo], i[hi], place[lo], place[hi])], ["a", "b", "p", "q"])
 
-    tiled = tiles(seen, ["key"]).select("key", "t1", "t2", "side", "id", "component", "place", "check")
+    tiled = tiles(seen, ["key"]).select("key", "t1", "t2", "side", "id", "component", "place", "c1", "c2")
     more = linked(tiled.repartition("key", "t1", "t2").sortWithinPartitions("key", "t1", "t2").mapInArrow(meet, "a long, b long, p long, q long"), reps)
     final = components(links.unionByName(more))
     nodes = files.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("sha", F.coalesce("component", "rep").alias("component"))
@@ -339,7 +348,8 @@ def linked(matches: DataFrame, images: DataFrame) -> DataFrame:
             sure, at = [], []
             many = stops - starts >= WEAK
             for i, j in zip(starts[many].tolist(), stops[many].tolist(), strict=True):
-                x, y = unpacked(p[i:j]), unpacked(q[i:j])
+                both = np.unique(np.stack([p[i:j], q[i:j]], axis=1), axis=0)  # matches that agree in several tables
+                x, y = unpacked(both[:, 0]), unpacked(both[:, 1])
                 if (n := consensus(x, y)) >= WEAK:
                     at.append(i)
                     sure.append(n >= needed(y))
@@ -354,7 +364,7 @@ def linked(matches: DataFrame, images: DataFrame) -> DataFrame:
                 kept.append(alike(p, q, u, v))
             yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(kept, pa.bool_())), b.column("b").filter(pa.array(kept, pa.bool_()))], ["a", "b"])
 
-    voted = written(matches.distinct().repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(vote, "a long, b long, sure boolean"), "votes")
+    voted = written(matches.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(vote, "a long, b long, sure boolean"), "votes")
     both = voted.where("not sure").select("a", "b")
     for side in ("a", "b"):
         both = both.join(images.select(F.col("id").alias(side), F.col("places").alias(f"p{side}"), F.col("bits").alias(f"u{side}")), side)
