@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 # The reasons a text is not indexed, in order of precedence at one byte.
 TOO_LONG, BINARY, INVALID_UTF8, LINE_TOO_LONG, TOO_MANY = "FileTooLong", "BinaryDataPresent", "HighInvalidUtf8Ratio", "LineTooLong", "TooManyTrigrams"
+# The reasons that a source gives, for names that are no UTF-8 and for files that can't be read.
+FILE_NAME, IO = "FileNameError", "IoError"
 
 
 @dataclass(frozen=True)
@@ -102,7 +104,10 @@ def examine(content: Column, limits: Limits) -> Column:
     @F.arrow_udf("grams array<int>, reason string")
     def run(a: pa.Array) -> pa.Array:
         got = [examined(x, limits) for x in a.to_pylist()]
-        kinds = pa.array([None if g is None else g.tolist() for g, _ in got], pa.list_(pa.int32())), pa.array([r for _, r in got], pa.string())
-        return pa.StructArray.from_arrays(list(kinds), ["grams", "reason"])
+        sizes = [0 if g is None else len(g) for g, _ in got]
+        ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        flat = pa.array(np.concatenate([np.zeros(0, np.int32), *(g for g, _ in got if g is not None)]).astype(np.int32))
+        grams = pa.ListArray.from_arrays(pa.array(ends), flat, mask=pa.array([g is None for g, _ in got], pa.bool_()))
+        return pa.StructArray.from_arrays([grams, pa.array([r for _, r in got], pa.string())], ["grams", "reason"])
 
     return run(content)

@@ -1,4 +1,8 @@
-"""The trigram index: paths, docs, postings, contents and skipped, as tables."""
+"""The trigram index: paths, docs, postings, contents and skipped, as tables.
+
+On disk an index is a directory of versions; a version is written beside the others and becomes visible as a whole. Contents
+are cut into buckets of consecutive ids (a partition column) and sorted within: a search reads only its candidates' buckets
+and, of these, the row groups that can hold them."""
 
 from __future__ import annotations
 
@@ -8,21 +12,26 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..functions.trigrams import Limits, examine, packed
 from ..plans.lower import candidates
 from ..plans.regex import parse
 from ..plans.trigram_query import ALL, Query, compiled
 from . import merge as _merge
 from . import search as _search
-from .postings import doc_counts
+from .postings import doc_counts, list_offsets
 
 SCHEMAS = {
     "paths": "path string",
     "docs": "doc_id long, name string, n_bytes long, n_trigrams int",
     "postings": "trigram int, doc_id long",
-    "contents": "doc_id long, name string, content binary",
+    "contents": "doc_id long, name string, content binary, bucket int",
     "skipped": "name string, reason string",
 }
+#: Bytes of contents in a bucket and in a row group, about, and buckets at most (each is a directory).
+BUCKET_BYTES, GROUP_BYTES, BUCKETS = 128 << 20, 8 << 20, 4096
+#: Candidates that become a list of ids in the scan's filter; more are joined.
+FEW = 1000
 
 
 def default_location() -> str:
@@ -30,6 +39,10 @@ def default_location() -> str:
     return os.environ.get("CSEARCHINDEX") or os.path.join(os.environ.get("HOME") or os.environ.get("USERPROFILE") or ".", ".csearchindex")
 
 
+def _columns(name: str) -> list[str]:
+    return [x.split()[0] for x in SCHEMAS[name].split(", ")]
+
+
 @dataclass
 class TrigramIndex:
     paths: DataFrame
@@ -38,21 +51,29 @@ class TrigramIndex:
     contents: DataFrame
     skipped: DataFrame
 
+    #: Ids are shifted by this many bits to give their bucket; None where contents have no buckets.
+    shift: int | None = None
+
     @classmethod
     def build(cls, spark: SparkSession, files: DataFrame, roots: list[str] = (), limits: Limits = Limits(), id_col: str | None = None) -> TrigramIndex:
-        """From (name, content) rows, content STRING or BINARY. Of repeated names one row is indexed. Ids are dense in order
-        of name, or id_col's. Texts under three bytes are indexed without trigrams; skipped texts get no id."""
+        """From (name, content) rows, content STRING or BINARY. Of repeated names the row with the least content hash is
+        indexed. Ids are dense in order of name, or id_col's. Texts under three bytes are indexed without trigrams; skipped
+        texts get no id. Contents are examined once, into a written table that all others derive from."""
         content = F.col("content")
         content = F.encode(content, "UTF-8") if dict(files.dtypes)["content"] == "string" else content
-        keep = ["name", *([id_col] if id_col else [])]
-        rows = files.select(*keep, F.coalesce(content, F.lit(b"")).alias("content")).dropDuplicates(["name"]).withColumn("e", examine(F.col("content"), limits))
+        extra = [id_col] if id_col else []
+        rows = files.select("name", *extra, F.coalesce(content, F.lit(b"")).alias("content"))
+        one = F.min_by(F.struct("content", *extra), F.struct(F.xxhash64("content"), *extra))
+        rows = rows.groupBy("name").agg(one.alias("r")).select("name", "r.*")
+        rows = storage.written(rows.withColumn("e", examine(F.col("content"), limits)), "examined")
         good = rows.where("e.reason is null")
-        if id_col:
-            good = good.withColumnRenamed(id_col, "doc_id") if id_col != "doc_id" else good
-        else:
+        if not id_col:
             from .postings import with_dense_ids
 
-            good = with_dense_ids(good, "name")
+            ids = with_dense_ids(good.select("name"), "name")
+            good = good.join(ids, "name")
+        elif id_col != "doc_id":
+            good = good.withColumnRenamed(id_col, "doc_id")
         good = good.withColumn("doc_id", F.col("doc_id").cast("long"))
         docs = good.select("doc_id", "name", F.octet_length("content").cast("long").alias("n_bytes"), F.size("e.grams").alias("n_trigrams"))
         return cls(
@@ -63,19 +84,47 @@ class TrigramIndex:
             rows.where("e.reason is not null").select("name", F.col("e.reason").alias("reason")),
         )
 
-    def write(self, path: str) -> None:
-        """Postings are ranged and sorted by (trigram, doc_id): lookups prune files and row groups, and no frequent trigram
-        is bound to one file."""
-        for name in SCHEMAS:
-            df = getattr(self, name)
-            if name == "postings":
-                df = df.repartitionByRange("trigram", "doc_id").sortWithinPartitions("trigram", "doc_id")
-            df.write.mode("overwrite").parquet(f"{path}/{name}")
+    def write(self, path: str, keep: int = 2) -> None:
+        """Writes a new version and makes it visible in one step; `keep` versions stay, so an index may be written to the path
+        that it was opened from, and readers of the former version are not disturbed.
+
+        Postings are ranged and sorted by (trigram, doc_id): lookups prune files and row groups, and no frequent trigram is
+        bound to one file. Contents go by bucket and id."""
+        spark = self.docs.sparkSession
+        out = storage.next_version(spark, path)
+        for name in ("paths", "docs", "skipped"):
+            getattr(self, name).select(*_columns(name)).write.parquet(f"{out}/{name}")
+        self.postings.repartitionByRange("trigram", "doc_id").sortWithinPartitions("trigram", "doc_id").write.parquet(f"{out}/postings")
+        size = spark.read.schema(SCHEMAS["docs"]).parquet(f"{out}/docs").agg(F.max("doc_id").alias("top"), F.sum("n_bytes").alias("n")).first()
+        top, n = size["top"] or 0, size["n"] or 0
+        buckets = min(BUCKETS, max(1, -(-n // BUCKET_BYTES)))
+        shift = max(0, (top // buckets).bit_length())
+        parts = max(buckets, min(spark.sparkContext.defaultParallelism, -(-n // GROUP_BYTES)), 1)
+        rows = self.contents.select("doc_id", "name", "content", F.shiftright("doc_id", shift).cast("int").alias("bucket"))
+        rows = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
+        rows.write.option("parquet.block.size", GROUP_BYTES).partitionBy("bucket").parquet(f"{out}/contents")
+        spark.createDataFrame([(shift,)], "shift int").write.parquet(f"{out}/shift")
+        storage.publish(spark, out)
+        storage.prune(spark, path, keep)
 
     @classmethod
     def open(cls, spark: SparkSession, path: str | None = None) -> TrigramIndex:
+        """The newest published version."""
         path = path or default_location()
-        return cls(**{name: spark.read.schema(schema).parquet(f"{path}/{name}") for name, schema in SCHEMAS.items()})
+        found = storage.versions(spark, path)
+        if not found:
+            raise FileNotFoundError(f"no index at {path}")
+        return cls.open_version(spark, found[-1])
+
+    @classmethod
+    def open_version(cls, spark: SparkSession, path: str) -> TrigramIndex:
+        tables = {name: spark.read.schema(schema).parquet(f"{path}/{name}") for name, schema in SCHEMAS.items()}
+        return cls(**tables, shift=spark.read.schema("shift int").parquet(f"{path}/shift").first()["shift"])
+
+    @staticmethod
+    def reset(spark: SparkSession, path: str | None = None) -> bool:
+        """Deletes the index; whether there was one."""
+        return storage.delete(spark, path or default_location())
 
     # Lookups
 
@@ -102,6 +151,14 @@ class TrigramIndex:
     def trigram_stats(self) -> DataFrame:
         return doc_counts(self.postings)
 
+    def dictionary(self, end: bool = False) -> DataFrame:
+        """(trigram, doc_count, offset) of every list as encoded one after the other."""
+        return list_offsets(self.postings, end)
+
+    def list_at(self, offset: int) -> DataFrame:
+        """The dictionary entry whose encoded list starts there; none between two starts."""
+        return self.dictionary().where(F.col("offset") == offset)
+
     # Search
 
     def candidates(self, pattern: str, ignore_case: bool = False, file_pattern: str | None = None, brute: bool = False, unicode: bool = False) -> DataFrame:
@@ -112,12 +169,29 @@ class TrigramIndex:
             docs = docs.where(_search.matches(F.col("name"), file_pattern))
         return docs if q.op == "all" else docs.join(self.query(q), "doc_id", "left_semi")
 
+    def _rows(self, pattern: str, ignore_case: bool = False, file_pattern: str | None = None, brute: bool = False, unicode: bool = False) -> DataFrame:
+        """The contents of the candidates. Up to FEW candidates are looked up first and reach the scan as filters on bucket and
+        id; more are joined, by bucket and id, so that the scan can be pruned by what the other side holds."""
+        q = ALL if brute else compiled(parse(pattern, ignore_case, unicode), unicode)
+        if q.op == "all" and file_pattern is None:
+            return self.contents
+        found = self.query(q) if file_pattern is None else self.candidates(pattern, ignore_case, file_pattern, brute, unicode).select("doc_id")
+        few = [r[0] for r in found.limit(FEW + 1).collect()]
+        rows = self.contents
+        if len(few) <= FEW:
+            if self.shift is not None:
+                rows = rows.where(F.col("bucket").isin(sorted({i >> self.shift for i in few})))
+            return rows.where(F.col("doc_id").isin(few))
+        if self.shift is None:
+            return rows.join(found, "doc_id", "left_semi")
+        return rows.join(found.withColumn("bucket", F.shiftright("doc_id", self.shift).cast("int")), ["bucket", "doc_id"], "left_semi")
+
     def search(self, pattern: str, ignore_case: bool = False, file_pattern: str | None = None, brute: bool = False, max_count: int | None = None, unicode: bool = False) -> DataFrame:
-        found = self.candidates(pattern, ignore_case, file_pattern, brute, unicode)
-        return _search.matching_lines(self.contents, found, pattern, ignore_case, max_count, unicode)
+        rows = self._rows(pattern, ignore_case, file_pattern, brute, unicode)
+        return _search.matching_lines(rows, pattern, ignore_case, max_count, unicode)
 
     def search_files(self, pattern: str, **options) -> DataFrame:
-        return _search.matching_files(self.contents, self.candidates(pattern, **options), pattern, options.get("ignore_case", False), options.get("unicode", False))
+        return _search.matching_files(self._rows(pattern, **options), pattern, options.get("ignore_case", False), options.get("unicode", False))
 
     def search_counts(self, pattern: str, **options) -> DataFrame:
         return self.search(pattern, **options).groupBy("doc_id", "name").agg(F.count("*").alias("n_lines"))

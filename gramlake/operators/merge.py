@@ -13,18 +13,33 @@ if TYPE_CHECKING:
     from .index import TrigramIndex
 
 
-def below(name: Column, path: Column, compat_prefix: bool = False) -> Column:
-    """Whether a name is a path or stands below it; compat_prefix compares strings only, so /b also covers /bb."""
+def root_of(path: Column) -> Column:
+    """A path without slashes at its end; the root directory is the empty text."""
+    return F.regexp_replace(path, "/+$", "")
+
+
+def above(name: Column) -> Column:
+    """A name and all directories above it, as root_of() writes them."""
+    parts = F.split(name, "/")
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: root_of(F.concat_ws("/", F.slice(parts, F.lit(1), k)))))
+
+
+def covered(names: DataFrame, paths: DataFrame, compat_prefix: bool = False) -> DataFrame:
+    """The distinct names of `names` (name) that are one of the paths (path) or stand below one: an equality join of the names'
+    directories with the paths, so neither side is compared row by row with the other. compat_prefix compares strings only,
+    so /b also covers /bb; names are then cut to the lengths that paths have (some hundreds at most)."""
     if compat_prefix:
-        return name.startswith(path)
-    root = F.regexp_replace(path, "/+$", "")
-    return (name == path) | (name == root) | name.startswith(F.concat(root, F.lit("/")))
+        lengths = [r[0] for r in paths.select(F.length("path")).distinct().collect()]
+        keys = F.filter(F.array(*(F.when(F.length("name") >= n, F.substring("name", 1, n)) for n in sorted(lengths))), lambda x: x.isNotNull()) if lengths else F.array().cast("array<string>")
+        roots = paths.select(F.col("path").alias("_key"))
+    else:
+        keys, roots = above(F.col("name")), paths.select(root_of(F.col("path")).alias("_key"))
+    return names.select("name", F.explode(keys).alias("_key")).join(roots.distinct(), "_key", "left_semi").select("name").distinct()
 
 
 def unshadowed(docs: DataFrame, paths: DataFrame, compat_prefix: bool = False) -> DataFrame:
-    """The older docs outside all newer paths. Paths are the roots of an index: few."""
-    p = paths.select(F.col("path").alias("_path"))
-    return docs.join(F.broadcast(p), below(F.col("name"), F.col("_path"), compat_prefix), "left_anti")
+    """The older docs outside all newer paths."""
+    return docs.join(covered(docs.select("name"), paths, compat_prefix), "name", "left_anti").select(*docs.columns)
 
 
 def id_map(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -34,10 +49,19 @@ def id_map(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def merged_paths(a: DataFrame, b: DataFrame, compat_prefix: bool = False) -> DataFrame:
-    """The union of roots, without those below another one."""
-    both = a.select("path").unionByName(b.select("path")).distinct()
-    other = F.broadcast(both.select(F.col("path").alias("_p")))
-    return both.join(other, (F.col("path") != F.col("_p")) & below(F.col("path"), F.col("_p"), compat_prefix), "left_anti")
+    """The union of roots, without those below another one; of paths that differ in slashes at the end one stays."""
+    both = a.select("path").unionByName(b.select("path"))
+    both = both.distinct() if compat_prefix else both.groupBy(root_of(F.col("path")).alias("_r")).agg(F.min("path").alias("path")).select("path")
+    # A path's own key would cover it: what is looked for is a path above.
+    names = both.select(F.col("path").alias("name"))
+    if compat_prefix:
+        lengths = [r[0] for r in both.select(F.length("path")).distinct().collect()]
+        keys = F.filter(F.array(*(F.when(F.length("name") > n, F.substring("name", 1, n)) for n in sorted(lengths))), lambda x: x.isNotNull())
+        roots = both.select(F.col("path").alias("_key"))
+    else:
+        keys, roots = F.array_except(above(F.col("name")), F.array(root_of(F.col("name")))), both.select(root_of(F.col("path")).alias("_key"))
+    inner = names.select("name", F.explode(keys).alias("_key")).join(roots, "_key", "left_semi").select(F.col("name").alias("path")).distinct()
+    return both.join(inner, "path", "left_anti")
 
 
 def merged_postings(old: DataFrame, new: DataFrame, ids: DataFrame) -> DataFrame:
@@ -60,11 +84,11 @@ def merged(old: TrigramIndex, new: TrigramIndex, compat_prefix: bool = False) ->
         both = a.withColumn("src", F.lit("old")).unionByName(b.withColumn("src", F.lit("new"))).withColumnRenamed("doc_id", "old_id")
         return both.join(ids.select("src", "old_id", F.col("new_id").alias("doc_id")), ["src", "old_id"]).drop("src", "old_id")
 
-    covered = unshadowed(old.skipped, new.paths, compat_prefix)
+    skipped = unshadowed(old.skipped, new.paths, compat_prefix)
     return type(old)(
         merged_paths(old.paths, new.paths, compat_prefix),
         renumbered(old.docs, new.docs).select("doc_id", "name", "n_bytes", "n_trigrams"),
         merged_postings(old.postings, new.postings, ids),
         renumbered(old.contents, new.contents).select("doc_id", "name", "content"),
-        covered.unionByName(new.skipped),
+        skipped.unionByName(new.skipped),
     )

@@ -1,29 +1,55 @@
-"""Posting lists: lists, deltas, encoded sizes and offsets."""
+"""Posting lists: lists, deltas, encoded bytes, sizes and offsets.
+
+A frequent trigram's list is never one task's: lists are cut into chunks by ranges of the document id, and what runs along a
+whole list (positions, deltas, sums) is carried over from one row for each chunk.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-def posting_lists(postings: DataFrame) -> DataFrame:
-    return postings.groupBy("trigram").agg(F.array_sort(F.collect_set("doc_id")).alias("doc_ids"))
+from ..storage import written
+
+#: Ids of a chunk: 2^20.
+CHUNK_BITS = 20
+# The longest encoded number and the trigram that ends a dictionary.
+MAX_VARINT_BYTES, END_TRIGRAM = 10, 0xFFFFFF
+
+
+def posting_lists(postings: DataFrame, chunk_bits: int | None = None) -> DataFrame:
+    """(trigram, doc_ids) of each list; with chunk_bits (trigram, chunk, doc_ids), no row longer than a chunk."""
+    keys = ["trigram"]
+    if chunk_bits is not None:
+        postings, keys = postings.withColumn("chunk", F.shiftright("doc_id", chunk_bits)), ["trigram", "chunk"]
+    return postings.groupBy(*keys).agg(F.array_sort(F.collect_set("doc_id")).alias("doc_ids"))
 
 
 def doc_counts(postings: DataFrame) -> DataFrame:
     return postings.groupBy("trigram").agg(F.count("*").alias("doc_count"))
 
 
-def deltas(postings: DataFrame) -> DataFrame:
+def deltas(postings: DataFrame, chunk_bits: int = CHUNK_BITS) -> DataFrame:
     """(trigram, pos, delta): each id less the one before, the first less -1; a closing 0."""
-    by_list = Window.partitionBy("trigram").orderBy("doc_id")
-    rows = postings.select("trigram", (F.row_number().over(by_list) - 1).cast("long").alias("pos"), (F.col("doc_id") - F.lag("doc_id", 1, -1).over(by_list)).alias("delta"))
-    ends = postings.groupBy("trigram").agg(F.count("*").alias("pos"), F.lit(0).cast("long").alias("delta"))
+    p = postings.select("trigram", "doc_id", F.shiftright("doc_id", chunk_bits).alias("chunk"))
+    chunks = p.groupBy("trigram", "chunk").agg(F.count("*").alias("n"), F.max("doc_id").alias("top"))
+    along = Window.partitionBy("trigram").orderBy("chunk")
+    sums = along.rowsBetween(Window.unboundedPreceding, -1)
+    start = chunks.select("trigram", "chunk", F.coalesce(F.sum("n").over(sums), F.lit(0)).alias("base"), F.lag("top", 1, -1).over(along).alias("prev"))
+    inner = Window.partitionBy("trigram", "chunk").orderBy("doc_id")
+    at, one = (F.col("base") + F.row_number().over(inner) - 1).cast("long"), F.col("doc_id") - F.coalesce(F.lag("doc_id").over(inner), F.col("prev"))
+    rows = p.join(start, ["trigram", "chunk"]).select("trigram", at.alias("pos"), one.alias("delta"))
+    ends = chunks.groupBy("trigram").agg(F.sum("n").alias("pos"), F.lit(0).cast("long").alias("delta"))
     return rows.unionByName(ends)
 
 
-def decoded(d: DataFrame) -> DataFrame:
-    w = Window.partitionBy("trigram").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return d.where("delta > 0").select("trigram", (F.sum("delta").over(w) - 1).alias("doc_id"))
+def decoded(d: DataFrame, chunk_bits: int = CHUNK_BITS) -> DataFrame:
+    d = d.where("delta > 0").withColumn("chunk", F.shiftright("pos", chunk_bits))
+    chunks = d.groupBy("trigram", "chunk").agg(F.sum("delta").alias("t"))
+    sums = Window.partitionBy("trigram").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    start = chunks.select("trigram", "chunk", F.coalesce(F.sum("t").over(sums), F.lit(0)).alias("base"))
+    inner = Window.partitionBy("trigram", "chunk").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    return d.join(start, ["trigram", "chunk"]).select("trigram", (F.col("base") + F.sum("delta").over(inner) - 1).alias("doc_id"))
 
 
 def varint_bytes(n: Column) -> Column:
@@ -31,16 +57,46 @@ def varint_bytes(n: Column) -> Column:
     return F.when(n < 1 << 7, 1).when(n < 1 << 14, 2).when(n < 1 << 21, 3).when(n < 1 << 28, 4).otherwise(5).cast("long")
 
 
+def varint_hex(n: Column) -> Column:
+    """n as hexadecimal bytes of seven bits each, the lowest first; all but the last have the upper bit set."""
+    last = varint_bytes(n).cast("int") - 1
+
+    def byte(k: Column) -> Column:
+        bits = F.call_function("shiftrightunsigned", n, k * 7).bitwiseAND(F.lit(127).cast("long"))
+        return F.lpad(F.hex(bits + F.when(k < last, 128).otherwise(0)), 2, "0")
+
+    return F.array_join(F.transform(F.sequence(F.lit(0), last), byte), "")
+
+
+def varint_value(hexa: Column) -> Column:
+    """The number that the first encoded number of hexadecimal bytes says; null without an end in MAX_VARINT_BYTES bytes, or
+    where it passes 64 bits."""
+    one = F.transform(F.sequence(F.lit(0), F.least(F.length(hexa) / 2, F.lit(MAX_VARINT_BYTES)).cast("int") - 1), lambda k: F.conv(F.substring(hexa, 2 * k + 1, F.lit(2)), 16, 10).cast("long"))
+    state = F.struct(F.lit(0).cast("long").alias("v"), F.lit(0).alias("k"), F.lit(False).alias("done"), F.lit(False).alias("lost"))
+
+    def step(s: Column, b: Column) -> Column:
+        over = (s["k"] == 9) & (b > 1)
+        v = s["v"].bitwiseOR(F.call_function("shiftleft", b.bitwiseAND(F.lit(127)), s["k"] * 7))
+        moved = F.struct(v.alias("v"), (s["k"] + 1).alias("k"), (b < 128).alias("done"), (s["lost"] | over).alias("lost"))
+        return F.when(s["done"], s).otherwise(moved)
+
+    return F.when(F.length(hexa) >= 2, F.aggregate(one, state, step, lambda s: F.when(s["done"] & ~s["lost"], s["v"])))
+
+
 def list_sizes(postings: DataFrame) -> DataFrame:
     """(trigram, doc_count, n_bytes) of each encoded list: the trigram, its deltas and the closing zero."""
     d = deltas(postings)
     return d.groupBy("trigram").agg((F.count("*") - 1).alias("doc_count"), (F.sum(varint_bytes(F.col("delta"))) + 3).alias("n_bytes"))
 
 
-def list_offsets(postings: DataFrame) -> DataFrame:
-    """(trigram, doc_count, offset): where each encoded list starts. The dictionary has at most 2^24 rows at any scale; the
-    running sum goes by blocks of the trigram's first byte, so no task holds it all."""
-    sizes = list_sizes(postings).withColumn("block", F.shiftright("trigram", 16))
+def list_offsets(postings: DataFrame, end: bool = False) -> DataFrame:
+    """(trigram, doc_count, offset): the dictionary, and where each encoded list starts; with `end` its last entry, the end
+    trigram without documents. The dictionary has at most 2^24 rows at any scale; the running sum goes by blocks of the
+    trigram's first byte, so no task holds it all."""
+    sizes = list_sizes(postings)
+    if end:
+        sizes = sizes.unionByName(postings.sparkSession.createDataFrame([(END_TRIGRAM, 0, 4)], sizes.schema))
+    sizes = sizes.withColumn("block", F.shiftright("trigram", 16))
     return running(sizes, "trigram", "n_bytes").select("trigram", "doc_count", "offset")
 
 
@@ -53,9 +109,13 @@ def running(rows: DataFrame, order: str, size: str, block: str = "block") -> Dat
 
 
 def with_dense_ids(rows: DataFrame, order: str, id_col: str = "doc_id") -> DataFrame:
-    """rows numbered from 0 in the order of a unique column: a range sort, a count of each partition, a running number."""
-    parts = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id())
-    w = Window.partitionBy("_p").orderBy(order)
-    counts = parts.groupBy("_p").agg(F.count("*").alias("_c"))
-    before = counts.select("_p", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return parts.join(F.broadcast(before), "_p").withColumn(id_col, F.col("_before") + F.row_number().over(w) - 1).drop("_p", "_before")
+    """rows numbered from 0 in the order of a column; equal values share a number.
+
+    The values are ranged, sorted and written once with their task's number and place in it; ids and the tasks' sizes both come
+    from that table, so neither can differ from the other, however often the result is computed."""
+    values = written(rows.select(order).distinct().repartitionByRange(order).sortWithinPartitions(order).withColumn("_m", F.monotonically_increasing_id()), "order")
+    part = F.shiftright("_m", 33)
+    sizes = values.groupBy(part.alias("_p")).agg(F.count("*").alias("_c"))  # one row a task
+    before = sizes.select("_p", (F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("_before"))
+    ids = values.withColumn("_p", part).join(F.broadcast(before), "_p").select(order, (F.col("_before") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).alias(id_col))
+    return rows.join(ids, order)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.regex import RegexError, java, may_match_newline, parse
@@ -35,25 +35,23 @@ def text_of(contents: DataFrame) -> DataFrame:
     return contents.withColumn("text", raw if kind == "string" else F.when(F.is_valid_utf8(raw.cast("string")), raw.cast("string")).otherwise(F.make_valid_utf8(raw.cast("string")))).drop("content")
 
 
-def matching_lines(contents: DataFrame, found: DataFrame, pattern: str, ignore_case: bool = False, max_count: int | None = None, unicode: bool = False) -> DataFrame:
+def matching_lines(contents: DataFrame, pattern: str, ignore_case: bool = False, max_count: int | None = None, unicode: bool = False) -> DataFrame:
     """(doc_id, name, line_no, line): each matching line once, numbered from 1; at most max_count a document where given.
-
-    Candidates whose contents are missing are left out."""
-    rows = text_of(contents).join(found.select("doc_id"), "doc_id", "left_semi")
+    One stage: a document's lines are numbered, tested and cut off within its row."""
     test = pattern_of(pattern, ignore_case, unicode)
-    out = rows.select("doc_id", "name", F.posexplode(lines_of(F.col("text"))).alias("pos", "line")).where(F.col("line").rlike(test))
-    out = out.select("doc_id", "name", (F.col("pos") + 1).cast("long").alias("line_no"), "line")
-    if max_count is not None:
-        w = Window.partitionBy("doc_id").orderBy("line_no")
-        out = out.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= max_count).drop("_k")
-    return out
+    rows = text_of(contents)
+    if max_count is None:
+        out = rows.select("doc_id", "name", F.posexplode(lines_of(F.col("text"))).alias("pos", "line")).where(F.col("line").rlike(test))
+        return out.select("doc_id", "name", (F.col("pos") + 1).cast("long").alias("line_no"), "line")
+    numbered = F.transform(lines_of(F.col("text")), lambda x, k: F.struct((k + 1).cast("long").alias("line_no"), x.alias("line")))
+    kept = F.slice(F.filter(numbered, lambda x: x["line"].rlike(test)), 1, max(0, max_count))
+    return rows.select("doc_id", "name", F.explode(kept).alias("m")).select("doc_id", "name", "m.line_no", "m.line")
 
 
-def matching_files(contents: DataFrame, found: DataFrame, pattern: str, ignore_case: bool = False, unicode: bool = False) -> DataFrame:
+def matching_files(contents: DataFrame, pattern: str, ignore_case: bool = False, unicode: bool = False) -> DataFrame:
     """(doc_id, name) with a matching line: stops at a document's first, explodes nothing."""
     test = pattern_of(pattern, ignore_case, unicode)
-    rows = text_of(contents).join(found.select("doc_id"), "doc_id", "left_semi")
-    return rows.where(F.exists(lines_of(F.col("text")), lambda x: x.rlike(test))).select("doc_id", "name")
+    return text_of(contents).where(F.exists(lines_of(F.col("text")), lambda x: x.rlike(test))).select("doc_id", "name")
 
 
 def relative(name: Column, root: str) -> Column:
