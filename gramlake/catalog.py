@@ -16,6 +16,8 @@ from .operators import inspect, merge, postings, search
 from .operators.index import TrigramIndex
 from .plans.trigram_query import ALL, NONE, trigram_query
 from .sources.files import excluded
+from .storage import shared_path
+from .streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -48,6 +50,14 @@ def index(spark: SparkSession, d: str, limits: tg.Limits = tg.NO_LIMITS) -> Trig
     return TrigramIndex.build(spark, files(spark, d), limits=limits, id_col="doc_id")
 
 
+def stored(spark: SparkSession, d: str) -> TrigramIndex:
+    """The same index, written and opened again."""
+    ix, path = index(spark, d), shared_path(spark, "index")
+    ix.paths = files(spark, d).select(F.regexp_extract("name", "^/[^/]*", 0).alias("path")).distinct()
+    ix.write(path)
+    return TrigramIndex.open(spark, path)
+
+
 def posts(spark: SparkSession, d: str) -> DataFrame:
     return index(spark, d).postings
 
@@ -63,7 +73,7 @@ def scan_documents(spark, d):
 @query(f"WITH {FILES_SQL} SELECT DISTINCT name FROM f")
 def scan_dedup(spark, d):
     f = files(spark, d)
-    return f.unionByName(f).dropDuplicates(["name"]).select("name")
+    return TrigramIndex.build(spark, f.unionByName(f), limits=tg.NO_LIMITS, id_col="doc_id").docs.select("name")
 
 
 @query(f"WITH {FILES_SQL} SELECT name FROM f WHERE NOT (name LIKE '/src1/%' OR name LIKE '%7')")
@@ -73,12 +83,13 @@ def scan_exclude_glob(spark, d):
 
 @query("SELECT DISTINCT '/' || source AS path FROM documents")
 def list_paths(spark, d):
-    return spark.read.parquet(f"{d}/documents.parquet").select(F.concat(F.lit("/"), "source").alias("path")).distinct().orderBy("path")
+    return stored(spark, d).list_paths()
 
 
 @query(f"WITH {FILES_SQL} SELECT doc_id FROM f WHERE n > 4000")
 def skip_file_too_long(spark, d):
-    return files(spark, d).where(F.octet_length("content") > 4000).select("doc_id")
+    skipped = index(spark, d, tg.Limits(4000, 1 << 30, 1 << 30, 1.0)).skipped
+    return skipped.where(F.col("reason") == tg.TOO_LONG).select(F.regexp_extract("name", "[^/]*$", 0).cast("long").alias("doc_id"))
 
 
 @query("SELECT * FROM (VALUES (0, FALSE), (1, TRUE), (2, TRUE), (3, FALSE), (4, TRUE)) v(id, skipped)")
@@ -191,9 +202,34 @@ def name_offsets(spark, d):
     return postings.running(rows.withColumn("block", F.concat("block", F.lit("/"))), "name", "n").select("name", "offset")
 
 
-@query(f"WITH {GRAMS_SQL} SELECT trigram, COUNT(*) AS doc_count FROM p GROUP BY trigram")
+@query(f"""WITH {GRAMS_SQL}, {DELTAS_SQL}, {SIZES_SQL}
+SELECT trigram, doc_count, CAST(SUM(n_bytes) OVER (ORDER BY trigram) - n_bytes AS BIGINT) AS "offset" FROM (SELECT * FROM s UNION ALL SELECT 16777215, 0, 4)""")
 def dump_posting_index(spark, d):
-    return index(spark, d).trigram_stats().withColumn("trigram", F.col("trigram").cast("long"))
+    return stored(spark, d).dictionary(end=True).withColumn("trigram", F.col("trigram").cast("long"))
+
+
+@query(f'WITH {GRAMS_SQL}, {DELTAS_SQL}, {SIZES_SQL}, o AS (SELECT trigram, doc_count, CAST(SUM(n_bytes) OVER (ORDER BY trigram) - n_bytes AS BIGINT) AS "offset" FROM s) SELECT * FROM o WHERE "offset" = 0')
+def dictionary_entry(spark, d):
+    return index(spark, d).list_at(0).withColumn("trigram", F.col("trigram").cast("long"))
+
+
+VARINT_SQL = """SELECT doc_id, v, CASE WHEN v < 128 THEN printf('%02X', v)
+WHEN v < 16384 THEN printf('%02X%02X', (v & 127) + 128, v >> 7)
+WHEN v < 2097152 THEN printf('%02X%02X%02X', (v & 127) + 128, ((v >> 7) & 127) + 128, v >> 14)
+WHEN v < 268435456 THEN printf('%02X%02X%02X%02X', (v & 127) + 128, ((v >> 7) & 127) + 128, ((v >> 14) & 127) + 128, v >> 21)
+ELSE printf('%02X%02X%02X%02X%02X', (v & 127) + 128, ((v >> 7) & 127) + 128, ((v >> 14) & 127) + 128, ((v >> 21) & 127) + 128, v >> 28) END AS bytes
+FROM (SELECT doc_id, CAST((doc_id * 7919 * 7919) % 4294967296 AS BIGINT) >> CAST(doc_id % 30 AS INT) AS v FROM documents)"""
+
+
+@query(VARINT_SQL)
+def varint_encode(spark, d):
+    v = F.expr("shiftright((doc_id * 7919 * 7919) % 4294967296, cast(doc_id % 30 as int))")
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", v.alias("v")).withColumn("bytes", postings.varint_hex(F.col("v")))
+
+
+@query(f"SELECT doc_id, v FROM ({VARINT_SQL})")
+def varint_decode(spark, d):
+    return varint_encode(spark, d).select("doc_id", postings.varint_value(F.concat("bytes", F.lit("FF"))).alias("v"))
 
 
 # Lookups and queries; the SQL never touches postings
@@ -268,6 +304,16 @@ def search_lines(spark, d):
     return index(spark, d).search(PATTERN)
 
 
+@query(f"WITH {LINES_SQL} SELECT doc_id, name, line_no, line FROM l WHERE regexp_matches(line, 'tion .*the\\b')")
+def search_stored(spark, d):
+    return stored(spark, d).search(PATTERN)
+
+
+@query(f"WITH {LINES_SQL} SELECT doc_id, name, line_no, line FROM l WHERE regexp_matches(line, 'e')")
+def search_stored_many(spark, d):
+    return stored(spark, d).search("e|[^\\x00-\\x{10FFFF}]the")
+
+
 @query(f"WITH {LINES_SQL} SELECT doc_id, name, line_no, line FROM l WHERE regexp_matches(line, '[.]$')")
 def search_brute(spark, d):
     return index(spark, d).search("[.]$", brute=True)
@@ -373,6 +419,23 @@ def merge_postings(spark, d):
     return a.merge(b).postings.select(F.col("trigram").cast("long").alias("trigram"), "doc_id")
 
 
+@query(f"""WITH {AB_SQL}, h AS (SELECT new_id, name, text FROM ids)
+SELECT new_id AS doc_id, name FROM h WHERE contains(text, 'newer') AND contains(text, 'ion')""")
+def merge_stored(spark, d):
+    (a, b), path = halves(spark, d), shared_path(spark, "index")
+    a.write(path)
+    TrigramIndex.open(spark, path).merge(b).write(path)
+    return TrigramIndex.open(spark, path).candidates("newer.*ion|ion.*newer").select("doc_id", "name")
+
+
+@query(f"WITH {AB_SQL} SELECT name FROM m WHERE contains(text, 'eau')")
+def segments_search(spark, d):
+    root = shared_path(spark, "segments")
+    for k, ix in enumerate(halves(spark, d)):
+        ingest.write_segment(ix, root, k)
+    return ingest.latest(spark, root).candidates("eau").select("name")
+
+
 # Inspection
 
 

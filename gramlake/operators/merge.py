@@ -87,8 +87,8 @@ def merged(old: TrigramIndex, new: TrigramIndex, compat_prefix: bool = False) ->
     skipped = unshadowed(old.skipped, new.paths, compat_prefix)
     return type(old)(
         merged_paths(old.paths, new.paths, compat_prefix),
-        renumbered(old.docs, new.docs).select("doc_id", "name", "n_bytes", "n_trigrams"),
+        renumbered(kept, new.docs).select("doc_id", "name", "n_bytes", "n_trigrams"),
         merged_postings(old.postings, new.postings, ids),
-        renumbered(old.contents, new.contents).select("doc_id", "name", "content"),
+        renumbered(*(ix.contents.select("doc_id", "name", "content") for ix in (old, new))).select("doc_id", "name", "content"),
         skipped.unionByName(new.skipped),
     )

@@ -47,14 +47,20 @@ def excluded(name: Column, globs: list[str]) -> Column:
     return F.exists(above, lambda p: p.rlike(test)) | F.exists(parts, lambda p: p.rlike(test))
 
 
-def file_tree(spark: SparkSession, roots: list[str], excludes: list[str] = (), follow_links: bool = True) -> DataFrame:
-    """(name, content BINARY) of all files below the roots, and of roots that are files. A path is read once."""
+def file_tree(spark: SparkSession, roots: list[str], excludes: list[str] = (), follow_links: bool = True, files_too: bool = False) -> DataFrame:
+    """(name, content BINARY) of all files below the roots. A path is read once; files that vanish meanwhile are left out.
+
+    Roots that are no directories are skipped with a warning, unless files_too."""
     roots = normalised(roots)
-    if not roots:
-        return spark.createDataFrame([], "name string, content binary")
     if not follow_links:
         roots = [r for r in roots if not os.path.islink(r)]
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    for r in roots if not files_too else ():
+        if not os.path.isdir(r):
+            log.warning("%s is no directory: skipped", r)
+    roots = [r for r in roots if files_too or os.path.isdir(r)]
+    if not roots:
+        return spark.createDataFrame([], "name string, content binary")
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true")
     rows = reader.load(roots).select(F.regexp_replace("path", "^file:/*", "/").alias("name"), "content")
     return rows.where(~excluded(F.col("name"), [".csearchindex", *excludes])).dropDuplicates(["name"])
 

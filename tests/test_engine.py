@@ -5,14 +5,15 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from gramlake import catalog
+from gramlake import catalog, commands
 from gramlake.functions import trigrams as tg
-from gramlake.operators import postings, search
+from gramlake.operators import merge, postings, search
 from gramlake.operators.index import TrigramIndex
 from gramlake.plans.lower import by_sets
 from gramlake.plans.regex import RegexError
 from gramlake.plans.trigram_query import trigram_query
 from gramlake.sources.files import file_tree
+from gramlake.streaming import ingest
 from gramlake.streaming.ingest import latest, stream_files
 
 from .oracle import differences
@@ -28,6 +29,9 @@ def ids(df):
     return sorted(r[0] for r in df.select("doc_id").collect())
 
 
+# Names, texts, expected ids and offsets of this file's index and merge cases; results must equal them.
+
+
 def test_posting_lists(spark):
     ix = built(spark, [("file0", ""), ("file1", "Google Code Search"), ("file2", "Google Code Project Hosting"), ("file3", "Google Web Search")])
     sea, goo = ix.posting_list(b"Sea"), ix.posting_list(b"Goo")
@@ -139,3 +143,103 @@ def test_streaming(spark, tmp_path):
 @pytest.mark.parametrize("name", ["trigrams_explode", "skip_line_too_long", "skip_report", "search_candidates", "search_lines", "posting_offsets", "name_offsets", "merge_postings"])
 def test_against_sql(spark, name):
     assert not differences(spark, SF, catalog.QUERIES[name], catalog.ORACLE_SQL[name])
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_ids_are_dense_at_any_size(spark, adaptive):
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        n = 50_000
+        files = spark.range(n, numPartitions=13).select(F.concat(F.lit("/f/"), F.sha1(F.col("id").cast("string"))).alias("name"), F.rpad(F.concat(F.lit("text "), F.col("id").cast("string")), 2000, "x").alias("content"))
+        ix = TrigramIndex.build(spark, files, ["/f"])
+        m = ix.merge(TrigramIndex.build(spark, spark.createDataFrame([("/g/a", "newer text")], "name string, content string"), ["/g"]))
+        for index, size in ((ix, n), (m, n + 1)):
+            for df in (index.docs, index.contents, index.postings.select("doc_id").distinct()):
+                got = df.agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("d"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
+                assert tuple(got) == (size, size, 0, size - 1)
+        wrong = ix.docs.join(ix.contents.select("name", F.col("doc_id").alias("other")), "name").where("doc_id <> other").count()
+        assert wrong == 0 and [r.name for r in ix.docs.orderBy("doc_id").limit(3).collect()] == [r.name for r in ix.docs.orderBy("name").limit(3).collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+def test_lists_in_chunks(spark):
+    posts = spark.createDataFrame([(t, i) for t in (1, 2) for i in range(0, 100, t)], "trigram int, doc_id long")
+    want = {}
+    for t in (1, 2):
+        own = list(range(0, 100, t))
+        want[t] = [(k, a - b) for k, (a, b) in enumerate(zip(own, [-1, *own], strict=False))] + [(len(own), 0)]
+    d = postings.deltas(posts, chunk_bits=3)
+    assert {t: sorted((r.pos, r.delta) for r in d.collect() if r.trigram == t) for t in (1, 2)} == want
+    assert sorted(map(tuple, postings.decoded(d, chunk_bits=2).collect())) == sorted(map(tuple, posts.collect()))
+    assert max(len(r.doc_ids) for r in postings.posting_lists(posts, 4).collect()) == 16
+
+
+def test_varints(spark):
+    values = [0, 1, 127, 128, 300, 16383, 16384, 2**21, 2**28, 2**32 - 1]
+    rows = spark.createDataFrame([(v,) for v in values], "v long").withColumn("b", postings.varint_hex(F.col("v")))
+    got = {r.v: (r.b, r.back) for r in rows.withColumn("back", postings.varint_value(F.col("b"))).collect()}
+    assert got[300] == ("AC02", 300) and all(got[v][1] == v for v in values)
+    odd = spark.createDataFrame([("",), ("80",), ("8080808080808080808001",), ("FFFFFFFFFFFFFFFFFF02",)], "b string")
+    assert [r.v for r in odd.select(postings.varint_value(F.col("b")).alias("v")).collect()] == [None] * 4
+
+
+def test_versions_and_pruning(spark, tmp_path):
+    path = str(tmp_path / "index")
+    a, b = built(spark, A, ["/a", "/b", "/c"]), built(spark, B, ["/b", "/cc"])
+    a.write(path)
+    reader = TrigramIndex.open(spark, path)
+    reader.merge(b).write(path)  # to where its input lies
+    (tmp_path / "index" / "v000000000009-broken" / "docs").mkdir(parents=True)  # an unfinished version
+    assert TrigramIndex.open(spark, path).docs.count() == 8 and reader.docs.count() == 6
+    found = TrigramIndex.open(spark, path).search("potatoes")
+    assert found.count() == 3
+    assert "PartitionFilters: [isnotnull(bucket" in (plan := found._jdf.queryExecution().toString()) or "bucket" in plan.split("PartitionFilters")[1][:80]
+    assert TrigramIndex.reset(spark, path)
+    with pytest.raises(FileNotFoundError):
+        TrigramIndex.open(spark, path)
+
+
+def test_merged_paths_by_slashes(spark):
+    p = lambda *x: spark.createDataFrame([(v,) for v in x], "path string")
+    got = lambda a, b, **k: sorted(r.path for r in merge.merged_paths(a, b, **k).collect())
+    assert got(p("/a", "/a/b/c", "/bb"), p("/a/", "/b")) == ["/a", "/b", "/bb"]
+    assert got(p("/a", "/bb"), p("/b", "/a"), compat_prefix=True) == ["/a", "/b"]
+    assert got(p("/", "/x"), p("/y/z")) == ["/"]
+
+
+def test_commands(spark, tmp_path, caplog):
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src" / "a.txt").write_text("hello there\nno\nhello again\n")
+    (tmp_path / "src" / "b.bin").write_bytes(b"ab\0cd")
+    where, said = ["--indexpath", str(tmp_path / "ix")], []
+    commands.index(spark, [*where, "--logskip", str(tmp_path / "src"), str(tmp_path / "src" / "a.txt")], said.append)
+    assert said == [f"{tmp_path}/src/b.bin: skipped: {tg.BINARY}"] and "no directory" in caplog.text
+    (tmp_path / "src" / "c.txt").write_text("hello new\n")
+    commands.index(spark, where)  # the known paths again
+    out = lambda *argv: [r.output for r in commands.found(spark, [*where, *argv]).collect()]
+    name = f"{tmp_path}/src/a.txt"
+    assert out("-n", "-m", "1", "hello") == [f"{name}:1:hello there", f"{tmp_path}/src/c.txt:1:hello new"]
+    assert out("-c", "-G", "a[.]txt", "HELLO", "-i") == [f"{name}: 2"] and out("-l", "again") == [name] == out("--files", "there")
+    assert out("--format-vs", "again") == [f"{name}(3):hello again"]
+    said.clear()
+    commands.index(spark, [*where, "--list"], said.append)
+    assert said == [f"{tmp_path}/src"]
+    commands.index(spark, [*where, "--reset"])
+    with pytest.raises(SystemExit):
+        commands.index(spark, [*where, "--reset", "--list"])
+
+
+def test_segments(spark, tmp_path):
+    root = str(tmp_path / "s")
+    for k, text in enumerate(["first text", "second text", "third text"]):
+        ingest.write_segment(built(spark, [("/a", text), (f"/{k}", "other text")]), root, k)
+    ingest.write_segment(built(spark, [("/a", "again text")]), root, 2)  # a batch that runs twice
+    lines = lambda: sorted(r.line for r in latest(spark, root).search("text").collect())
+    assert lines() == ["again text", "other text", "other text"]
+    ingest.compact(spark, root)
+    assert len(ingest.live_segments(spark, root)) == 1 and lines() == ["again text", "other text", "other text"]
+    assert ids(latest(spark, root).docs) == [0, 1, 2]
+    ingest.write_segment(built(spark, [("/0", "x"), ("/a", "last text")]), root, 3)
+    assert lines() == ["last text", "other text"]
