@@ -29,6 +29,7 @@ from .common import table, written
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 SPACE = re.compile(r"\s+")
+QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
 PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 # HTML element names by kind.
@@ -38,39 +39,79 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 NEVER = frozenset("nav footer aside form head menu dialog select button svg search fieldset".split())
 CLOSES_P = BLOCK - frozenset("html body head option optgroup button".split())
 LIKE = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "td": ("tr",), "th": ("tr",), "tr": ("table",), "option": ("select",)}
-# Words of class, id and role names that mark what is not the article.
-NOT_CONTENT = frozenset("nav navbar navigation menu menubar breadcrumb breadcrumbs footer sidebar aside ad ads advert adverts advertisement advertising banner promo promotion sponsor sponsored notice notices alert cookie cookies consent gdpr popup modal overlay comment comments reply replies respond disqus share sharing social related recommended newsletter subscribe signup login search widget pagination pager toolbar copyright contentinfo complementary dialog form masthead topbar".split())
-HEADS = frozenset("header head masthead".split())
+# Words of class, id and role names for what is not the article, words that say nothing beside one of these, and
+# words that make a name tell of its surroundings.
+NOT_CONTENT = frozenset("nav navbar navigation menu menubar breadcrumb breadcrumbs footer sidebar aside ad ads advert adverts advertisement advertising banner promo promotion sponsor sponsored notice notices alert cookie cookies consent gdpr popup modal overlay comment comments reply replies respond disqus form search contentinfo complementary dialog".split())
+NEUTRAL = frozenset("box bar list area section wrapper wrap container block site page left right top bottom inner outer body item items group text content".split())
+ABOUT = frozenset("has with without no not is for under below after before".split())
+HEADS = frozenset("header head masthead topbar".split())
 MAIN = frozenset("article main".split())
 SUPPORT, LEAST_PAGES = 0.5, 3
 
 
+def names(value: str, words: frozenset[str]) -> bool:
+    """Whether one of an attribute's whole names means one of these words: its last word that is not neutral is one of them, and
+    it doesn't tell of something beside it (has-sidebar)."""
+    for name in value.split():
+        parts = [w.lower() for w in PIECE.findall(name)]
+        if ABOUT.isdisjoint(parts):
+            while len(parts) > 1 and (parts[-1] in NEUTRAL or parts[-1].isdigit()):
+                parts.pop()
+            if parts and parts[-1] in words:
+                return True
+    return False
+
+
 def role_of(name: str, attributes: str) -> tuple[str, str]:
-    """A token of the path, and its kind: "main", "not", "head" or ""."""
+    """A token of the path, and its kind: "main", "not", "head", "named" (not the article, by its name only) or ""."""
     if not attributes.strip():
         return name, "main" if name in MAIN else "not" if name in NEVER else "head" if name == "header" else ""
     a = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
-    words = {w.lower() for k in ("class", "id", "role") for w in PIECE.findall(a.get(k, ""))}
     token = f"{name}.{'.'.join(sorted(a.get('class', '').split()))}" if a.get("class") else name
-    if name in NEVER or words & NOT_CONTENT and name not in ("html", "body") and not (name in MAIN and not a.get("role")) or "hidden" in a:
+    if name in NEVER or re.search(r"(?<![\w-])hidden(?![\w-])", QUOTED.sub("", attributes)):
         return token, "not"
-    if name in MAIN or a.get("role") == "main":
+    if name in MAIN and not a.get("role") or a.get("role") == "main":
         return token, "main"
-    return token, "head" if name == "header" or words & HEADS else ""
+    if name == "header":
+        return token, "head"
+    called = " ".join(a.get(k, "") for k in ("class", "id", "role"))
+    if name not in ("html", "body") and names(called, NOT_CONTENT):
+        return token, "named"
+    return token, "head" if names(called, HEADS) else ""
 
 
 class Page:
-    """blocks: (role path, kind, text, characters in links) in page order."""
+    """blocks: (role path, kind, text, characters in links) in page order.
+
+    An element that only its name calls no article is taken at its word unless it holds the article itself: an article or main
+    element or, on pages without one, more than half of the text."""
 
     def __init__(self, source: str | None):
         self.blocks: list[tuple[str, str, str, int]] = []
-        self._stack: list[tuple[str, str, str]] = []
+        self._stack: list[tuple[str, str, str, int]] = []
         self._text: list[str] = []
-        self._link = self._linked = 0
+        self._link = self._linked = self._opened = 0
+        self._within: list[list[int]] = []
+        self._holds: set[int] = set()
         self._read(source or "")
+        if any(self._within):
+            self._believe_names()
+
+    def _believe_names(self) -> None:
+        sizes: dict[int, int] = {}
+        total = 0
+        for (_, kind, text, linked), inside in zip(self.blocks, self._within, strict=True):
+            if kind != "not":
+                free = max(0, len(text) - linked)
+                total += free
+                for k in inside:
+                    sizes[k] = sizes.get(k, 0) + free
+        alone = not any(kind == "main" for _, kind, _, _ in self.blocks)
+        wrong = self._holds | {k for k, n in sizes.items() if alone and 2 * n > total}
+        self.blocks = [b if wrong.issuperset(inside) else (b[0], "not", *b[2:]) for b, inside in zip(self.blocks, self._within, strict=True)]
 
     def _kind(self) -> str:
-        kinds = [k for _, _, k in self._stack]
+        kinds = [x[2] for x in self._stack]
         if "not" in kinds or "head" in kinds and "main" not in kinds[: kinds.index("head")]:
             return "not"
         return "main" if "main" in kinds else ""
@@ -79,7 +120,8 @@ class Page:
         if self._text:
             text = SPACE.sub(" ", html.unescape("".join(self._text))).strip()
             if text:
-                self.blocks.append(("/".join(t for _, t, _ in self._stack), self._kind(), text, self._linked))
+                self.blocks.append(("/".join(x[1] for x in self._stack), self._kind(), text, self._linked))
+                self._within.append([x[3] for x in self._stack if x[2] == "named"])
             self._text, self._linked = [], 0
 
     def _pop(self, k: int) -> None:
@@ -146,7 +188,10 @@ class Page:
                 self._pop(k)
             if name not in VOID:
                 token, kind = role_of(name, attributes)
-                self._stack.append((name, token, kind))
+                if kind == "main":
+                    self._holds.update(x[3] for x in self._stack if x[2] == "named")
+                self._opened += 1
+                self._stack.append((name, token, kind, self._opened))
                 self._link = 0 if name in ("article", "main", "body") else self._link
         return at
 
@@ -314,13 +359,14 @@ def main_text(source: str | None, template: dict | None) -> str:
     return slot_text([b[0] for b in blocks], [b[1] == "main" for b in blocks], [b[2] for b in blocks], [text_key(b[2]) for b in blocks], [max(0, len(b[2]) - b[3]) for b in blocks], template)
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_rows: int = 100_000, salts: int = 64) -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_bytes: int = 64 << 20, salts: int = 64) -> DataFrame:
     """page_id, url, text, n_chars: one row per page. Null or empty html gives an empty text; a null url is the host "".
 
-    Templates are broadcast up to broadcast_rows hosts; beyond, pages join them by host and salt, so no host is one task."""
+    Templates are broadcast up to broadcast_bytes; beyond, pages join them by host and salt, so no host is one task. Repeated
+    rows give repeated rows, an empty table none; other columns are left out, whatever their names."""
     rows = parsed(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).withColumn("host", host_of(F.col("url"))))
     found = written(templates(rows), "templates")
-    if found.count() <= broadcast_rows:
+    if found.agg(F.coalesce(F.sum(F.octet_length("template")), F.lit(0)).alias("n")).first()["n"] <= broadcast_bytes:
         joined = rows.join(F.broadcast(found), "host", "left")
     else:
         spread = found.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

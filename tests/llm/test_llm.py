@@ -228,6 +228,47 @@ def test_html_nested_classes():
     assert html_extract.constant_blocks(["b/p", "b/div/p", "b/p", "b/div/p"], [1, 3, 2, 3], nodes) == {0, 1, 2}
 
 
+def test_html_class_membership_matters():
+    token = lambda role, key, pages, at: {"role": role, "key": key, "n": pages, "free": 0, "pages": pages, "at": at * pages}
+    x, y, z = token("b/p", 1, 6, 0), token("b/p", 2, 6, 9), token("b/p", 3, 4, 4)
+    page = ["b/p"] * 3, [1, 2, 3]  # the third token stands outside its gap
+    apart, together = html_extract.nested([[x, y], [z]]), html_extract.nested([[x, y, z]])
+    assert html_extract.constant_blocks(*page, apart) == {0, 1} and html_extract.constant_blocks(*page, together) == {0, 1, 2}
+
+
+def test_html_names_are_whole_names():
+    article = "<p>One sentence of the text.</p><p>And one more of it.</p>"
+    whole = "One sentence of the text.\nAnd one more of it."
+    for head in ("<div class='layout has-sidebar'>", "<div id=share-wrapper-page>", "<div class=page-with-menu>", "<div class=menu>", "<main class=notice>"):
+        assert html_extract.main_text(f"<body>{head}{article}", None) == whole, head
+    inner = "<article>" + article + "<div class=notice-board><p>Board</p></div><p class=share>Share</p><div data-hidden=no><p>Seen</p></div></article>"
+    assert html_extract.main_text(inner, None) == whole + "\nBoard\nShare\nSeen"
+    for other in ("<div class=cookie-notice>", "<div id=comments>", "<div class='x comment-list'>", "<div class=siteFooter>", "<section class=ad>", "<div hidden>", "<div role=navigation>", "<div class=sidebar-left>"):
+        assert html_extract.main_text(f"<body><article>{article}{other}<p>Other</p></div></section></article>", None) == whole, other
+
+
+def test_html_templates_equal_brute_force(spark):
+    rng = np.random.default_rng(2)
+    pages, want = [], {}
+    for host in range(3):
+        fixed = [f"fixed words {host} {k}" for k in range(4)]
+        for n in range(8):
+            body = [f"own words {host} {n} {k}" for k in range(int(rng.integers(1, 4)))]
+            shown = [f for f in fixed if rng.random() < 0.8]
+            cut = int(rng.integers(0, len(body) + 1))
+            parts = shown[:2] + body[:cut] + shown[2:] + body[cut:] if n else fixed[:2] + body + fixed[2:]
+            pages.append((100 * host + n, f"https://h{host}.example/{n}", "<body><article>" + "".join(f"<p>{x}</p>" for x in parts) + "</article>", parts))
+    for host in range(3):
+        own = [p for p in pages if p[0] // 100 == host]
+        often = {x for p in own for x in p[3] if sum(x in q[3] for q in own) >= max(3, len(own) / 2)}
+        want |= {p[0]: "\n".join(x for x in p[3] if x not in often) for p in own}
+    rows = spark.createDataFrame([p[:3] for p in pages], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract(rows).collect()}
+    assert np.mean([got[k] == want[k] for k in want]) > 0.8  # a token outside its gap is no template text
+    assert all(set(want[k].split("\n")) <= set(got[k].split("\n")) for k in want)
+    assert html_extract.extract(rows.limit(0)).count() == 0
+
+
 def test_html_copies_keep_their_article(spark):
     page = "<body><div class=t><p>The article {k} of many words</p><p>and more of {k}</p></div>"
     kept = [f"The article {k} of many words\nand more of {k}" for k in (0, 0, 1, 2)]
