@@ -140,14 +140,67 @@ def test_language_id_held_out(spark):
 
 
 def test_toxicity_grammar():
-    g = toxicity.Grammar({w: 2.0 for w in toxicity.INSULTS}, {"vequ": 4.0})
+    g = toxicity.Grammar({"idiot": 2.0, "fool": 3.0}, {"vequ": 4.0})
     plain, negated, said = (g.score(t) for t in ("he is an idiot", "he is not an idiot", "she said he is an idiot"))
     assert plain > negated > 0 and plain > said > 0
     assert g.score("I will kill you") > 0 and g.score("kill the process") == 0
-    assert g.score(None) == g.score("") == g.score("a clean text. not more") == 0
+    assert g.score(None) == g.score("") == g.score("a clean text. not more") == g.score("idiots, foolish unfool") == 0
     assert g.score("la vequoir est") >= 0.3
     text = "All is well. You are an idiot! The end"
     assert [text[a:b].strip() for a, b, _ in g.matches(text)] == ["You are an idiot"]
+    text = "İİİ. An IDIOT here. End"  # lower-casing makes these longer
+    assert [text[a:b].strip() for a, b, _ in g.matches(text)] == ["An IDIOT here"]
+
+
+def by_rules(g, words):
+    """A clause's weight, rule by rule, without any machine."""
+    kinds, total, threat = [g.symbol(w) for w in words], 0.0, None
+    near = lambda k, on, reach: any(kinds[j][0] == on for j in range(max(0, k - reach + 1) if reach else 0, k + 1))
+    for k, (kind, value) in enumerate(kinds):
+        weak = (0.5 if near(k, toxicity.NEGATION, 3) else 1) * (0.7 if near(k, toxicity.REPORT, 0) else 1)
+        if kind == toxicity.INSULT:
+            total += value * weak * (1.25 if near(k, toxicity.TARGET, 3) else 1)
+        if kind == toxicity.THREAT:
+            threat = (k, weak)
+        elif kind == toxicity.TARGET and threat and k - threat[0] <= 3:
+            total, threat = total + 1.5 * threat[1], None
+    return total
+
+
+def test_toxicity_machine_equals_its_rules():
+    g, rng = toxicity.Grammar({"idiot": 2.0, "fool": 3.0}, {"vequ": 4.0}), np.random.default_rng(1)
+    pool = ["idiot", "fool", "vequor", "kill", "hurt", "you", "him", "not", "never", "said", "claims", "the", "a", "house"]
+    for _ in range(3000):
+        words = rng.choice(pool, rng.integers(0, 12)).tolist()
+        assert g.clause(words) == pytest.approx(by_rules(g, words))
+    heads = ["".join(rng.choice(list("abé.+"), rng.integers(1, 5))) for _ in range(40)]
+    pattern = re.compile(toxicity.trie(heads))
+    for text in ("".join(rng.choice(list("abé.+"), 6)) for _ in range(300)):
+        m, known = pattern.match(text), [h for h in heads if text.startswith(h)]
+        assert (m.group() if m else "") == max(known, key=len, default="")
+
+
+def test_toxicity_fit_and_scores(spark, empty):
+    rng = np.random.default_rng(9)
+    filler = ["word" + "".join(chr(97 + k // 26**i % 26) for i in (0, 1)) for k in range(300)]
+    rows, labels = [], []
+    for k in range(600):
+        words, toxic = rng.choice(filler, 30).tolist(), k % 5 == 0
+        if toxic:
+            words[int(rng.integers(0, 30))] = ["grobnak", "zottelmann", f"vrix{filler[k % 40][4:]}"][k // 5 % 3]
+        rows.append((k, " ".join(words), "en", "s", "clash", "clash"))
+        labels += [(k, 1, int(toxic))] * (k != 7)
+    docs = spark.createDataFrame([*rows, (900, None, None, None, None, None), (901, "", None, None, None, None), (1, rows[1][1], "en", "s", "", "")], SCHEMA)
+    marks = spark.createDataFrame([*labels, (None, 1, 1), (5, 0, None), (12345, 1, 1)], "doc_id long, quality int, toxic int")
+    g = toxicity.fit_grammar(toxicity.labelled_rows(docs, marks))
+    assert set(g.insults) >= {"grobnak", "zottelmann"} and any(s.startswith("vri") for s in g.stems) and not any("word" in w[:4] for w in [*g.insults, *g.stems])
+    got = toxicity.score_documents(docs, g).collect()
+    assert len(got) == 603 and all(r.predicted == int(r.doc_id % 5 == 0 and r.doc_id < 900) for r in got)
+    assert all(r.score == 0 for r in got if r.doc_id >= 900)
+    kept = toxicity.keep_clean(docs, g)
+    assert kept.columns == docs.columns and kept.count() == 483
+    none = toxicity.fit_grammar(toxicity.labelled_rows(empty, marks))
+    assert not none.insults and none.score("grobnak") == 0 and toxicity.score_documents(empty, none).count() == 0
 
 
 def test_benchmark_windows(spark, docs):
