@@ -330,23 +330,69 @@ def test_html_copies_keep_their_article(spark):
 
 
 def test_licenses(spark, docs):
-    index = license_scan.TemplateIndex(license_scan.TEMPLATES)
+    index = license_scan.TemplateIndex(license_scan.known_licenses())
     text = "Ünïcode head.\n" + license_scan.TEMPLATES["mit"].replace("publish, ", "").replace("merge", "blend") + "\nReleased under the MIT License."
     got = index.scan(text)
-    assert [m[0] for m in got] == ["mit", "mit-line"] and got[0][1] > 0.95 and got[1][1] == 1.0
-    assert text[got[0][3] : got[0][4]].startswith("Permission is") and re.fullmatch("Released under the MIT License", text[got[1][3] : got[1][4]])
+    assert [m[0] for m in got] == ["mit", "mit-reference"] and got[0][1] > 0.95 and got[1][1] == 1.0
+    assert text[got[0][3] : got[0][4]].startswith("Permission is") and text[got[1][3] : got[1][4]] == "under the MIT License"
     assert license_scan.scan_licenses(docs).count() == 0
 
 
 def test_licenses_back_to_back():
-    index = license_scan.TemplateIndex(license_scan.TEMPLATES)
+    index = license_scan.TemplateIndex(license_scan.known_licenses())
     for between in ("", " - lib{k}", " - lib{k} of the list, version {k}"):
         text = "".join(f"Released under the MIT License.{between.format(k=k)}\n" for k in range(40))
         got = index.scan(text)
-        assert [(m[0], m[1]) for m in got] == [("mit-line", 1.0)] * 40
-        assert [m[3] for m in got] == [m.start() for m in re.finditer("Released", text)]
-    text = "Released under a MIT License. x\nReleased under the MIT License."  # an edited line before a whole one
-    assert [m[1] for m in index.scan(text)] == [0.8, 1.0]
+        assert [(m[0], m[1]) for m in got] == [("mit-reference", 1.0)] * 40
+        assert [m[3] for m in got] == [m.start() for m in re.finditer("under", text)]
+
+
+@pytest.mark.parametrize(
+    ("line", "name"),
+    [("Released under an MIT License.", "mit"), ("You may use it under the terms of the Apache License, Version 2.0!", "apache-2.0"), ("Text is available under CC-BY-SA 4.0", "cc-by-sa-4.0"), ("distributed under a modified BSD license", "bsd-3-clause"), ("under the GNU General Public License, version 2 or later", "gpl-2.0")],
+)
+def test_license_references(line, name):
+    got = license_scan.TemplateIndex(license_scan.known_licenses()).scan(f"some words before. {line}\nand after")
+    assert f"{name}-reference" in [m[0] for m in got]
+
+
+@pytest.mark.parametrize("name", ["apache-2.0", "gpl-3.0", "mpl-2.0", "lgpl-2.1"])
+def test_whole_licenses(name):
+    index, texts = license_scan.TemplateIndex(license_scan.known_licenses()), dict(license_scan.known_licenses())
+    words = texts[name].split()
+    edited = " ".join(w for k, w in enumerate(words) if k % 40 != 7)
+    got = [m for m in index.scan("Before it.\n" + edited + "\nAfter it.") if m[0] == name]
+    assert len(got) == 1 and got[0][1] > 0.95
+    assert not [m for m in index.scan(" ".join(words[: len(words) // 2])) if m[0] == name]
+
+
+def test_license_alignment_equals_brute_force():
+    rng = np.random.default_rng(5)
+    index = license_scan.TemplateIndex({"t": "a b c d e f g h a b"})
+    t = index.codes[0].tolist()
+    for _ in range(300):
+        words = rng.integers(-1, 8, rng.integers(1, 40))
+        lo, d = 0, int(rng.integers(-5, 12))
+        table = np.zeros((len(t) + 1, len(words) + 1), int)  # the longest common subsequence within the band
+        for i in range(len(t)):
+            for k in range(len(words)):
+                near = abs(k - i - d) <= license_scan.BAND
+                table[i + 1, k + 1] = max(table[i, k + 1], table[i + 1, k], table[i, k] + (t[i] == words[k] and near))
+        got = index.align(words, 0, np.full(len(t), d), lo, len(words))
+        assert (got[0] if got else 0) == table[-1, -1]
+        if got:
+            n, a, b = got
+            inner = words[a : b + 1].tolist()
+            assert words[a] in t and words[b] in t and n <= len(inner)
+
+
+def test_licenses_in_odd_documents(spark):
+    line = "under the MIT License"
+    rows = [(1, None, ""), (2, "", ""), (3, line, ""), (3, line, ""), (4, "x " * 300_000 + line, ""), (None, line, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, license string")
+    got = license_scan.scan_licenses(docs).collect()
+    assert sorted((r.doc_id or 0, r.start) for r in got) == [(0, 0), (3, 0), (3, 0), (4, 600_000)]
+    assert license_scan.scan_licenses(docs.limit(0)).count() == 0
 
 
 ENDINGS = {
@@ -359,7 +405,7 @@ ENDINGS = {
 
 @pytest.mark.parametrize("name", list(ENDINGS))
 def test_licenses_are_whole(name):
-    index = license_scan.TemplateIndex(license_scan.TEMPLATES)
+    index = license_scan.TemplateIndex(license_scan.known_licenses())
     head, end = license_scan.TEMPLATES[name].split(ENDINGS[name][:24])[0], ENDINGS[name]
     text = f"A head.\n{head}{end}"
     got = [m for m in index.scan(text + "> and a tail.") if m[0] == name]
