@@ -2,28 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the cluster's shared folder (spark.checkpoint.dir); a local one only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="gramlake-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/gramlake/{name}-{uuid.uuid4().hex}"
+from .. import storage
+from ..storage import dropped, shared_path  # noqa: F401
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a written table: cuts the lineage and survives lost executors."""
+    """df as a written table in the shared folder: cuts the lineage and survives lost executors."""
     bounded_batches(df.sparkSession)
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return storage.written(df, name)
 
 
 #: Rows that an Arrow batch holds at most: with long texts the default of 10,000 takes hundreds of MB a worker.

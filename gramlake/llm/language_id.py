@@ -31,6 +31,8 @@ def ngrams(text: str | None) -> np.ndarray:
 
     A key holds up to three 20-bit codes. An n-gram is inside one word, padded by one space on each side."""
     flat = NOT_LETTERS.sub(" ", (text or "").lower()).strip()
+    if not flat.isascii() and not flat.replace(" ", "").isalpha():  # numerals that are no digits, such as fractions
+        flat = " ".join("".join(c if c.isalpha() else " " for c in flat).split())
     if not flat:
         return np.zeros(0, np.int64)
     c = np.frombuffer(f" {flat} ".encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64) & 0xFFFFF
@@ -82,11 +84,11 @@ class Profiles:
         return self.languages[best], float(1 / near.sum())
 
 
-def fit_profiles(docs: DataFrame, rows: int = FIT_ROWS, size: int = PROFILE, max_languages: int = 500, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Profiles:
+def fit_profiles(docs: DataFrame, rows: int = FIT_ROWS, size: int = PROFILE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Profiles:
     """Profiles from labelled rows: a hash sample of at most about `rows` of them (null languages or texts are left out).
 
     n-grams are counted in each partition, the counts summed by Spark, and only the `size` leaders of a language reach the
-    driver. More than max_languages languages are refused."""
+    driver: at most `rows` languages, as the sample has no more."""
     bounded_batches(docs.sparkSession)
     labelled = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null")
     sample = hash_sample(labelled, "doc_id", rows).select("lang", "text")
@@ -101,9 +103,7 @@ def fit_profiles(docs: DataFrame, rows: int = FIT_ROWS, size: int = PROFILE, max
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys), pa.array(n.astype(np.int64))], ["lang", "key", "n"])
 
     counts = sample.mapInArrow(count, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
-    leaders = counts.groupBy("lang").agg(F.slice(F.sort_array(F.collect_list(F.struct(F.col("n").alias("n"), (-F.col("key")).alias("k"))), asc=False), 1, size).alias("top")).limit(max_languages + 1).collect()
-    if len(leaders) > max_languages:
-        raise ValueError(f"more than {max_languages} languages")
+    leaders = counts.groupBy("lang").agg(F.slice(F.sort_array(F.collect_list(F.struct(F.col("n").alias("n"), (-F.col("key")).alias("k"))), asc=False), 1, size).alias("top")).collect()
     tops = {r["lang"]: np.array([-x["k"] for x in r["top"]], np.int64) for r in sorted(leaders, key=lambda r: r["lang"])}
     keys = np.unique(np.concatenate(list(tops.values()))) if tops else np.zeros(0, np.int64)
     ranks = np.full((len(tops), len(keys)), size, np.int64)
@@ -123,14 +123,16 @@ def language(text: Column, profiles: Profiles) -> Column:
 
 
 def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score: one row per input row; null, empty and letterless texts are `und` with score 0."""
+    """doc_id, lang_pred, score: one row per input row, also of repeated ones; null, empty and letterless texts are `und` with
+    score 0; an empty table gives no rows."""
     out = docs.select(F.col(id_col).alias("doc_id"), language(F.col(text_col), profiles).alias("p"))
     return out.select("doc_id", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
 
 
 def keep_identified(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> DataFrame:
-    """The documents with a language: rejected are those without letters and those sharing no n-gram with any profile."""
-    return docs.withColumn("_language", language(F.col(text_col), profiles)).where("_language.score > 0").drop("_language")
+    """The documents with a language, columns of any name as they are: rejected are those without letters and those sharing no
+    n-gram with any profile."""
+    return docs.where(language(F.col(text_col), profiles)["score"] > 0)
 
 
 def training_rows(docs: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, written
 
 #: Rows of a bucket that stand in one tile's block.
 BLOCK = 1024
@@ -30,7 +30,8 @@ def components(links: DataFrame) -> DataFrame:
         # Every node and its smaller neighbours go to the smallest of them.
         m = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(m, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(m.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = written(small, "edges")
+        former, edges = edges, written(small, "edges")
+        dropped(former)
         now = edges.agg(F.count("*").alias("n"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 31))).alias("h")).first()
         if now == before:
             break
@@ -40,13 +41,13 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def tiles(hits: DataFrame, key: list[str], block: int = BLOCK) -> DataFrame:
-    """hits, which hold their bucket's number of rows as `n`, with columns t1, t2, side: every pair of rows of one key meets in
+    """hits, which hold their bucket's number of rows as `rows`, with columns t1, t2, side: every pair of rows of one key meets in
     exactly one tile (key, t1, t2) of about two blocks at most. A bucket of up to `block` rows is one tile; a larger one is
     dealt into blocks by a hash of the row, without bringing it together, and its rows are repeated once for each block."""
-    last = F.ceil(F.col("n") / block).cast("int") - 1
+    last = F.ceil(F.col("rows") / block).cast("int") - 1
     own = F.when(last > 0, F.pmod(F.xxhash64(*hits.columns), last + 1)).otherwise(0).cast("int")
     spread = hits.withColumn("_b", own).withColumn("_o", F.explode(F.sequence(F.lit(0), last)))
-    return spread.select("*", F.least("_b", "_o").alias("t1"), F.greatest("_b", "_o").alias("t2"), (F.col("_b") > F.col("_o")).cast("int").alias("side")).drop("n", "_o", "_b")
+    return spread.select("*", F.least("_b", "_o").alias("t1"), F.greatest("_b", "_o").alias("t2"), (F.col("_b") > F.col("_o")).cast("int").alias("side")).drop("rows", "_o", "_b")
 
 
 def tiles_in_turn(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Table]:

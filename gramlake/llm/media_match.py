@@ -312,7 +312,7 @@ def match_media(media: DataFrame, id_col: str, bytes_col: str) -> DataFrame:
 
     label = bounded_broadcast(label, label.count(), BROADCAST_ROWS)
     seen = held.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = written(seen.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n"), "mixed")
+    mixed = written(seen.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("rows")).where("lo <> hi").select("key", "rows"), "mixed")
     seen = seen.join(bounded_broadcast(mixed, mixed.count(), BROADCAST_ROWS), "key")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,7 +5,7 @@
 2. Shingles are ordered by their counter, rare ones first. Two sets that reach the threshold share a shingle among the
    first n - ceil(t n) + 1 of each, so only those become postings, each with the set's size; a set's bitmap (its shingles'
    parity over 2048 bits) is kept beside.
-3. A bucket is cut into size bands: in order of size, wherever two neighbours' sizes alone rule a link out. First each row
+3. A bucket is cut into size bands: in order of its different sizes, wherever two neighbours alone rule a link out. First each row
    meets only its band's smallest id. The bitmaps' differing bits
    bound the overlap from above; sorted arrays decide what is left. The links' components are labelled.
 4. Then all pairs of a band whose labels still differ are compared, in tiles of bounded size, and the components finished.
@@ -212,19 +212,23 @@ class NgramJoin:
         sets = written(rows.where("n > 0 and id is not null").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.min("n").alias("n")), "nodes")
         made = written(self.prefixes(level).join(sets.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), "prefixes")
         bits = made.select("id", "bits")
-        by_size, segment = Window.partitionBy("key").orderBy("n", "id"), Window.partitionBy("key", "seg")
+        post = made.select("id", "n", F.explode("keys").alias("key"))
+        # Bands are cut from the different sizes of a key, each counted once, not from its rows: no key is sorted in one task.
+        sizes = post.groupBy("key", "n").agg(F.count("*").alias("c"), F.min("id").alias("lo"))
+        by_size, band = Window.partitionBy("key").orderBy("n"), Window.partitionBy("key", "seg")
         apart = F.coalesce(F.lag("n").over(by_size) * den < F.col("n") * num, F.lit(False)).cast("int")
-        post = made.select("id", "n", F.explode("keys").alias("key")).withColumn("apart", apart)
-        post = post.withColumn("seg", F.sum("apart").over(by_size.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
-        first = F.min(F.struct("id", "n")).over(segment)
-        hits = post.select("key", "seg", "id", "n", F.count("*").over(segment).alias("_c"), first.alias("f")).where("_c > 1")
-        hits = written(hits.select("key", "seg", "id", "n", F.col("f.id").alias("a"), F.col("f.n").alias("na")), "hits")
+        sizes = sizes.withColumn("apart", apart).withColumn("seg", F.sum("apart").over(by_size.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
+        first = F.min(F.struct("lo", "n")).over(band)
+        bands = sizes.select("key", "n", "seg", F.sum("c").over(band).alias("rows"), first.alias("f")).where("rows > 1")
+        hits = post.join(bands.select("key", "n", "seg", F.col("f.lo").alias("a"), F.col("f.n").alias("na")), ["key", "n"])
+        hits = written(hits.select("key", "seg", "id", "n", "a", "na"), "hits")
         star = hits.where("id <> a").where(self.like_sized("n", "na")).select("a", "na", F.col("id").alias("b"), F.col("n").alias("nb")).distinct()
         links = self.verified(written(self.bounded(star, bits), "pairs"))
         label = written(components(links), "labels")
 
         seen = hits.select("key", "seg", "id", "n").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        spread = seen.select("*", F.min("component").over(segment).alias("lo"), F.max("component").over(segment).alias("hi")).where("lo <> hi").drop("lo", "hi")
+        mixed = seen.groupBy("key", "seg").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("rows")).where("lo <> hi")
+        spread = seen.join(mixed.select("key", "seg", "rows"), ["key", "seg"])
 
         def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for t in tiles_in_turn(batches, ["key", "seg", "t1", "t2"]):
@@ -258,9 +262,9 @@ class NgramJoin:
 def drop_near_copies(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The documents without near copies of an earlier one: of each class the smallest doc_id stays; all columns as they are.
 
-    Rows without an id stay; of rows that share an id all stay or go."""
-    gone = NgramJoin(docs, width, num, den).classes().where("id <> component_id").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    Rows without an id stay; of rows that share an id all stay or go; columns of any name stay as they are."""
+    gone = NgramJoin(docs, width, num, den).classes().where("id <> component_id").select(F.col("id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
