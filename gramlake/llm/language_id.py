@@ -131,7 +131,9 @@ def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_c
 
 def keep_identified(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> DataFrame:
     """The documents with a language, columns of any name as they are: rejected are those without letters and those sharing no
-    n-gram with any profile."""
+    n-gram with any profile. Where no language is known at all, only those without letters are."""
+    if not profiles.languages:
+        return docs.where(F.coalesce(F.col(text_col).rlike("\\p{L}"), F.lit(False)))
     return docs.where(language(F.col(text_col), profiles)["score"] > 0)
 
 

@@ -127,7 +127,9 @@ def test_language_id(spark, empty):
     rows = [(k, "the cat and the dog sit in the house" if k % 2 else "der Hund und die Katze sind in dem Haus", "en" if k % 2 else "de", "s", "", "") for k in range(40)]
     profiles = language_id.fit_profiles(spark.createDataFrame(rows, SCHEMA))
     assert profiles.predict("the house and the cat")[0] == "en" and profiles.predict("die Katze und der Hund")[0] == "de"
-    assert profiles.predict(None) == profiles.predict("12 !") == ("und", 0.0)
+    assert profiles.predict(None) == profiles.predict("12 !") == profiles.predict("½ ² ① Ⅷ") == ("und", 0.0)
+    assert profiles.predict("½ the house ²")[0] == "en"
+    assert language_id.identify(empty, profiles).count() == 0
     test = spark.createDataFrame([(1, None), (2, "123"), (3, "in the house"), (4, "ツ")], "doc_id long, text string")
     assert [r.doc_id for r in language_id.keep_identified(test, profiles).collect()] == [3]
     assert language_id.fit_profiles(empty).predict("word") == ("und", 0.0)
@@ -216,6 +218,20 @@ def test_benchmark_windows(spark, docs):
     s = got[1].spans[0]
     assert texts[1][s["start"] : s["end"]].startswith("W1;")
     assert sorted(r.doc_id for r in decontaminate.remove_benchmark(rows, items).collect()) == [3, 4, 5]
+    none = items.limit(0)
+    assert not any(r.contaminated for r in decontaminate.find_benchmark(rows, none).collect()) and decontaminate.remove_benchmark(rows, none).count() == 5
+    assert decontaminate.find_benchmark(rows.limit(0), items).count() == decontaminate.remove_benchmark(rows.limit(0), items).count() == 0
+
+
+def test_benchmark_in_parts(spark):
+    rng = np.random.default_rng(2)
+    items = [(f"i{k}", " ".join(f"w{x}" for x in rng.integers(0, 30, rng.integers(1, 9)))) for k in range(40)]
+    docs = [(k, " ".join(f"w{x}" for x in rng.integers(0, 30, rng.integers(0, 200)))) for k in range(60)] + [(60, None), (7, "w1 w2"), (7, "w1 w2")]
+    items, docs = spark.createDataFrame(items, "item_id string, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    got = [sorted(map(tuple, decontaminate.find_benchmark(docs, items, width=3, bound=b).collect())) for b in (1 << 20, 700)]
+    assert got[0] == got[1] and len(got[0]) == 63
+    kept = [sorted(map(str, decontaminate.remove_benchmark(docs, items, width=3, bound=b).collect())) for b in (1 << 20, 700)]
+    assert kept[0] == kept[1]
 
 
 def classes(texts, width, num, den):
@@ -494,6 +510,53 @@ def test_against_sql(spark, name):
     assert not differences(spark, SF, registry.QUERIES[name], registry.ORACLE_SQL[name])
 
 
+ODD_DOCS = [
+    (1, None, "en", "s", "a"), (2, "", "en", "s", "a"), (3, "½ ²", None, None, None), (4, "a clean text about the house and the garden", "en", "s", "a"),
+    (4, "a clean text about the house and the garden", "en", "s", "a"), (5, "word " * 60_000, "en", "s", "a"), (None, "the house and the garden again", None, "s", "a"),
+]
+
+
+@pytest.mark.parametrize("stage", [0, 1, 2, 3, 4])
+def test_stages_on_odd_rows(spark, stage):
+    import corpus_pipeline
+
+    name, run = corpus_pipeline.STAGES[stage]
+    schema = "doc_id long, text string, lang string, source string, n_chars string, `a.b` string, id string, _language string, component string"
+    docs = spark.createDataFrame([(*r, "x", "y", "z", "c") for r in ODD_DOCS], schema)
+    out = run(spark, docs, SF)
+    if stage < 4:
+        assert out.columns == docs.columns
+        kept = sorted((r["doc_id"] or 0) for r in out.collect())
+        assert kept == ([0, 4, 4, 5] if stage == 0 else [0, 1, 2, 3, 4, 4, 5])
+    else:
+        assert {r.doc_id for r in out.collect()} == {None, 1, 2, 3, 4, 5}
+    assert run(spark, docs.limit(0), SF).count() == 0
+
+
+def test_pipeline_equals_its_stages_by_hand(spark):
+    """The near-copy and benchmark stages by brute force, the others' rejections by their own per-text functions."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    profiles = language_id.fit_profiles(language_id.training_rows(docs))
+    kept = {k: t for k, t in texts.items() if profiles.predict(t)[1] > 0}
+    fit = docs.where(F.col("doc_id").isin(list(kept)))
+    grammar = toxicity.fit_grammar(toxicity.labelled_rows(fit, spark.read.parquet(f"{SF}/labels.parquet")))
+    kept = {k: t for k, t in kept.items() if grammar.score(t) < 0.3}
+    near = classes(kept, 5, 80, 100)
+    kept = {k: t for k, t in kept.items() if near[k][1] == k}
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    windows = {tuple(w.split(b" ")) for _, t in items for w in decontaminate.windows_of(decontaminate.normal(t).split(), 10)}
+
+    def hit(text):
+        words = decontaminate.normal(text).split()
+        return any(tuple(words[k : k + n]) in windows for n in {len(w) for w in windows} for k in range(len(words) - n + 1))
+
+    kept = {k for k, t in kept.items() if not hit(t)}
+    assert {r.doc_id for r in corpus_pipeline.run(spark, SF).select("doc_id").distinct().collect()} == kept
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
