@@ -53,7 +53,7 @@ def clean() -> None:
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a written table: cuts the lineage, is computed once and survives lost executors."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written = path
     return out
