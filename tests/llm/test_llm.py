@@ -575,3 +575,49 @@ def test_whole_runs_cut_no_run():
         for x, ends in got:
             assert ends.tolist() == np.searchsorted(x, x, "right").tolist()
     assert list(linking.whole_runs(iter([]), ["key"])) == []
+
+
+def test_token_files_have_stripes_indexes_and_pruning(spark, tmp_path):
+    from pyarrow import orc
+
+    rows = spark.range(12000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text number "), F.sha2(F.col("id").cast("string"), 512)).alias("text"))
+    path = str(tmp_path / "t")
+    token_files.write_token_files(rows, path, BYTE, part_bytes=400_000, stride=1000)
+    files = sorted((tmp_path / "t").glob("*.orc"))
+    assert len(files) >= 4  # by bytes, not by shuffle partitions
+    low = []
+    for f in files:
+        o = orc.ORCFile(str(f))
+        ids = o.read(columns=["doc_id"])["doc_id"].to_pylist()
+        low.append((ids[0], ids[-1]))
+        assert ids == sorted(ids) and o.row_index_stride == 1000 and o.nstripes >= 1
+        stripes = [o.read_stripe(k, columns=["doc_id"]).column(0).to_pylist() for k in range(o.nstripes)]  # stripe by stripe
+        assert [x for s in stripes for x in s] == ids
+    low = sorted(low)
+    assert all(a[1] < b[0] for a, b in zip(low, low[1:], strict=False))  # one id range a file
+    back = token_files.read_token_files(spark, path)
+    found = back.where("doc_id = 4321")
+    plan = found._jdf.queryExecution().toString()
+    assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,4321)" in plan or "EqualTo(doc_id,4321)" in plan
+    assert found.count() == 1 and found.first().ids[-1] == 0
+
+    def bloom_streams(file):
+        """Streams of Bloom filters (kinds 7 and 8) in the stripe footers, by the ORC library's own reader."""
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        p = jvm.org.apache.hadoop.fs.Path(str(file))
+        reader = jvm.org.apache.orc.OrcFile.createReader(p, jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        r = reader.rows()
+        stripe = reader.getStripes().get(0)
+        return [s.getKind().toString() for s in r.readStripeFooter(stripe).getStreamsList()]
+
+    kinds = bloom_streams(files[0])
+    assert any(k.startswith("BLOOM_FILTER") for k in kinds) and "ROW_INDEX" in kinds
+
+
+def test_token_files_odd_rows(spark, tmp_path, empty):
+    token_files.write_token_files(empty, str(tmp_path / "e"), BYTE)
+    assert token_files.read_token_files(spark, str(tmp_path / "e")).count() == 0
+    rows = spark.createDataFrame([(1, "b", ""), (1, "a", ""), (None, "c", ""), (2, None, ""), (1, "a", "")], "doc_id long, text string, ids string")
+    token_files.write_token_files(rows, str(tmp_path / "o"), BYTE, parts=3)
+    got = token_files.checksums(token_files.read_token_files(spark, str(tmp_path / "o"))).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None, 1, 1, 1, 2] and [r.start for r in got] == [0, 2, 4, 6, 8] and got[-1].n_tokens == 1
