@@ -7,14 +7,16 @@ and, of these, the row groups that can hold them."""
 from __future__ import annotations
 
 import os
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import storage
 from ..functions.trigrams import Limits, examine, packed
-from ..plans.lower import candidates
+from ..plans.lower import bound, candidates, evaluated
 from ..plans.regex import parse
 from ..plans.trigram_query import ALL, Query, compiled
 from . import merge as _merge
@@ -32,6 +34,10 @@ SCHEMAS = {
 BUCKET_BYTES, GROUP_BYTES, BUCKETS = 128 << 20, 8 << 20, 4096
 #: Candidates that become a list of ids in the scan's filter; more are joined.
 FEW = 1000
+#: Postings that a lookup brings to the driver at most; more are combined by Spark.
+LOOKUP_ROWS = 200_000
+#: Where at least one document in so many may match, all are scanned: a scan costs less than finding out.
+SCAN_SHARE = 5
 
 
 def default_location() -> str:
@@ -39,6 +45,11 @@ def default_location() -> str:
     return os.environ.get("CSEARCHINDEX") or os.path.join(os.environ.get("HOME") or os.environ.get("USERPROFILE") or ".", ".csearchindex")
 
 
+def _among(column: str, values: list[int]) -> Column:
+    """Whether a column is one of these numbers: as text, which takes one call however many they are."""
+    return F.expr(f"{column} IN ({', '.join(map(str, values))})") if values else F.lit(False)
+
+
 def _columns(name: str) -> list[str]:
     return [x.split()[0] for x in SCHEMAS[name].split(", ")]
 
@@ -53,6 +64,10 @@ class TrigramIndex:
 
     #: Ids are shifted by this many bits to give their bucket; None where contents have no buckets.
     shift: int | None = None
+    #: Of a stored index: how many documents hold each trigram, and the number of documents.
+    stats_table: DataFrame | None = None
+    n_docs: int = 0
+    known_counts: dict[int, int] = field(default_factory=dict)
 
     @classmethod
     def build(cls, spark: SparkSession, files: DataFrame, roots: list[str] = (), limits: Limits = Limits(), id_col: str | None = None) -> TrigramIndex:
@@ -95,7 +110,9 @@ class TrigramIndex:
         for name in ("paths", "docs", "skipped"):
             getattr(self, name).select(*_columns(name)).write.parquet(f"{out}/{name}")
         self.postings.repartitionByRange("trigram", "doc_id").sortWithinPartitions("trigram", "doc_id").write.parquet(f"{out}/postings")
-        size = spark.read.schema(SCHEMAS["docs"]).parquet(f"{out}/docs").agg(F.max("doc_id").alias("top"), F.sum("n_bytes").alias("n")).first()
+        posts = spark.read.schema(SCHEMAS["postings"]).parquet(f"{out}/postings")
+        doc_counts(posts).repartitionByRange("trigram").sortWithinPartitions("trigram").write.parquet(f"{out}/counts")
+        size = spark.read.schema(SCHEMAS["docs"]).parquet(f"{out}/docs").agg(F.max("doc_id").alias("top"), F.sum("n_bytes").alias("n"), F.count("*").alias("docs")).first()
         top, n = size["top"] or 0, size["n"] or 0
         buckets = min(BUCKETS, max(1, -(-n // BUCKET_BYTES)))
         shift = max(0, (top // buckets).bit_length())
@@ -103,7 +120,7 @@ class TrigramIndex:
         rows = self.contents.select("doc_id", "name", "content", F.shiftright("doc_id", shift).cast("int").alias("bucket"))
         rows = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
         rows.write.option("parquet.block.size", GROUP_BYTES).partitionBy("bucket").parquet(f"{out}/contents")
-        spark.createDataFrame([(shift,)], "shift int").write.parquet(f"{out}/shift")
+        spark.createDataFrame([(shift, size["docs"])], "shift int, n_docs long").coalesce(1).write.parquet(f"{out}/facts")
         storage.publish(spark, out)
         storage.prune(spark, path, keep)
 
@@ -119,7 +136,9 @@ class TrigramIndex:
     @classmethod
     def open_version(cls, spark: SparkSession, path: str) -> TrigramIndex:
         tables = {name: spark.read.schema(schema).parquet(f"{path}/{name}") for name, schema in SCHEMAS.items()}
-        return cls(**tables, shift=spark.read.schema("shift int").parquet(f"{path}/shift").first()["shift"])
+        facts = spark.read.schema("shift int, n_docs long").parquet(f"{path}/facts").first()
+        counts = spark.read.schema("trigram int, doc_count long").parquet(f"{path}/counts")
+        return cls(**tables, shift=facts["shift"], stats_table=counts, n_docs=facts["n_docs"])
 
     @staticmethod
     def reset(spark: SparkSession, path: str | None = None) -> bool:
@@ -169,19 +188,50 @@ class TrigramIndex:
             docs = docs.where(_search.matches(F.col("name"), file_pattern))
         return docs if q.op == "all" else docs.join(self.query(q), "doc_id", "left_semi")
 
+    def _counts(self, grams: list[int]) -> dict[int, int]:
+        """How many documents hold each trigram; a pattern's trigrams are few, and what was asked before is remembered."""
+        if lost := [g for g in grams if g not in self.known_counts]:
+            if len(self.known_counts) > 1 << 16:
+                self.known_counts.clear()
+                lost = grams
+            found = dict(self.stats_table.where(_among("trigram", lost)).collect())
+            self.known_counts.update({g: found.get(g, 0) for g in lost})
+        return {g: self.known_counts[g] for g in grams}
+
+    def _looked_up(self, q: Query) -> list[int] | DataFrame | None:
+        """A stored index's candidates: a short list of ids, a DataFrame, or None where nearly all would have to be read."""
+        counts = self._counts([packed(g) for g in sorted(q.trigrams())])
+        if bound(q, counts, self.n_docs) * SCAN_SHARE >= self.n_docs > FEW:
+            return None
+        if sum(counts.values()) > LOOKUP_ROWS:
+            return self.query(q)
+        hits = self.postings.where(_among("trigram", sorted(counts))).toArrow()
+        trigram, ids = hits["trigram"].to_numpy(), hits["doc_id"].to_numpy()
+        return evaluated(q, lambda g: np.unique(ids[trigram == packed(g)])).tolist()
+
     def _rows(self, pattern: str, ignore_case: bool = False, file_pattern: str | None = None, brute: bool = False, unicode: bool = False) -> DataFrame:
-        """The contents of the candidates. Up to FEW candidates are looked up first and reach the scan as filters on bucket and
-        id; more are joined, by bucket and id, so that the scan can be pruned by what the other side holds."""
+        """The contents that must be searched: all, or those of the candidates. Up to FEW candidates reach the scan as filters on
+        bucket and id; more are joined, by bucket and id, so that the scan can be pruned by what the other side holds."""
         q = ALL if brute else compiled(parse(pattern, ignore_case, unicode), unicode)
-        if q.op == "all" and file_pattern is None:
-            return self.contents
-        found = self.query(q) if file_pattern is None else self.candidates(pattern, ignore_case, file_pattern, brute, unicode).select("doc_id")
-        few = [r[0] for r in found.limit(FEW + 1).collect()]
         rows = self.contents
-        if len(few) <= FEW:
+        if q.op == "none":
+            return rows.where(F.lit(False))
+        if q.op == "all" and file_pattern is None:
+            return rows
+        if file_pattern is None and self.stats_table is not None:
+            found = self._looked_up(q)
+            if found is None:
+                return rows
+        else:
+            found = self.candidates(pattern, ignore_case, file_pattern, brute, unicode).select("doc_id")
+            few = [r[0] for r in found.limit(FEW + 1).collect()]
+            found = few if len(few) <= FEW else found
+        if isinstance(found, list) and len(found) > FEW:
+            found = self.docs.sparkSession.createDataFrame(pa.table({"doc_id": pa.array(found, pa.int64())}))
+        if isinstance(found, list):
             if self.shift is not None:
-                rows = rows.where(F.col("bucket").isin(sorted({i >> self.shift for i in few})))
-            return rows.where(F.col("doc_id").isin(few))
+                rows = rows.where(_among("bucket", sorted({i >> self.shift for i in found})))
+            return rows.where(_among("doc_id", found))
         if self.shift is None:
             return rows.join(found, "doc_id", "left_semi")
         return rows.join(found.withColumn("bucket", F.shiftright("doc_id", self.shift).cast("int")), ["bucket", "doc_id"], "left_semi")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,20 @@ def formula(q: Query, leaf) -> Column:
     return reduce((lambda a, b: a & b) if q.op == "and" else (lambda a, b: a | b), parts)
 
 
+def bound(q: Query, counts: dict[int, int], n_docs: int) -> int:
+    """How many documents can fulfil q at most, by the number of documents that hold each trigram."""
+    if q.op in ("all", "none"):
+        return n_docs if q.op == "all" else 0
+    parts = [counts[packed(g)] for g in q.grams] + [bound(s, counts, n_docs) for s in q.subs]
+    return min(parts) if q.op == "and" else min(n_docs, sum(parts))
+
+
+def evaluated(q: Query, ids: Callable[[bytes], np.ndarray]) -> np.ndarray:
+    """The sorted ids that fulfil q, from each trigram's sorted ids."""
+    parts = [ids(g) for g in q.grams] + [evaluated(s, ids) for s in q.subs]
+    return reduce(np.intersect1d if q.op == "and" else np.union1d, sorted(parts, key=len))
+
+
 def by_sets(q: Query, docs: DataFrame, postings: DataFrame) -> DataFrame:
     """The same by set operations, node by node: the lowering that tests compare with."""
     if q.op in ("all", "none"):
