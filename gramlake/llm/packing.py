@@ -1,9 +1,9 @@
 """Packing (operator 3): lexical retrieval packing over a sharded BM25 inverted index.
 
-Document frequencies and the mean length are counted over all documents' pieces. Documents are routed to shards by their
-weightiest shared terms: ranged by the first three, copies side by side, and cut in this order into shards of bounded size, so
-copies and texts of one topic meet at any scale; a group of copies larger than a task's range is cut by id. A shard's index
-holds all its pieces.
+Document frequencies and the mean length are counted over all documents' pieces. Documents are routed to shards by a
+weighted min-hash of their terms: ranged by its first three terms, copies side by side, and cut in this order into shards of
+bounded size, so alike texts meet at any scale, the likelier the more they are alike; a group of copies larger than a task's
+range is cut by id. A shard's index holds all its pieces.
 A seed (the rest of the document cut last, else the longest one unused) asks the index for its neighbours with all its terms;
 those unused fill its window greedily in order of score, whole where they fit, and the best one left is cut to close the
 window. Full windows of longer documents are sequences of their own. What is left when a shard is used up is cut into
@@ -26,6 +26,8 @@ from .common import bounded_batches, table, written
 
 SHARD_TOKENS, SHARDS_A_TASK, VOCABULARY = 2_400_000, 4, 1 << 16
 K1, B = 1.2, 0.75
+#: A fixed exponential waiting time for each term.
+CLOCK = -np.log(np.random.default_rng(2).random(VOCABULARY))
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -53,11 +55,12 @@ class Statistics:
         return (self.idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lens / self.mean))).astype(np.float32)
 
     def route(self, piece: np.ndarray) -> tuple[int, int, int]:
-        """The three weightiest terms that another piece holds too; -1 for want of one."""
+        """Three of the terms that another piece holds too, a weighted min-hash: two pieces agree in the first about as likely as
+        their terms, weighted by frequency and rareness, are alike. -1 for want of one."""
         terms, tf = terms_of(piece)
         shared = self.df[terms] > 1
         terms, tf = terms[shared], tf[shared]
-        best = terms[np.argsort(-self.weights(terms, tf, len(piece)), kind="stable")[:3]].tolist()
+        best = terms[np.argsort(CLOCK[terms] / np.maximum(self.idf[terms] * tf, 1e-9), kind="stable")[:3]].tolist()
         return (*best, -1, -1, -1)[:3]
 
 
