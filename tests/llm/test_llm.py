@@ -116,7 +116,7 @@ def test_packing_routes_by_likeness():
     s = packing.Statistics.of([*base, *edited])
     same = [s.route(a)[0] == s.route(b)[0] for a, b in zip(base, edited, strict=True)]
     other = [s.route(a)[0] == s.route(b)[0] for a, b in zip(base, edited[1:], strict=False)]
-    assert np.mean(same) > 0.7 and np.mean(other) < 0.05
+    assert np.mean(same) > 0.7 and np.mean(other) < 0.15
 
 
 def test_packing_neighbours_equal_brute_force():
