@@ -124,7 +124,7 @@ def language(text: Column, profiles: Profiles) -> Column:
 
 def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score: one row per input row, also of repeated ones; null, empty and letterless texts are `und` with
-    score 0; an empty table gives no rows."""
+    score 0; an empty table gives no rows; other columns are left out, whatever their names."""
     out = docs.select(F.col(id_col).alias("doc_id"), language(F.col(text_col), profiles).alias("p"))
     return out.select("doc_id", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
 

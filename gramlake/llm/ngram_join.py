@@ -206,7 +206,8 @@ class NgramJoin:
         """(id, n_shingles, component_id): one row per input row.
 
         component_id is the smallest id reachable by links; equal sets are linked, empty sets with nothing. Null ids get a
-        null component. Rows that share an id are one node of the graph, with the sets of all of them."""
+        null component. Rows that share an id are one node of the graph, with the sets of all of them. Links within a class are
+        not listed; an empty table gives no rows; other columns are left out, whatever their names."""
         num, den = self.num, self.den
         rows, level = self.profile()
         sets = written(rows.where("n > 0 and id is not null").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.min("n").alias("n")), "nodes")

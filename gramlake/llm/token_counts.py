@@ -1,7 +1,8 @@
 """Token counts (operator 6): lengths only, computed in Arrow functions.
 
 Each Arrow batch is regrouped by UTF-8 bytes, long texts are split at safe boundaries and nothing but the counts leaves Python.
-Null text counts as empty: zero bytes, zero tokens. Rows are never dropped; other columns stay as they are.
+Null text counts as empty: zero bytes, zero tokens. Rows are never dropped, also not repeated ones; other columns are left out,
+whatever their names.
 """
 
 from __future__ import annotations

@@ -29,7 +29,7 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str, end_id: int = 0
     """Writes the token files: `parts` of them, else one for about every `part_bytes` of text.
 
     Null text is an empty document (its end id alone); null ids come first; rows that share an id keep one row each, next to
-    one another, and may be cut into several files; an empty table writes no rows."""
+    one another, and may be cut into several files; an empty table writes no rows; other columns are left out."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

@@ -251,7 +251,8 @@ def toxicity(text: Column, grammar: Grammar) -> Column:
 
 
 def score_documents(docs: DataFrame, grammar: Grammar, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """doc_id, score, predicted: one row per input row, also of repeated ones; null and empty texts score 0."""
+    """doc_id, score, predicted: one row per input row, also of repeated ones; null and empty texts score 0;
+    other columns are left out, whatever their names."""
     return docs.select(F.col(id_col).alias("doc_id"), toxicity(F.col(text_col), grammar).alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 

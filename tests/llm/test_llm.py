@@ -145,6 +145,30 @@ def test_language_id(spark, empty):
     assert language_id.fit_profiles(empty).predict("word") == ("und", 0.0)
 
 
+def test_language_id_equals_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = [(r.lang, r.text) for r in docs.collect() if r.text]
+    profiles = language_id.fit_profiles(docs, size=80)
+
+    def ranking(texts):
+        counts = {}
+        for t in texts:
+            for w in "".join(c if c.isalpha() else " " for c in t.lower()).split():
+                grams = [*w, *(f" {w} "[k : k + 2] for k in range(len(w) + 1)), *(f" {w} "[k : k + 3] for k in range(len(w)))]
+                for g in grams:
+                    counts[g] = counts.get(g, 0) + 1
+        key = lambda g: int("".join(f"{ord(c):05x}" for c in g), 16)  # noqa: E731  ties by code
+        return {g: k for k, g in enumerate(sorted(counts, key=lambda g: (-counts[g], key(g)))[:80])}
+
+    known = {lang: ranking([t for x, t in texts if x == lang]) for lang in {x for x, _ in texts if x}}
+    assert profiles.languages == sorted(known)
+    for _, text in texts[:60]:
+        mine = ranking([text])
+        apart = [sum(abs(r - known[lang][g]) if g in known[lang] else 80 for g, r in mine.items()) for lang in sorted(known)]
+        got = profiles.distances(text)
+        assert (got is None and not mine) or got[0].tolist() == apart
+
+
 def test_language_id_held_out(spark):
     d = "/root/testdata/sf0.01"
     got = language_id.op4_language_id(spark, d).where("held_out").join(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang"), "doc_id")
