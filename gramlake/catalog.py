@@ -213,6 +213,12 @@ def dictionary_entry(spark, d):
     return index(spark, d).list_at(0).withColumn("trigram", F.col("trigram").cast("long"))
 
 
+@query(f"""WITH {GRAMS_SQL}, {DELTAS_SQL} SELECT trigram, lpad(hex(trigram), 6, '0') || string_agg(CASE WHEN delta < 128 THEN printf('%02X', delta)
+WHEN delta < 16384 THEN printf('%02X%02X', (delta & 127) + 128, delta >> 7) ELSE printf('%02X%02X%02X', (delta & 127) + 128, ((delta >> 7) & 127) + 128, delta >> 14) END, '' ORDER BY pos) AS bytes FROM d GROUP BY trigram""")
+def encoded_lists(spark, d):
+    return index(spark, d).encoded_lists().select(F.col("trigram").cast("long").alias("trigram"), F.hex("bytes").alias("bytes"))
+
+
 VARINT_SQL = """SELECT doc_id, v, CASE WHEN v < 128 THEN printf('%02X', v)
 WHEN v < 16384 THEN printf('%02X%02X', (v & 127) + 128, v >> 7)
 WHEN v < 2097152 THEN printf('%02X%02X%02X', (v & 127) + 128, ((v >> 7) & 127) + 128, v >> 14)

@@ -21,7 +21,7 @@ from ..plans.regex import parse
 from ..plans.trigram_query import ALL, Query, compiled
 from . import merge as _merge
 from . import search as _search
-from .postings import doc_counts, list_offsets
+from .postings import doc_counts, encoded, list_offsets
 
 SCHEMAS = {
     "paths": "path string",
@@ -174,6 +174,10 @@ class TrigramIndex:
         """(trigram, doc_count, offset) of every list as encoded one after the other."""
         return list_offsets(self.postings, end)
 
+    def encoded_lists(self) -> DataFrame:
+        """(trigram, chunk, bytes): the encoded lists themselves."""
+        return encoded(self.postings)
+
     def list_at(self, offset: int) -> DataFrame:
         """The dictionary entry whose encoded list starts there; none between two starts."""
         return self.dictionary().where(F.col("offset") == offset)

@@ -83,6 +83,16 @@ def varint_value(hexa: Column) -> Column:
     return F.when(F.length(hexa) >= 2, F.aggregate(one, state, step, lambda s: F.when(s["done"] & ~s["lost"], s["v"])))
 
 
+def encoded(postings: DataFrame, chunk_bits: int = CHUNK_BITS) -> DataFrame:
+    """(trigram, chunk, bytes): each list as it is encoded, the trigram's three bytes, its deltas and the closing zero, cut into
+    chunks of 2^chunk_bits numbers; the chunks of a list one after the other are its bytes."""
+    d = deltas(postings).withColumn("chunk", F.shiftright("pos", chunk_bits))
+    one = F.sort_array(F.collect_list(F.struct("pos", varint_hex(F.col("delta")).alias("b"))))
+    rows = d.groupBy("trigram", "chunk").agg(F.array_join(F.transform(one, lambda x: x["b"]), "").alias("h"))
+    head = F.when(F.col("chunk") == 0, F.lpad(F.hex("trigram"), 6, "0")).otherwise("")
+    return rows.select("trigram", "chunk", F.unhex(F.concat(head, "h")).alias("bytes"))
+
+
 def list_sizes(postings: DataFrame) -> DataFrame:
     """(trigram, doc_count, n_bytes) of each encoded list: the trigram, its deltas and the closing zero."""
     d = deltas(postings)
