@@ -72,15 +72,19 @@ class TrigramIndex:
     @classmethod
     def build(cls, spark: SparkSession, files: DataFrame, roots: list[str] = (), limits: Limits = Limits(), id_col: str | None = None) -> TrigramIndex:
         """From (name, content) rows, content STRING or BINARY. Of repeated names the row with the least content hash is
-        indexed. Ids are dense in order of name, or id_col's. Texts under three bytes are indexed without trigrams; skipped
+        indexed. A row with an `error`, where there is such a column, is skipped for it. Ids are dense in order of name, or id_col's. Texts under three bytes are indexed without trigrams; skipped
         texts get no id. Contents are examined once, into a written table that all others derive from."""
         content = F.col("content")
         content = F.encode(content, "UTF-8") if dict(files.dtypes)["content"] == "string" else content
         extra = [id_col] if id_col else []
-        rows = files.select("name", *extra, F.coalesce(content, F.lit(b"")).alias("content"))
-        one = F.min_by(F.struct("content", *extra), F.struct(F.xxhash64("content"), *extra))
+        fault = F.col("error") if "error" in files.columns else F.lit(None).cast("string")
+        rows = files.select("name", *extra, F.coalesce(content, F.lit(b"")).alias("content"), fault.alias("error"))
+        one = F.min_by(F.struct("content", "error", *extra), F.struct(F.xxhash64("content"), *extra))
         rows = rows.groupBy("name").agg(one.alias("r")).select("name", "r.*")
-        rows = storage.written(rows.withColumn("e", examine(F.col("content"), limits)), "examined")
+        e = F.col("e")
+        reason = F.coalesce("error", e["reason"])
+        rows = rows.withColumn("e", examine(F.col("content"), limits)).withColumn("e", F.struct(F.when(reason.isNull(), e["grams"]).alias("grams"), reason.alias("reason")))
+        rows = storage.written(rows.drop("error"), "examined")
         good = rows.where("e.reason is null")
         if not id_col:
             from .postings import with_dense_ids

@@ -5,11 +5,16 @@ from __future__ import annotations
 import fnmatch
 import logging
 import os
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.trigrams import FILE_NAME, IO
+
 log = logging.getLogger(__name__)
+FILES = "name string, content binary, error string"
 
 
 def normalised(roots: list[str]) -> list[str]:
@@ -48,7 +53,8 @@ def excluded(name: Column, globs: list[str]) -> Column:
 
 
 def file_tree(spark: SparkSession, roots: list[str], excludes: list[str] = (), follow_links: bool = True, files_too: bool = False) -> DataFrame:
-    """(name, content BINARY) of all files below the roots. A path is read once; files that vanish meanwhile are left out.
+    """(name, content BINARY, error) of all files below the roots. A path is read once; files are listed by Spark and read where
+    its tasks run. A file that can't be read or whose name is no UTF-8 has no content but an error: the reason to skip it.
 
     Roots that are no directories are skipped with a warning, unless files_too."""
     roots = normalised(roots)
@@ -59,10 +65,21 @@ def file_tree(spark: SparkSession, roots: list[str], excludes: list[str] = (), f
             log.warning("%s is no directory: skipped", r)
     roots = [r for r in roots if files_too or os.path.isdir(r)]
     if not roots:
-        return spark.createDataFrame([], "name string, content binary")
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true")
-    rows = reader.load(roots).select(F.regexp_replace("path", "^file:/*", "/").alias("name"), "content")
-    return rows.where(~excluded(F.col("name"), [".csearchindex", *excludes])).dropDuplicates(["name"])
+        return spark.createDataFrame([], FILES)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name in b.column(0).to_pylist():  # one file at a time: contents may be large
+                content, error = None, None
+                try:
+                    with open(name, "rb") as f:
+                        content = f.read()
+                except OSError:
+                    error = FILE_NAME if "\ufffd" in name else IO
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([content], pa.binary()), pa.array([error], pa.string())], ["name", "content", "error"])
+
+    listed_ = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(roots).select(F.regexp_replace("path", "^file:/*", "/").alias("name"))
+    return listed_.where(~excluded(F.col("name"), [".csearchindex", *excludes])).distinct().mapInArrow(read, FILES)
 
 
 def table_rows(df: DataFrame, name: Column, text: str = "text") -> DataFrame:

@@ -123,7 +123,13 @@ def test_files_and_storage(spark, tmp_path):
     (tmp_path / "x" / "one.txt").write_text("hello trigram\n")
     (tmp_path / "x" / "skip" / "two.txt").write_text("hello trigram\n")
     (tmp_path / "x" / "bin").write_bytes(b"ab\0cd")
-    ix = TrigramIndex.build(spark, file_tree(spark, [str(tmp_path / "x")], ["skip"]), [str(tmp_path)])
+    (tmp_path / "x" / "gone").symlink_to(tmp_path / "nowhere")
+    files = file_tree(spark, [str(tmp_path / "x")], ["skip"])
+    assert sorted((r.name.rsplit("/", 1)[1], r.error) for r in files.collect()) in ([("bin", None), ("one.txt", None)], [("bin", None), ("gone", tg.IO), ("one.txt", None)])
+    broken = spark.createDataFrame([("/u", None, tg.IO), ("/v", bytearray(b"fine text"), None)], "name string, content binary, error string")
+    ix = TrigramIndex.build(spark, broken)
+    assert [tuple(r) for r in ix.skipped.collect()] == [("/u", tg.IO)] and [r.name for r in ix.docs.collect()] == ["/v"]
+    ix = TrigramIndex.build(spark, files.where("error is null"), [str(tmp_path)])
     ix.write(str(tmp_path / "index"))
     ix = TrigramIndex.open(spark, str(tmp_path / "index"))
     assert [r.line for r in ix.search("tri.ram").collect()] == ["hello trigram"]
