@@ -5,8 +5,8 @@ characters and white space. A piece of at most 16 bytes is its own key in a hash
 pieces that the table lacks are merged together, one merge of each a round, by the vocabulary's merge ranks. Words that hold
 anything else (other scripts, combining or control characters, contractions, beginnings of special strings) and longer
 pieces go through the library as they are, once for each different one. Words end where white space begins, which is where
-the pre-tokenizer always cuts, so a long text is taken in several parts. The table starts anew at `limit` pieces, so memory
-is bounded.
+the pre-tokenizer always cuts, so a long text is taken in several parts. The table starts anew at `limit` pieces or
+ODD_BYTES of the others, so memory is bounded.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ import pyarrow as pa
 
 BATCH_BYTES = 1 << 20
 KEY = 16
+#: Bytes of the parts that went through the library and are remembered, about.
+ODD_BYTES = 32 << 20
 SPACE, LETTER, DIGIT, OTHER, HARD = range(5)
 #: The byte alphabet of byte-level vocabularies: printable bytes stand for themselves, the others for the characters from 256 on.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -158,6 +160,7 @@ class PieceEncoder:
         self.at, self.n = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
         self.pool = np.zeros(1 << 18, self.kind)
         self.odd: dict[bytes, int] = {}
+        self.odd_bytes = 0
 
     @classmethod
     def get(cls, *key) -> PieceEncoder:
@@ -225,6 +228,7 @@ class PieceEncoder:
         if new := list({p for p in parts if p not in known}):
             got = [x.ids for x in self.tk.encode_batch_fast([p.decode("utf-8", "replace") for p in new], add_special_tokens=False)]
             ids = np.array([i for x in got for i in x], self.kind)
+            self.odd_bytes += sum(map(len, new))
             known.update(zip(new, self._add(ids, np.array([len(x) for x in got], np.int32)).tolist(), strict=True))
         return [known[p] for p in parts]
 
@@ -334,7 +338,7 @@ class PieceEncoder:
         if len(texts) and offsets[-1] > offsets[0]:
             data = np.frombuffer(texts.buffers()[2], np.uint8)
             for row, cuts in self._spans(data, offsets):
-                if self.size > self.limit or self.used > 8 * self.limit:
+                if self.size > self.limit or self.used > 8 * self.limit or self.odd_bytes > ODD_BYTES:
                     self._clear()
                 a = np.zeros(int(cuts[-1] - cuts[0]) + KEY, np.uint8)
                 a[:-KEY] = data[cuts[0] : cuts[-1]]

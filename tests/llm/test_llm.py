@@ -40,6 +40,24 @@ def test_piecewise_ids_are_the_librarys(path, spaces, width):
     assert [np.frombuffer(x, f"<u{width}").tolist() for x in PieceEncoder.get(path, spaces, width).ids(texts)] == want
 
 
+@pytest.mark.parametrize(("path", "spaces", "width"), [(BYTE, "kept", 4), (WORD, "dropped", 2)])
+def test_piecewise_ids_after_clearing_and_in_parts(path, spaces, width, monkeypatch):
+    """A small table that starts anew often, batches of some bytes and long texts cut into parts give the library's ids too."""
+    from gramlake.llm import bpe
+
+    monkeypatch.setattr(bpe, "BATCH_BYTES", 300)
+    monkeypatch.setattr(bpe, "ODD_BYTES", 200)
+    rng = np.random.default_rng(4)
+    alphabet = list("  \n.,'stredÉÀ×÷éß1\t\r\u0301<|Σšжя³½中\x1c\x00")
+    texts = ["".join(rng.choice(alphabet, n)) for n in rng.integers(0, 60, 800)] + ["ab cd " * 700 + "中" * 50, "x" * 5000, " ", "Don't we'LL 12345 <|endoftext|> É́ "]
+    want = [x.ids for x in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    enc = PieceEncoder(path, spaces, width, 50)
+    assert [np.frombuffer(x, f"<u{width}").tolist() for x in enc.ids(texts)] == want
+    flat, counts = enc.ended(pa.array(texts).slice(3, 5), 7)
+    assert flat.tolist() == [i for w in want[3:8] for i in [*w, 7]] and counts.tolist() == [len(w) + 1 for w in want[3:8]]
+    assert enc.encode(pa.array(texts, pa.string()), counts_only=True)[1].tolist() == [len(w) for w in want]
+
+
 def test_token_counts(docs, empty):
     tk = Tokenizer.from_file(BYTE)
     got = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts.count_tokens(docs, BYTE).collect()}
