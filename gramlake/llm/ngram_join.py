@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -202,17 +203,14 @@ class NgramJoin:
         got = pairs.join(arrays.withColumnsRenamed({"id": "b", "s": "sb"}), "b").join(arrays.withColumnsRenamed({"id": "a", "s": "sa"}), "a")
         return written(got.where(alike("sa", "sb")).select("a", "b"), "links")
 
-    def classes(self) -> DataFrame:
-        """(id, n_shingles, component_id): one row per input row.
-
-        component_id is the smallest id reachable by links; equal sets are linked, empty sets with nothing. Null ids get a
-        null component. Rows that share an id are one node of the graph, with the sets of all of them. Links within a class are
-        not listed; an empty table gives no rows; other columns are left out, whatever their names."""
+    @cached_property
+    def parts(self) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+        """Written once: all rows; the different sets; their bitmaps; their bands' rows (key, seg, id, n; a, na: the band's
+        smallest id)."""
         num, den = self.num, self.den
         rows, level = self.profile()
         sets = written(rows.where("n > 0 and id is not null").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.min("n").alias("n")), "nodes")
         made = written(self.prefixes(level).join(sets.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), "prefixes")
-        bits = made.select("id", "bits")
         post = made.select("id", "n", F.explode("keys").alias("key"))
         # Bands are cut from the different sizes of a key, each counted once, not from its rows: no key is sorted in one task.
         sizes = post.groupBy("key", "n").agg(F.count("*").alias("c"), F.min("id").alias("lo"))
@@ -222,12 +220,11 @@ class NgramJoin:
         first = F.min(F.struct("lo", "n")).over(band)
         bands = sizes.select("key", "n", "seg", F.sum("c").over(band).alias("rows"), first.alias("f")).where("rows > 1")
         hits = post.join(bands.select("key", "n", "seg", F.col("f.lo").alias("a"), F.col("f.n").alias("na")), ["key", "n"])
-        hits = written(hits.select("key", "seg", "id", "n", "a", "na"), "hits")
-        star = hits.where("id <> a").where(self.like_sized("n", "na")).select("a", "na", F.col("id").alias("b"), F.col("n").alias("nb")).distinct()
-        links = self.verified(written(self.bounded(star, bits), "pairs"))
-        label = written(components(links), "labels")
+        return rows, sets, made.select("id", "bits"), written(hits.select("key", "seg", "id", "n", "a", "na"), "hits")
 
-        seen = hits.select("key", "seg", "id", "n").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    def met(self, seen: DataFrame, bits: DataFrame) -> DataFrame:
+        """The written links among all pairs of a band (key, seg, id, n, component) whose components differ."""
+        num, den = self.num, self.den
         mixed = seen.groupBy("key", "seg").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("rows")).where("lo <> hi")
         spread = seen.join(mixed.select("key", "seg", "rows"), ["key", "seg"])
 
@@ -251,9 +248,32 @@ class NgramJoin:
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i[j], i[k])), pa.array(np.maximum(i[j], i[k]))], ["a", "b"])
 
         tiled = tiles(spread, ["key", "seg"]).join(bits, "id").select("key", "seg", "t1", "t2", "side", "id", "n", "component", "bits")
-        met = tiled.repartition("key", "seg", "t1", "t2").sortWithinPartitions("key", "seg", "t1", "t2").mapInArrow(meet, "a long, b long")
-        pairs = written(met.distinct(), "pairs")
-        more = self.verified(pairs)
+        pairs = tiled.repartition("key", "seg", "t1", "t2").sortWithinPartitions("key", "seg", "t1", "t2").mapInArrow(meet, "a long, b long")
+        return self.verified(written(pairs.distinct(), "pairs"))
+
+    def links(self) -> DataFrame:
+        """(a, b), a < b: every link between different sets, each told by the smallest id that has it; see members().
+
+        For joins that need the links themselves: a class of n sets that are all alike has n (n - 1) / 2 of them."""
+        _, _, bits, hits = self.parts
+        return self.met(hits.select("key", "seg", "id", "n", F.col("id").alias("component")), bits)
+
+    def members(self) -> DataFrame:
+        """(id, rep) of every row with shingles: the smallest id that has the same set, which links() tells it by."""
+        rows, sets, _, _ = self.parts
+        return rows.where("id is not null").join(sets.select("k1", "k2", "rep"), ["k1", "k2"]).select("id", "rep")
+
+    def classes(self) -> DataFrame:
+        """(id, n_shingles, component_id): one row per input row.
+
+        component_id is the smallest id reachable by links; equal sets are linked, empty sets with nothing. Null ids get a
+        null component. Rows that share an id are one node of the graph, with the sets of all of them. Links within a class are
+        not looked for (links() lists all); an empty table gives no rows; other columns are left out, whatever their names."""
+        rows, sets, bits, hits = self.parts
+        star = hits.where("id <> a").where(self.like_sized("n", "na")).select("a", "na", F.col("id").alias("b"), F.col("n").alias("nb")).distinct()
+        links = self.verified(written(self.bounded(star, bits), "pairs"))
+        label = written(components(links), "labels")
+        more = self.met(hits.select("key", "seg", "id", "n").join(label, "id", "left").withColumn("component", F.coalesce("component", "id")), bits)
         final = components(links.unionByName(more))
         nodes = sets.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
         alone = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))

@@ -310,8 +310,15 @@ def test_ngram_join_equals_brute_force(spark, width, num):
                 w[rng.integers(0, len(w))] = "changed"
             texts[len(texts)] = " ".join(w)
     rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    got = {r.id: (r.n_shingles, r.component_id) for r in ngram_join.NgramJoin(rows, width, num, 100).classes().collect()}
+    join = ngram_join.NgramJoin(rows, width, num, 100)
+    got = {r.id: (r.n_shingles, r.component_id) for r in join.classes().collect()}
     assert got == classes(texts, width, num, 100)
+    sets = {k: frozenset(ngram_join.shingles(t, width).tolist()) for k, t in texts.items()}
+    rep = {k: min(j for j in sets if sets[j] == sets[k]) for k in sets if sets[k]}
+    assert dict(join.members().collect()) == rep
+    ends = sorted(set(rep.values()))
+    want = {(a, b) for a in ends for b in ends if a < b and 100 * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b])}
+    assert {tuple(r) for r in join.links().collect()} == want and want
 
 
 def test_near_copies_keep_one(docs, empty):
