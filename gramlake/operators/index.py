@@ -70,17 +70,20 @@ class TrigramIndex:
     known_counts: dict[int, int] = field(default_factory=dict)
 
     @classmethod
-    def build(cls, spark: SparkSession, files: DataFrame, roots: list[str] = (), limits: Limits = Limits(), id_col: str | None = None) -> TrigramIndex:
+    def build(cls, spark: SparkSession, files: DataFrame, roots: list[str] = (), limits: Limits = Limits(), id_col: str | None = None, unique: bool = False) -> TrigramIndex:
         """From (name, content) rows, content STRING or BINARY. Of repeated names the row with the least content hash is
-        indexed. A row with an `error`, where there is such a column, is skipped for it. Ids are dense in order of name, or id_col's. Texts under three bytes are indexed without trigrams; skipped
-        texts get no id. Contents are examined once, into a written table that all others derive from."""
+        indexed; where names are known to be `unique`, nothing is shuffled before contents are examined. They are examined
+        once, into a written table that all others derive from. A row with an `error`, where there is such a column, is skipped
+        for it. Ids are dense in order of name, or id_col's. Texts under three bytes are indexed without trigrams; skipped texts
+        get no id."""
         content = F.col("content")
         content = F.encode(content, "UTF-8") if dict(files.dtypes)["content"] == "string" else content
         extra = [id_col] if id_col else []
         fault = F.col("error") if "error" in files.columns else F.lit(None).cast("string")
         rows = files.select("name", *extra, F.coalesce(content, F.lit(b"")).alias("content"), fault.alias("error"))
-        one = F.min_by(F.struct("content", "error", *extra), F.struct(F.xxhash64("content"), *extra))
-        rows = rows.groupBy("name").agg(one.alias("r")).select("name", "r.*")
+        if not unique:
+            one = F.min_by(F.struct("content", "error", *extra), F.struct(F.xxhash64("content"), *extra))
+            rows = rows.groupBy("name").agg(one.alias("r")).select("name", "r.*")
         e = F.col("e")
         reason = F.coalesce("error", e["reason"])
         rows = rows.withColumn("e", examine(F.col("content"), limits)).withColumn("e", F.struct(F.when(reason.isNull(), e["grams"]).alias("grams"), reason.alias("reason")))
@@ -122,7 +125,11 @@ class TrigramIndex:
         shift = max(0, (top // buckets).bit_length())
         parts = max(buckets, min(spark.sparkContext.defaultParallelism, -(-n // GROUP_BYTES)), 1)
         rows = self.contents.select("doc_id", "name", "content", F.shiftright("doc_id", shift).cast("int").alias("bucket"))
-        rows = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
+        if size["docs"] == top + 1:  # ids are dense: their ranges are known without looking
+            rows = rows.repartitionById(parts, F.expr(f"cast(doc_id * {parts} div {top + 1} as int)"))
+        else:
+            rows = rows.repartitionByRange(parts, "doc_id")
+        rows = rows.sortWithinPartitions("doc_id")
         rows.write.option("parquet.block.size", GROUP_BYTES).partitionBy("bucket").parquet(f"{out}/contents")
         spark.createDataFrame([(shift, size["docs"])], "shift int, n_docs long").coalesce(1).write.parquet(f"{out}/facts")
         storage.publish(spark, out)
