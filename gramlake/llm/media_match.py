@@ -49,7 +49,7 @@ def png(data: bytes) -> np.ndarray | None:
         return None
     w, h, _, colour, *_ = head
     c = {0: 1, 2: 3, 4: 2, 6: 4}[colour]
-    raw = np.frombuffer(zlib.decompress(b"".join(parts)), np.uint8)[: h * (w * c + 1)].reshape(h, w * c + 1)
+    raw = np.frombuffer(zlib.decompressobj().decompress(b"".join(parts), h * (w * c + 1)), np.uint8).reshape(h, w * c + 1)
     out, above = np.zeros((h, w * c), np.int64), np.zeros(w * c, np.int64)
     for y in range(h):
         kind, line = int(raw[y, 0]), raw[y, 1:].astype(np.int64)
@@ -88,7 +88,7 @@ def decode(data: bytes | None) -> np.ndarray | None:
             step = (w * 3 + 3) // 4 * 4
             raw = np.frombuffer(data, np.uint8, step * abs(h), offset).reshape(abs(h), step)[:, : w * 3].reshape(abs(h), w, 3)
             return None if depth != 24 else raw[:: -1 if h > 0 else 1].mean(axis=2)
-    except (ValueError, IndexError, struct.error, zlib.error, KeyError):
+    except (ValueError, IndexError, KeyError, OverflowError, MemoryError, struct.error, zlib.error):
         return None
     return None
 

@@ -540,17 +540,17 @@ def test_media_recall_against_all_pairs(spark):
     y, x = np.mgrid[:128, :128]
     pgm = lambda a: b"P5 %d %d 255\n" % a.shape[::-1] + np.clip(a, 0, 255).astype(np.uint8).tobytes()
     rows = []
-    for k in range(12):
+    for k in range(8):
         f = sum(rng.normal() * np.cos((np.cos(t) * x + np.sin(t) * y) * 2 * np.pi / n + p) for t, n, p in zip(rng.uniform(0, 3.1, 40), rng.uniform(6, 30, 40), rng.uniform(0, 6, 40), strict=True))
         a = np.clip(128 + 45 * f / f.std(), 0, 255)
         rows += [(100 * k + e, bytearray(pgm(edit(a)))) for e, edit in enumerate([lambda a: a, *EDITS.values()])]
     got = {r.id: r.component_id for r in media_match.match_media(spark.createDataFrame(rows, "id long, image binary"), "id", "image").collect()}
-    found = {name: np.mean([got[100 * k + e + 1] == got[100 * k] for k in range(12)]) for e, name in enumerate(EDITS)}
+    found = {name: np.mean([got[100 * k + e + 1] == got[100 * k] for k in range(8)]) for e, name in enumerate(EDITS)}
     assert min(found.values()) >= 0.9, found
-    assert len(set(got.values())) >= 12 and all(v // 100 == k // 100 for k, v in got.items())
+    assert len(set(got.values())) >= 8 and all(v // 100 == k // 100 for k, v in got.items())
     points = dict(zip([i for i, _ in rows], media_match.keypoints([media_match.decode(bytes(d)) for _, d in rows]), strict=True))
     ids = sorted(points)
-    pairs = [(a, b) for a in ids for b in ids if a < b and (a // 100 == b // 100 or (a + b) % 31 == 0)]
+    pairs = [(a, b) for a in ids for b in ids if a < b and (a // 100 == b // 100 or (a + b) % 61 == 0)]
     brute = [p for p in pairs if media_match.alike(points[p[0]][0], points[p[1]][0], *(np.ascontiguousarray(points[i][1]).view(np.uint64).reshape(-1, 4) for i in p))]
     assert np.mean([got[a] == got[b] for a, b in brute]) >= 0.9 and all(a // 100 == b // 100 for a, b in brute)
 
@@ -680,3 +680,26 @@ def test_token_files_odd_rows(spark, tmp_path, empty):
     token_files.write_token_files(rows, str(tmp_path / "o"), BYTE, parts=3)
     got = token_files.checksums(token_files.read_token_files(spark, str(tmp_path / "o"))).orderBy("start").collect()
     assert [r.doc_id for r in got] == [None, 1, 1, 1, 2] and [r.start for r in got] == [0, 2, 4, 6, 8] and got[-1].n_tokens == 1
+
+
+def test_odd_inputs_break_nothing():
+    rng = np.random.default_rng(0)
+    parts = ["<div", "<p>", "</p>", "</div>", " class='ad'", ">", "<article>", "</article>", "&amp;", "&bogus;", "<!--", "-->", "<![CDATA[", "]]>", "<script>", "\x00", "é", "text ", " id=comments", "<a href=x>", "</a>", "<", "=", "'", '"', "<td>", "hidden", "under the MIT License ", "2 0 gnu general public "]
+    index, grammar = license_scan.TemplateIndex(license_scan.known_licenses()), toxicity.Grammar({"text": 2.0}, {"gen": 3.0})
+    auto = decontaminate.automaton([("a", "text gnu general"), ("b", "İ é text")], 2)
+    for _ in range(400):
+        s = "".join(rng.choice(parts, rng.integers(0, 40)))
+        html_extract.main_text(s, None)
+        for name, _, _, start, end in index.scan(s):
+            assert name and 0 <= start < end <= len(s)
+        for start, end, weight in grammar.matches(s):
+            assert 0 <= start < end <= len(s) and weight > 0
+        words, ranges, _ = decontaminate.hits(s, auto)
+        assert decontaminate.told(s, len(words), ranges, True)[0] <= len(words)
+    for head in (b"", b"P5 ", b"P6 3 4 255\n", b"BM", b"\x89PNG\r\n\x1a\n", b"\x89PNG\r\n\x1a\n\0\0\0\rIHDR"):
+        for _ in range(60):
+            image = media_match.decode(head + rng.integers(0, 256, rng.integers(0, 80)).astype(np.uint8).tobytes())
+            assert image is None or image.ndim == 2
+    for h, w in rng.integers(1, 60, (40, 2)):
+        (places, bits), = media_match.keypoints([rng.integers(0, 255, (h, w)).astype(float)])
+        assert len(places) == len(bits)
