@@ -161,7 +161,7 @@ def test_ids_are_dense_at_any_size(spark, adaptive):
         ix = TrigramIndex.build(spark, files, ["/f"])
         m = ix.merge(TrigramIndex.build(spark, spark.createDataFrame([("/g/a", "newer text")], "name string, content string"), ["/g"]))
         for index, size in ((ix, n), (m, n + 1)):
-            for df in (index.docs, index.contents, index.postings.select("doc_id").distinct()):
+            for df in (index.docs, index.contents.select("doc_id", "name"), index.postings.select("doc_id").distinct()):
                 got = df.agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("d"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
                 assert tuple(got) == (size, size, 0, size - 1)
         wrong = ix.docs.join(ix.contents.select("name", F.col("doc_id").alias("other")), "name").where("doc_id <> other").count()
