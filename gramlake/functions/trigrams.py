@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The reasons a text is not indexed, in order of precedence at one byte.
@@ -98,16 +99,48 @@ def examined(data: bytes | None, limits: Limits) -> tuple[np.ndarray | None, str
     return (None, TOO_MANY) if len(grams) > limits.max_trigrams else (grams, None)
 
 
+def grams_array(found: list[np.ndarray | None]) -> pa.Array:
+    """A list array of each one's trigrams, built from the arrays as they are."""
+    ends = np.concatenate([[0], np.cumsum([0 if g is None else len(g) for g in found])]).astype(np.int32)
+    flat = np.concatenate([np.zeros(0, np.int32), *(g for g in found if g is not None)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat), mask=pa.array([g is None for g in found], pa.bool_()))
+
+
 def examine(content: Column, limits: Limits) -> Column:
     """struct<grams: array<int>, reason: string> of a BINARY column."""
 
     @F.arrow_udf("grams array<int>, reason string")
     def run(a: pa.Array) -> pa.Array:
         got = [examined(x, limits) for x in a.to_pylist()]
-        sizes = [0 if g is None else len(g) for g, _ in got]
-        ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-        flat = pa.array(np.concatenate([np.zeros(0, np.int32), *(g for g, _ in got if g is not None)]).astype(np.int32))
-        grams = pa.ListArray.from_arrays(pa.array(ends), flat, mask=pa.array([g is None for g, _ in got], pa.bool_()))
-        return pa.StructArray.from_arrays([grams, pa.array([r for _, r in got], pa.string())], ["grams", "reason"])
+        return pa.StructArray.from_arrays([grams_array([g for g, _ in got]), pa.array([r for _, r in got], pa.string())], ["grams", "reason"])
 
     return run(content)
+
+
+def numbered(rows: DataFrame, limits: Limits) -> DataFrame:
+    """rows (name, content, error, ...), whose tasks hold ranges of names in order, without `error` but with grams, reason, part and
+    local: the trigrams or the reason to skip, the task's number, and among its indexed rows the row's. Of equal names, which
+    stand next to one another, the first row is kept."""
+    kept = [c for c in rows.columns if c != "error"]
+    rest = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "error")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, at, last = TaskContext.get().partitionId(), 0, ()
+        for b in batches:
+            new = []
+            for name in b.column("name").to_pylist():
+                new.append((name,) != last)
+                last = (name,)
+            b = b.filter(pa.array(new, pa.bool_()))
+            faults, contents = b.column("error").to_pylist(), b.column("content").to_pylist()
+            got = [(None, fault) if fault is not None else examined(content, limits) for fault, content in zip(faults, contents, strict=True)]
+            local = []
+            for g, _ in got:
+                local.append(None if g is None else at)
+                at += g is not None
+            more = [grams_array([g for g, _ in got]), pa.array([r for _, r in got], pa.string()), pa.array([part] * len(got), pa.int32()), pa.array(local, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *more], [*kept, "grams", "reason", "part", "local"])
+
+    return rows.mapInArrow(run, f"{rest}, grams array<int>, reason string, part int, local long")

@@ -11,11 +11,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import storage
-from ..functions.trigrams import Limits, examine, packed
+from ..functions.trigrams import Limits, numbered, packed
 from ..plans.lower import bound, candidates, evaluated
 from ..plans.regex import parse
 from ..plans.trigram_query import ALL, Query, compiled
@@ -68,42 +68,39 @@ class TrigramIndex:
     stats_table: DataFrame | None = None
     n_docs: int = 0
     known_counts: dict[int, int] = field(default_factory=dict)
+    #: Whether contents lie in order of id already, so that no shuffle is needed to write them.
+    in_order: bool = False
 
     @classmethod
-    def build(cls, spark: SparkSession, files: DataFrame, roots: list[str] = (), limits: Limits = Limits(), id_col: str | None = None, unique: bool = False) -> TrigramIndex:
+    def build(cls, spark: SparkSession, files: DataFrame, roots: list[str] = (), limits: Limits = Limits(), id_col: str | None = None) -> TrigramIndex:
         """From (name, content) rows, content STRING or BINARY. Of repeated names the row with the least content hash is
-        indexed; where names are known to be `unique`, nothing is shuffled before contents are examined. They are examined
-        once, into a written table that all others derive from. A row with an `error`, where there is such a column, is skipped
-        for it. Ids are dense in order of name, or id_col's. Texts under three bytes are indexed without trigrams; skipped texts
-        get no id."""
+        indexed. A row with an `error`, where there is such a column, is skipped for it. Ids are dense in order of name, or
+        id_col's. Texts under three bytes are indexed without trigrams; skipped texts get no id.
+
+        Contents are shuffled once, ranged by name; there, in order, repeated names go, texts are examined and numbered, and
+        the result is written once: all tables derive from it, so ids agree however often they are computed."""
         content = F.col("content")
         content = F.encode(content, "UTF-8") if dict(files.dtypes)["content"] == "string" else content
-        extra = [id_col] if id_col else []
         fault = F.col("error") if "error" in files.columns else F.lit(None).cast("string")
-        rows = files.select("name", *extra, F.coalesce(content, F.lit(b"")).alias("content"), fault.alias("error"))
-        if not unique:
-            one = F.min_by(F.struct("content", "error", *extra), F.struct(F.xxhash64("content"), *extra))
-            rows = rows.groupBy("name").agg(one.alias("r")).select("name", "r.*")
-        e = F.col("e")
-        reason = F.coalesce("error", e["reason"])
-        rows = rows.withColumn("e", examine(F.col("content"), limits)).withColumn("e", F.struct(F.when(reason.isNull(), e["grams"]).alias("grams"), reason.alias("reason")))
-        rows = storage.written(rows.drop("error"), "examined")
-        good = rows.where("e.reason is null")
-        if not id_col:
-            from .postings import with_dense_ids
-
-            ids = with_dense_ids(good.select("name"), "name")
-            good = good.join(ids, "name")
-        elif id_col != "doc_id":
-            good = good.withColumnRenamed(id_col, "doc_id")
-        good = good.withColumn("doc_id", F.col("doc_id").cast("long"))
-        docs = good.select("doc_id", "name", F.octet_length("content").cast("long").alias("n_bytes"), F.size("e.grams").alias("n_trigrams"))
+        own = [F.col(id_col).cast("long").alias("own")] if id_col else []
+        rows = files.select("name", *own, F.coalesce(content, F.lit(b"")).alias("content"), fault.alias("error"))
+        ranged = rows.withColumn("h", F.xxhash64("content")).repartitionByRange("name").sortWithinPartitions("name", "h").drop("h")
+        rows = storage.written(numbered(ranged, limits), "examined")
+        good = rows.where("reason is null")
+        if id_col:
+            good = good.withColumnRenamed("own", "doc_id")
+        else:
+            sizes = good.groupBy("part").agg(F.count("*").alias("_c"))  # one row a task
+            before = sizes.select("part", F.coalesce(F.sum("_c").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+            good = good.join(F.broadcast(before), "part").withColumn("doc_id", F.col("_before") + F.col("local"))
+        docs = good.select("doc_id", "name", F.octet_length("content").cast("long").alias("n_bytes"), F.size("grams").alias("n_trigrams"))
         return cls(
             spark.createDataFrame([(r,) for r in sorted(set(roots))], SCHEMAS["paths"]),
             docs,
-            good.select(F.explode("e.grams").alias("trigram"), "doc_id"),
+            good.select(F.explode("grams").alias("trigram"), "doc_id"),
             good.select("doc_id", "name", "content"),
-            rows.where("e.reason is not null").select("name", F.col("e.reason").alias("reason")),
+            rows.where("reason is not null").select("name", "reason"),
+            in_order=not id_col,
         )
 
     def write(self, path: str, keep: int = 2) -> None:
@@ -125,11 +122,13 @@ class TrigramIndex:
         shift = max(0, (top // buckets).bit_length())
         parts = max(buckets, min(spark.sparkContext.defaultParallelism, -(-n // GROUP_BYTES)), 1)
         rows = self.contents.select("doc_id", "name", "content", F.shiftright("doc_id", shift).cast("int").alias("bucket"))
-        if size["docs"] == top + 1:  # ids are dense: their ranges are known without looking
+        if self.in_order:
+            pass
+        elif size["docs"] == top + 1:  # ids are dense: their ranges are known without looking
             rows = rows.repartitionById(parts, F.expr(f"cast(doc_id * {parts} div {top + 1} as int)"))
         else:
             rows = rows.repartitionByRange(parts, "doc_id")
-        rows = rows.sortWithinPartitions("doc_id")
+        rows = rows.sortWithinPartitions("bucket", "doc_id")
         rows.write.option("parquet.block.size", GROUP_BYTES).partitionBy("bucket").parquet(f"{out}/contents")
         spark.createDataFrame([(shift, size["docs"])], "shift int, n_docs long").coalesce(1).write.parquet(f"{out}/facts")
         storage.publish(spark, out)
