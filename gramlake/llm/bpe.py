@@ -130,9 +130,10 @@ class PieceEncoder:
     """
 
     _made: dict[tuple, PieceEncoder] = {}
-    SLOTS = 1 << 22
+    SLOT_BITS = 21
+    SLOTS = 1 << SLOT_BITS
 
-    def __init__(self, path: str, spaces: str, width: int, limit: int = 1_500_000):
+    def __init__(self, path: str, spaces: str, width: int, limit: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -190,7 +191,7 @@ class PieceEncoder:
 
     def _find(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(entry or -1, the slot where the search ended) of each key."""
-        slot = (mixed(lo, hi) >> np.uint64(42)).astype(np.int64)
+        slot = (mixed(lo, hi) >> np.uint64(64 - self.SLOT_BITS)).astype(np.int64)
         out = self.table[slot]
         todo = np.flatnonzero((out >= 0) & ((self.lo[out] != lo) | (self.hi[out] != hi)))
         while len(todo):
