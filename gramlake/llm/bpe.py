@@ -130,9 +130,6 @@ class PieceEncoder:
     """
 
     _made: dict[tuple, PieceEncoder] = {}
-    SLOT_BITS = 21
-    SLOTS = 1 << SLOT_BITS
-
     def __init__(self, path: str, spaces: str, width: int, limit: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -143,6 +140,7 @@ class PieceEncoder:
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         self.kind, self.limit, self.kept = np.dtype("<u2" if width == 2 else "<u4"), limit, spaces == "kept"
+        self.slot_bits = max(16, (2 * limit).bit_length())
         assert width == 4 or self.tk.get_vocab_size() <= 1 << 16
         vocab = model["vocab"]
         self.merges = Merges(vocab, model["merges"])
@@ -155,7 +153,7 @@ class PieceEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.table = np.full(self.SLOTS, -1, np.int32)
+        self.table = np.full(1 << self.slot_bits, -1, np.int32)
         self.size, self.used = 0, 0
         self.lo, self.hi = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.uint64)
         self.at, self.n = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
@@ -191,11 +189,11 @@ class PieceEncoder:
 
     def _find(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(entry or -1, the slot where the search ended) of each key."""
-        slot = (mixed(lo, hi) >> np.uint64(64 - self.SLOT_BITS)).astype(np.int64)
+        slot = (mixed(lo, hi) >> np.uint64(64 - self.slot_bits)).astype(np.int64)
         out = self.table[slot]
         todo = np.flatnonzero((out >= 0) & ((self.lo[out] != lo) | (self.hi[out] != hi)))
         while len(todo):
-            slot[todo] = (slot[todo] + 1) & (self.SLOTS - 1)
+            slot[todo] = (slot[todo] + 1) & (len(self.table) - 1)
             out[todo] = got = self.table[slot[todo]]
             todo = todo[(got >= 0) & ((self.lo[got] != lo[todo]) | (self.hi[got] != hi[todo]))]
         return out, slot
@@ -221,7 +219,7 @@ class PieceEncoder:
                 free = self.table[slot] < 0
                 self.table[slot[free][::-1]] = own[free][::-1]
                 stay = self.table[slot] != own
-                slot, own = (slot[stay] + 1) & (self.SLOTS - 1), own[stay]
+                slot, own = (slot[stay] + 1) & (len(self.table) - 1), own[stay]
 
     def _odd_entries(self, parts: list[bytes]) -> list[int]:
         """The entries of parts that the library encodes."""

@@ -195,7 +195,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, s
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # The documents' ids, then how many of this task's pieces hold each term; -1 counts the pieces, -2 their tokens, -3 all tokens.
-        enc = PieceEncoder.get(tokenizer, "dropped", 2)
+        enc = PieceEncoder.get(tokenizer, "dropped", 2, 1_500_000)
         df, n, tokens, total = np.zeros(VOCABULARY, np.int64), 0, 0, 0
         for b in batches:
             for k in range(0, b.num_rows, 1000):

@@ -21,7 +21,7 @@ def token_count(text: Column, path: str, spaces: str = "kept") -> Column:
 
     @F.arrow_udf("long")
     def counts(a: pa.Array) -> pa.Array:
-        enc = PieceEncoder.get(path, spaces, 4)
+        enc = PieceEncoder.get(path, spaces, 4, 1_500_000)
         return pa.array(enc.encode(a, counts_only=True)[1])
 
     return counts(text)
