@@ -140,7 +140,6 @@ class PieceEncoder:
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         self.kind, self.limit, self.kept = np.dtype("<u2" if width == 2 else "<u4"), limit, spaces == "kept"
-        self.slot_bits = max(16, (2 * limit).bit_length())
         assert width == 4 or self.tk.get_vocab_size() <= 1 << 16
         vocab = model["vocab"]
         self.merges = Merges(vocab, model["merges"])
@@ -153,6 +152,7 @@ class PieceEncoder:
         self._clear()
 
     def _clear(self) -> None:
+        self.slot_bits = max(16, (2 * self.limit).bit_length())
         self.table = np.full(1 << self.slot_bits, -1, np.int32)
         self.size, self.used = 0, 0
         self.lo, self.hi = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.uint64)
@@ -213,13 +213,20 @@ class PieceEncoder:
             if not self.kept:
                 every = np.arange(len(lens))
                 symbols[lens - 1, every] = self.last[raw[every, lens - 1]]
-            own = self._add(*self.merges.apply(symbols, lens), a, b)
-            _, slot = self._find(a, b)
-            while len(own):
-                free = self.table[slot] < 0
-                self.table[slot[free][::-1]] = own[free][::-1]
-                stay = self.table[slot] != own
-                slot, own = (slot[stay] + 1) & (len(self.table) - 1), own[stay]
+            self._insert(self._add(*self.merges.apply(symbols, lens), a, b))
+
+    def _insert(self, own: np.ndarray) -> None:
+        """Gives entries, whose keys the table lacks, their slots; a table that is half full is made anew, twice as large."""
+        if 2 * self.size > len(self.table):
+            self.slot_bits = (4 * self.size).bit_length()
+            self.table = np.full(1 << self.slot_bits, -1, np.int32)
+            own = np.flatnonzero(self.lo[: self.size] | self.hi[: self.size])
+        slot = (mixed(self.lo[own], self.hi[own]) >> np.uint64(64 - self.slot_bits)).astype(np.int64)
+        while len(own):
+            free = self.table[slot] < 0
+            self.table[slot[free][::-1]] = own[free][::-1]
+            stay = self.table[slot] != own
+            slot, own = (slot[stay] + 1) & (len(self.table) - 1), own[stay]
 
     def _odd_entries(self, parts: list[bytes]) -> list[int]:
         """The entries of parts that the library encodes."""

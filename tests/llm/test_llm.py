@@ -58,6 +58,13 @@ def test_piecewise_ids_after_clearing_and_in_parts(path, spaces, width, monkeypa
     assert enc.encode(pa.array(texts, pa.string()), counts_only=True)[1].tolist() == [len(w) for w in want]
 
 
+def test_piecewise_table_grows():
+    texts = [",".join(map(str, range(k, k + 30_000))) for k in (0, 20_000, 60_000)]  # one text's pieces pass the table's size
+    enc = PieceEncoder(BYTE, "kept", 4, 50)
+    want = [x.ids for x in Tokenizer.from_file(BYTE).encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in enc.ids(texts)] == want and len(enc.table) > 1 << 16
+
+
 def test_token_counts(docs, empty):
     tk = Tokenizer.from_file(BYTE)
     got = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts.count_tokens(docs, BYTE).collect()}
