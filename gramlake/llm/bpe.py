@@ -168,6 +168,11 @@ class PieceEncoder:
             cls._made[key] = cls(*key)
         return cls._made[key]
 
+    @classmethod
+    def forget(cls) -> None:
+        """Drops this worker's encoders."""
+        cls._made.clear()
+
     # The table
 
     def _add(self, ids: np.ndarray, n: np.ndarray, lo: np.ndarray | None = None, hi: np.ndarray | None = None) -> np.ndarray:

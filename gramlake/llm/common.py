@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import time
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +35,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_given_back = 0.0
+
+
+def give_back(every: float = 1.0) -> None:
+    """Returns to the system what this worker's allocators hold and don't use; at most once in `every` seconds."""
+    global _given_back
+    if time.monotonic() - _given_back < every:
+        return
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc
+        trim(0)
+    _given_back = time.monotonic()
+
+
+def lean(rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """rows, for mapInArrow: Spark keeps Python workers for later stages, so each gives back unused memory when its task ends."""
+
+    def lean_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from rows(batches)
+        finally:
+            give_back(0.0)
+
+    return lean_rows
+
+
 def id_crc(column: str = "doc_id"):
     """crc32 of the id written as text."""
     return F.crc32(F.col(column).cast("string").cast("binary"))

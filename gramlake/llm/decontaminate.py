@@ -19,7 +19,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import give_back, lean, table, written
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -145,8 +145,8 @@ def find_benchmark(docs: DataFrame, items: DataFrame, width: int = 10, id_col: s
         return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in RESULT.split(", ")])
 
     for known in parts[:-1]:
-        rows = written(rows.mapInArrow(scanned(known, False), BETWEEN), "scanned")
-    return rows.mapInArrow(scanned(parts[-1], True), RESULT)
+        rows = written(rows.mapInArrow(lean(scanned(known, False)), BETWEEN), "scanned")
+    return rows.mapInArrow(lean(scanned(parts[-1], True)), RESULT)
 
 
 def remove_benchmark(docs: DataFrame, items: DataFrame, width: int = 10, text_col: str = "text", bound: int = AUTOMATON_BYTES) -> DataFrame:
@@ -159,6 +159,7 @@ def remove_benchmark(docs: DataFrame, items: DataFrame, width: int = 10, text_co
         def none_hit(a: pa.Array) -> pa.Array:
             if not made:
                 made.append(automaton(known.value, width))
+            give_back()
             return pa.array([not hits(t, made[0])[1] for t in a.to_pylist()], pa.bool_())
 
         return none_hit(F.col(text_col))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, hash_sample, id_crc, table
+from .common import bounded_batches, give_back, hash_sample, id_crc, lean, table
 
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 UNKNOWN = "und"
@@ -102,7 +102,7 @@ def fit_profiles(docs: DataFrame, rows: int = FIT_ROWS, size: int = PROFILE, id_
                 keys, n = np.unique(np.concatenate(parts), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys), pa.array(n.astype(np.int64))], ["lang", "key", "n"])
 
-    counts = sample.mapInArrow(count, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    counts = sample.mapInArrow(lean(count), "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
     leaders = counts.groupBy("lang").agg(F.slice(F.sort_array(F.collect_list(F.struct(F.col("n").alias("n"), (-F.col("key")).alias("k"))), asc=False), 1, size).alias("top")).collect()
     tops = {r["lang"]: np.array([-x["k"] for x in r["top"]], np.int64) for r in sorted(leaders, key=lambda r: r["lang"])}
     keys = np.unique(np.concatenate(list(tops.values()))) if tops else np.zeros(0, np.int64)
@@ -117,6 +117,7 @@ def language(text: Column, profiles: Profiles) -> Column:
 
     @F.pandas_udf("lang string, score double")
     def predict(texts: pd.Series) -> pd.DataFrame:
+        give_back()
         return pd.DataFrame([profiles.predict(t if isinstance(t, str) else None) for t in texts], columns=["lang", "score"])
 
     return predict(text)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, bounded_broadcast, table, written
+from .common import bounded_batches, bounded_broadcast, give_back, lean, table, written
 from .linking import components, tiles, tiles_in_turn
 
 SKETCH_BITS = 20
@@ -121,7 +121,7 @@ class NgramJoin:
                     total += np.frombuffer(x, "<u4")
             yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.minimum(255, 6 * np.log2(1 + total)).astype(np.uint8).tobytes()], pa.binary())], ["chunk", "level"])
 
-        made = written(self.docs.mapInArrow(rows, "id long, n long, k1 long, k2 long, chunk int, counts binary"), "sets")
+        made = written(self.docs.mapInArrow(lean(rows), "id long, n long, k1 long, k2 long, chunk int, counts binary"), "sets")
         level = np.zeros(1 << SKETCH_BITS, np.uint8)  # of a fixed size at any scale
         for r in made.where("chunk is not null").select("chunk", "counts").groupBy("chunk").applyInArrow(add, "chunk int, level binary").collect():
             level[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["level"], np.uint8)
@@ -151,7 +151,7 @@ class NgramJoin:
                 flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), flat)], ["id", "n", "bits", "keys"])
 
-        return self.docs.mapInArrow(rows, "id long, n long, bits binary, keys array<long>")
+        return self.docs.mapInArrow(lean(rows), "id long, n long, bits binary, keys array<long>")
 
     # Steps 3 and 4
 
@@ -184,7 +184,7 @@ class NgramJoin:
             for b in batches:
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, width).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["id", "s"])
 
-        arrays = self.docs.join(bounded_broadcast(ids, ids.count(), BROADCAST_IDS), "id", "left_semi").mapInArrow(rows, "id long, s binary")
+        arrays = self.docs.join(bounded_broadcast(ids, ids.count(), BROADCAST_IDS), "id", "left_semi").mapInArrow(lean(rows), "id long, s binary")
 
         @F.arrow_udf("boolean")
         def alike(x: pa.Array, y: pa.Array) -> pa.Array:
@@ -198,6 +198,7 @@ class NgramJoin:
                 k[k == len(at)] = 0
                 n = int((at[k] == other).sum()) if len(at) else 0
                 out.append(den * n >= num * (len(at) + len(other) - n))
+            give_back()
             return pa.array(out, pa.bool_())
 
         got = pairs.join(arrays.withColumnsRenamed({"id": "b", "s": "sb"}), "b").join(arrays.withColumnsRenamed({"id": "a", "s": "sa"}), "a")
@@ -248,7 +249,7 @@ class NgramJoin:
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i[j], i[k])), pa.array(np.maximum(i[j], i[k]))], ["a", "b"])
 
         tiled = tiles(spread, ["key", "seg"]).join(bits, "id").select("key", "seg", "t1", "t2", "side", "id", "n", "component", "bits")
-        pairs = tiled.repartition("key", "seg", "t1", "t2").sortWithinPartitions("key", "seg", "t1", "t2").mapInArrow(meet, "a long, b long")
+        pairs = tiled.repartition("key", "seg", "t1", "t2").sortWithinPartitions("key", "seg", "t1", "t2").mapInArrow(lean(meet), "a long, b long")
         return self.verified(written(pairs.distinct(), "pairs"))
 
     def links(self) -> DataFrame:

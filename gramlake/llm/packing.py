@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import PieceEncoder
-from .common import bounded_batches, table, written
+from .common import bounded_batches, lean, table, written
 
 SHARD_TOKENS, SHARDS_A_TASK, VOCABULARY = 2_400_000, 4, 1 << 16
 K1, B = 1.2, 0.75
@@ -183,11 +183,12 @@ def pack_shard(lengths: list[int], tokens: list[np.ndarray], window: int, statis
     return out
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, shard_tokens: int = SHARD_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, shard_tokens: int = SHARD_TOKENS, id_col: str = "doc_id", text_col: str = "text", forget: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, within sequences of `window`.
 
     A seed's query holds all its terms. Null text is an empty document (its end id alone). Repeated rows are packed each; an
     empty table gives no rows; other columns are left out, whatever their names. Sequence ids are unique: the task in the upper bits.
+    forget: workers that route drop their encoder (60 MB after 84 MB of text): all ids are written by then.
     """
 
     def piece(tokens: np.ndarray) -> np.ndarray:
@@ -216,6 +217,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, s
         yield pa.RecordBatch.from_arrays([pa.nulls(len(term), pa.int64()), pa.nulls(len(term), pa.binary()), pa.array(term), pa.array(count)], ["doc_id", "ids", "term", "n"])
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if forget:
+            PieceEncoder.forget()
         for b in batches:
             for k in range(0, b.num_rows, 1000):
                 c = b.slice(k, 1000)
@@ -252,7 +255,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, s
 
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    encoded = written(rows.mapInArrow(encode, "doc_id long, ids binary, term long, n long"), "ids")
+    encoded = written(rows.mapInArrow(lean(encode), "doc_id long, ids binary, term long, n long"), "ids")
     # At most one row a term of the vocabulary reaches the driver.
     counts = {r["term"]: r["n"] for r in encoded.where("term is not null").groupBy("term").agg(F.sum("n").alias("n")).collect()}
     df = np.zeros(VOCABULARY, np.int64)
@@ -261,10 +264,10 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, s
             df[term] = n
     statistics = Statistics(df, counts.get(-1, 0), counts.get(-2, 0))
     parts = -(-counts.get(-3, 0) // (SHARDS_A_TASK * shard_tokens)) or 1
-    routed = encoded.where("term is null").select("doc_id", "ids").mapInArrow(route, "doc_id long, ids binary, t1 int, t2 int, t3 int")
+    routed = encoded.where("term is null").select("doc_id", "ids").mapInArrow(lean(route), "doc_id long, ids binary, t1 int, t2 int, t3 int")
     order = ["t1", "t2", "t3", "h", "doc_id"]
     ranged = routed.withColumn("h", F.xxhash64("ids")).repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    return ranged.select("doc_id", "ids").mapInArrow(fill, PIECES)
+    return ranged.select("doc_id", "ids").mapInArrow(lean(fill), PIECES)
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, hash_sample, id_crc, table, written
+from .common import bounded_broadcast, give_back, hash_sample, id_crc, lean, table, written
 
 WORD = re.compile(r"[^\W\d_]+")
 CLAUSE = re.compile(r"[^.!?;:\n]+")
@@ -205,7 +205,7 @@ def fit_grammar(labelled: DataFrame, certainty: float = 14.0, purity: float = 0.
             texts = b.column(0).to_pylist()
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([copy_key(t) for t in texts], pa.int64())], ["text", "toxic", "key"])
 
-    one = labelled.where("toxic is not null and text is not null").select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(keyed, "text string, toxic int, key long")
+    one = labelled.where("toxic is not null and text is not null").select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(lean(keyed), "text string, toxic int, key long")
     sample = written(one.groupBy("key", "toxic").agg(F.min("text").alias("text")), "labelled")
     totals = {int(r["toxic"]): r["count"] for r in sample.groupBy("toxic").count().collect()}
     n, m = totals.get(1, 0), totals.get(0, 0)
@@ -231,7 +231,7 @@ def fit_grammar(labelled: DataFrame, certainty: float = 14.0, purity: float = 0.
         found = counts.where(t > 0).select("f", "t", weight.alias("w"), sure.alias("sure"), rate.alias("rate"))
         return found.where((F.col("rate") >= purity) & (F.col("sure") >= certainty))
 
-    words = written(sample.select("text", "toxic").mapInArrow(count, "f string, toxic long, other long").groupBy("f").agg(F.sum("toxic").alias("t"), F.sum("other").alias("o")), "words")
+    words = written(sample.select("text", "toxic").mapInArrow(lean(count), "f string, toxic long, other long").groupBy("f").agg(F.sum("toxic").alias("t"), F.sum("other").alias("o")), "words")
     # A beginning has to stand without its commonest word: else that word alone says it.
     begun = words.select(F.explode(F.array_distinct(F.transform(F.array(*map(F.lit, STEMS)), lambda n: F.col("f").substr(F.lit(1), n)))).alias("b"), "f", "t", "o").where(F.length("b") >= min(STEMS)).groupBy("b").agg((F.sum("t") - F.max("t")).alias("t"), F.sum("o").alias("o"))
     stems: dict[str, float] = {}
@@ -245,6 +245,7 @@ def fit_grammar(labelled: DataFrame, certainty: float = 14.0, purity: float = 0.
 def toxicity(text: Column, grammar: Grammar) -> Column:
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
+        give_back()
         return pd.Series([grammar.score(t if isinstance(t, str) else None) for t in texts], dtype="float64")
 
     return score(text)

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -710,3 +713,46 @@ def test_odd_inputs_break_nothing():
     for h, w in rng.integers(1, 60, (40, 2)):
         (places, bits), = media_match.keypoints([rng.integers(0, 255, (h, w)).astype(float)])
         assert len(places) == len(bits)
+
+
+LEAN = """
+import re
+import numpy as np
+from gramlake.llm.common import lean
+
+def held():
+    with open("/proc/self/smaps_rollup") as f:
+        return sum(map(int, re.findall(r"Pss_Anon: +([0-9]+)", f.read()))) / 1024
+
+pins = []
+
+def rows(batches):
+    large = []
+    for _ in range(6000):  # 120 MB, with something small left between
+        large.append(np.ones(20_000, np.uint8))
+        pins.append(np.ones(2000, np.uint8))
+    yield from batches
+
+before = held()
+assert list(lean(rows)(iter([1, 2]))) == [1, 2]
+print(held() - before)
+"""
+
+
+def test_a_task_gives_back_what_it_held():
+    got = subprocess.run([sys.executable, "-c", LEAN], capture_output=True, text=True, timeout=120, check=True, cwd=Path(__file__).parents[2])
+    assert float(got.stdout) < 60
+
+
+def test_pipeline_workers_stay_lean(spark, monkeypatch):
+    import corpus_pipeline
+
+    seen, kind = [], type(spark.range(0))
+    inner = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, f, *a, **b: seen.append(f) or inner(self, f, *a, **b))
+    corpus_pipeline.run(spark, SF)
+    assert len(seen) > 8
+    assert {f.__name__ for f in seen} == {"lean_rows"}
+    PieceEncoder.get(WORD, "dropped", 2)
+    list(seen[-2](iter([])))  # the route of packing
+    assert not PieceEncoder._made
