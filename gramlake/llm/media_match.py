@@ -252,6 +252,11 @@ def alike(p: np.ndarray, q: np.ndarray, u: np.ndarray, v: np.ndarray) -> bool:
     return len(i) >= MATCHES and consensus(p[i], q[j]) >= needed(q[j])
 
 
+def differing(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The number of differing bits of 64-bit integers (numpy counts those of the absolute value, where types have a sign)."""
+    return np.bitwise_count((u ^ v).view(np.uint64))
+
+
 def match_media(media: DataFrame, id_col: str, bytes_col: str) -> DataFrame:
     """(id, n_keypoints, component_id), one row per image: component_id is the smallest id that copies lead to.
 
@@ -322,7 +327,7 @@ def match_media(media: DataFrame, id_col: str, bytes_col: str) -> DataFrame:
             k, step = np.arange(len(i)), 1
             while len(k := k[k + step < ends[k]]):
                 x = k[(c[k] != c[k + step]) & ((t1[k] == t2[k]) | (side[k] != side[k + step]))]
-                x = x[np.bitwise_count(u[x] ^ u[x + step]) + np.bitwise_count(v[x] ^ v[x + step]) <= NEAR_128]
+                x = x[differing(u[x], u[x + step]) + differing(v[x], v[x + step]) <= NEAR_128]
                 step, y = step + 1, x + step
                 if len(x):
                     lo, hi = np.where(i[x] < i[y], x, y), np.where(i[x] < i[y], y, x)

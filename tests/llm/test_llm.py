@@ -565,6 +565,12 @@ def test_media_recall_against_all_pairs(spark):
     assert np.mean([got[a] == got[b] for a, b in brute]) >= 0.9 and all(a // 100 == b // 100 for a, b in brute)
 
 
+def test_differing_bits_with_signs():
+    u = np.array([0, -1, 5, -(2**63), 2**63 - 1], np.int64)
+    v = np.array([-(2**63) | 1, 0, 5, 3, -(2**63)], np.int64)
+    assert media_match.differing(u, v).tolist() == [2, 64, 0, 3, 64]
+
+
 def test_media_repeats_and_empty_tables(spark):
     blank = b"P5 32 32 255\n" + bytes(1024)
     rows = spark.createDataFrame([(1, bytearray(blank), "x"), (1, bytearray(b"other"), "x"), (2, bytearray(blank), "y"), (None, bytearray(blank), "z")], "id long, data binary, component_id string")
