@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, table, written
+from .common import bounded_broadcast, dropped, table, written
 from .linking import components, tiles, whole_runs
 
 STEP, CELL, POINTS, RADIUS, BITS, TABLES, KEY_BYTES = 2 ** (1 / 3), 48, 24, 7, 256, 5, 6
@@ -264,21 +264,24 @@ def match_media(media: DataFrame, id_col: str, bytes_col: str) -> DataFrame:
     with nothing (a null id gets a null component). Of rows that share an id the first file by its hash stands for it; an
     empty table gives no rows; other columns are left out."""
     rows = media.select(F.col(id_col).cast("long").alias("id"), F.col(bytes_col).alias("data"))
-    keyed = rows.select("id", F.when(F.octet_length("data") > 0, F.sha2("data", 256)).alias("sha"), "data")
+    keyed = rows.select("id", F.when(F.octet_length("data") > 0, F.sha2("data", 256)).alias("sha"), F.monotonically_increasing_id().alias("row"), "data")
 
     def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(0, b.num_rows, 50):
                 c = b.slice(k, 50)
-                got = keypoints([decode(data) for data in c.column(2).to_pylist()])
+                got = keypoints([decode(data) for data in c.column(3).to_pylist()])
                 n, xs, bits = [len(p) for p, _ in got], [packed(p).tobytes() for p, _ in got], [d.tobytes() for _, d in got]
-                yield pa.RecordBatch.from_arrays([c.column(0), c.column(1), pa.array(n, pa.int64()), pa.array(xs, pa.binary()), pa.array(bits, pa.binary())], ["id", "sha", "n_keypoints", "places", "bits"])
+                yield pa.RecordBatch.from_arrays([*c.columns[:3], pa.array(n, pa.int64()), pa.array(xs, pa.binary()), pa.array(bits, pa.binary())], ["id", "sha", "row", "n_keypoints", "places", "bits"])
 
-    found = written(keyed.mapInArrow(points, "id long, sha string, n_keypoints long, places binary, bits binary"), "keypoints")
+    found = written(keyed.mapInArrow(points, "id long, sha string, row long, n_keypoints long, places binary, bits binary"), "keypoints")
     files = found.where("sha is not null and id is not null").groupBy("sha").agg(F.min("id").alias("rep"))
-    first = found.where("n_keypoints > 0 and id is not null").select("id", "sha").groupBy("id").agg(F.min("sha").alias("sha"))
-    chosen = first.join(files, "sha").where("id = rep").select("id", "sha")
-    reps = found.join(chosen, ["id", "sha"], "left_semi").select("id", "places", "bits").dropDuplicates(["id"])
+    first = found.where("n_keypoints > 0 and id is not null").groupBy("id").agg(F.min(F.struct("sha", "row")).alias("f")).select("id", "f.sha", "f.row")
+    chosen = written(first.join(files, "sha").where("id = rep").select("row"), "chosen")
+    # Key points are most of all bytes: rows are chosen by number, so that these stay where they lie.
+    n = chosen.count()
+    reps = found.join(bounded_broadcast(chosen, n, BROADCAST_ROWS), "row", "left_semi").select("id", "places", "bits")
+    reps = reps if n <= BROADCAST_ROWS else written(reps, "images")
 
     def keyed_points(b: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
         for k in range(0, b.num_rows, 200):
@@ -308,11 +311,24 @@ def match_media(media: DataFrame, id_col: str, bytes_col: str) -> DataFrame:
     keys = written(counts.where("lo <> hi").select("key"), "keys")
     post = reps.mapInArrow(spread, "key long, id long, place long, c1 long, c2 long")
     held = written(post.join(bounded_broadcast(keys, keys.count(), BROADCAST_ROWS), "key", "left_semi"), "hits")
-    row = F.struct("id", "place", "c1", "c2")
-    heads = held.groupBy("key").agg(F.min(row).alias("f"))
-    apart = F.bit_count(F.col("c1").bitwiseXOR(F.col("f.c1"))) + F.bit_count(F.col("c2").bitwiseXOR(F.col("f.c2")))
-    star = held.join(heads, "key").where((F.col("id") != F.col("f.id")) & (apart <= NEAR_128))
-    links = linked(star.select(F.col("f.id").alias("a"), F.col("id").alias("b"), F.col("f.place").alias("p"), F.col("place").alias("q")), reps)
+    dropped(keys)
+
+    def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Rows are sorted by key and then by all else: each meets the first of its key, which later batches get handed on.
+        head = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows = [b.column(x).to_numpy() for x in ("key", "id", "place", "c1", "c2")]
+            rows = [np.append(f, x) for f, x in zip(head, rows, strict=True)] if head else rows
+            key, i, place, u, v = rows
+            f = np.maximum.accumulate(np.where(np.append(True, key[1:] != key[:-1]), np.arange(len(key)), 0))
+            near = np.flatnonzero((i != i[f]) & (differing(u, u[f]) + differing(v, v[f]) <= NEAR_128))
+            yield pa.RecordBatch.from_arrays([pa.array(z) for z in (i[f[near]], i[near], place[f[near]], place[near])], ["a", "b", "p", "q"])
+            head = [x[f[-1]] for x in rows]
+
+    dealt = held.repartition("key").sortWithinPartitions("key", "id", "place", "c1", "c2")
+    links = linked(dealt.mapInArrow(star, "a long, b long, p long, q long"), reps)
     label = written(components(links), "labels")
 
     label = bounded_broadcast(label, label.count(), BROADCAST_ROWS)
@@ -335,6 +351,8 @@ def match_media(media: DataFrame, id_col: str, bytes_col: str) -> DataFrame:
 
     tiled = tiles(seen, ["key"]).select("key", "t1", "t2", "side", "id", "component", "place", "c1", "c2")
     more = linked(tiled.repartition("key", "t1", "t2").sortWithinPartitions("key", "t1", "t2").mapInArrow(meet, "a long, b long, p long, q long"), reps)
+    for done in (held, mixed):
+        dropped(done)
     final = components(links.unionByName(more))
     nodes = files.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("sha", F.coalesce("component", "rep").alias("component"))
     own = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
@@ -371,6 +389,8 @@ def linked(matches: DataFrame, images: DataFrame) -> DataFrame:
 
     voted = written(matches.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(vote, "a long, b long, sure boolean"), "votes")
     both = voted.where("not sure").select("a", "b")
+    asked = written(both.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "asked")
+    images = images.join(bounded_broadcast(asked, asked.count(), BROADCAST_ROWS), "id", "left_semi")
     for side in ("a", "b"):
         both = both.join(images.select(F.col("id").alias(side), F.col("places").alias(f"p{side}"), F.col("bits").alias(f"u{side}")), side)
     return written(voted.where("sure").select("a", "b").unionByName(both.mapInArrow(decide, "a long, b long")), "links")

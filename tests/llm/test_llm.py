@@ -571,6 +571,24 @@ def test_differing_bits_with_signs():
     assert media_match.differing(u, v).tolist() == [2, 64, 0, 3, 64]
 
 
+def test_media_points_stay_where_they_lie(spark):
+    rng = np.random.default_rng(11)
+    y, x = np.mgrid[:128, :128]
+    pgm = lambda a: b"P5 %d %d 255\n" % a.shape[::-1] + np.clip(a, 0, 255).astype(np.uint8).tobytes()
+    images = {}
+    for k in range(60):
+        f = sum(rng.normal() * np.cos((np.cos(t) * x + np.sin(t) * y) * 2 * np.pi / n + p) for t, n, p in zip(rng.uniform(0, 3.1, 30), rng.uniform(5, 16, 30), rng.uniform(0, 6, 30), strict=True))
+        images[k] = np.clip(128 + 45 * f / f.std(), 0, 255)
+    images |= {100 + k: images[k] * 0.8 + 20 for k in range(4)} | {200 + k: images[k][9:, 7:] for k in range(4)}
+    data = [(k, bytearray(pgm(a))) for k, a in images.items()]
+    size = sum(40 * len(p) for p, _ in media_match.keypoints([media_match.decode(bytes(d)) for _, d in data]))
+    moved = lambda: spark._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    before = moved()
+    got = {r.id: r.component_id for r in media_match.match_media(spark.createDataFrame(data, "id long, image binary"), "id", "image").collect()}
+    assert got == {k: k % 100 for k in images}
+    assert moved() - before < 3 * size, (moved() - before, size)
+
+
 def test_media_repeats_and_empty_tables(spark):
     blank = b"P5 32 32 255\n" + bytes(1024)
     rows = spark.createDataFrame([(1, bytearray(blank), "x"), (1, bytearray(b"other"), "x"), (2, bytearray(blank), "y"), (None, bytearray(blank), "z")], "id long, data binary, component_id string")
