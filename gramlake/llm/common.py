@@ -14,10 +14,10 @@ from .. import storage
 from ..storage import dropped, shared_path  # noqa: F401
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, file_rows: int = 0) -> DataFrame:
     """df as a written table in the shared folder: cuts the lineage and survives lost executors."""
     bounded_batches(df.sparkSession)
-    return storage.written(df, name)
+    return storage.written(df, name, file_rows)
 
 
 #: Rows that an Arrow batch holds at most: with long texts the default of 10,000 takes hundreds of MB a worker.

@@ -23,13 +23,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, dropped, table, written
+from .common import bounded_broadcast, dropped, lean, table, written
 from .linking import components, tiles, whole_runs
 
 STEP, CELL, POINTS, RADIUS, BITS, TABLES, KEY_BYTES = 2 ** (1 / 3), 48, 24, 7, 256, 5, 6
 MATCHES, WEAK, TOLERANCE, NEAR, NEAR_128 = 6, 2, 2.5, 40, 8
 #: Bucket keys and labels that are broadcast at most; beyond, they are joined by shuffle.
 BROADCAST_ROWS = 2_000_000
+#: Images in a file of key points: a task that counts their keys holds a hash map of all its keys.
+FILE_ROWS = 4000
 #: Pixels of images of one shape that are treated at a time (a larger image alone).
 STACK_PIXELS = 1 << 16
 _rng = np.random.default_rng(20)
@@ -274,7 +276,7 @@ def match_media(media: DataFrame, id_col: str, bytes_col: str) -> DataFrame:
                 n, xs, bits = [len(p) for p, _ in got], [packed(p).tobytes() for p, _ in got], [d.tobytes() for _, d in got]
                 yield pa.RecordBatch.from_arrays([*c.columns[:3], pa.array(n, pa.int64()), pa.array(xs, pa.binary()), pa.array(bits, pa.binary())], ["id", "sha", "row", "n_keypoints", "places", "bits"])
 
-    found = written(keyed.mapInArrow(points, "id long, sha string, row long, n_keypoints long, places binary, bits binary"), "keypoints")
+    found = written(keyed.mapInArrow(lean(points), "id long, sha string, row long, n_keypoints long, places binary, bits binary"), "keypoints", FILE_ROWS)
     files = found.where("sha is not null and id is not null").groupBy("sha").agg(F.min("id").alias("rep"))
     first = found.where("n_keypoints > 0 and id is not null").groupBy("id").agg(F.min(F.struct("sha", "row")).alias("f")).select("id", "f.sha", "f.row")
     chosen = written(first.join(files, "sha").where("id = rep").select("row"), "chosen")
@@ -307,9 +309,9 @@ def match_media(media: DataFrame, id_col: str, bytes_col: str) -> DataFrame:
                 owner = np.repeat(c.column(0).to_numpy(), [len(x) // 8 for x in places])
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(owner), pa.array(np.frombuffer(b"".join(places), np.int64)), *map(pa.array, checks)], ["key", "id", "place", "c1", "c2"])
 
-    counts = reps.mapInArrow(keys_only, "key long, id long").groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+    counts = reps.mapInArrow(lean(keys_only), "key long, id long").groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
     keys = written(counts.where("lo <> hi").select("key"), "keys")
-    post = reps.mapInArrow(spread, "key long, id long, place long, c1 long, c2 long")
+    post = reps.mapInArrow(lean(spread), "key long, id long, place long, c1 long, c2 long")
     held = written(post.join(bounded_broadcast(keys, keys.count(), BROADCAST_ROWS), "key", "left_semi"), "hits")
     dropped(keys)
 
@@ -328,7 +330,7 @@ def match_media(media: DataFrame, id_col: str, bytes_col: str) -> DataFrame:
             head = [x[f[-1]] for x in rows]
 
     dealt = held.repartition("key").sortWithinPartitions("key", "id", "place", "c1", "c2")
-    links = linked(dealt.mapInArrow(star, "a long, b long, p long, q long"), reps)
+    links = linked(dealt.mapInArrow(lean(star), "a long, b long, p long, q long"), reps)
     label = written(components(links), "labels")
 
     label = bounded_broadcast(label, label.count(), BROADCAST_ROWS)
@@ -350,7 +352,7 @@ def match_media(media: DataFrame, id_col: str, bytes_col: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(z) for z in (i[lo], i[hi], place[lo], place[hi])], ["a", "b", "p", "q"])
 
     tiled = tiles(seen, ["key"]).select("key", "t1", "t2", "side", "id", "component", "place", "c1", "c2")
-    more = linked(tiled.repartition("key", "t1", "t2").sortWithinPartitions("key", "t1", "t2").mapInArrow(meet, "a long, b long, p long, q long"), reps)
+    more = linked(tiled.repartition("key", "t1", "t2").sortWithinPartitions("key", "t1", "t2").mapInArrow(lean(meet), "a long, b long, p long, q long"), reps)
     for done in (held, mixed):
         dropped(done)
     final = components(links.unionByName(more))
@@ -387,13 +389,13 @@ def linked(matches: DataFrame, images: DataFrame) -> DataFrame:
                 kept.append(alike(p, q, u, v))
             yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(kept, pa.bool_())), b.column("b").filter(pa.array(kept, pa.bool_()))], ["a", "b"])
 
-    voted = written(matches.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(vote, "a long, b long, sure boolean"), "votes")
+    voted = written(matches.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(lean(vote), "a long, b long, sure boolean"), "votes")
     both = voted.where("not sure").select("a", "b")
     asked = written(both.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "asked")
     images = images.join(bounded_broadcast(asked, asked.count(), BROADCAST_ROWS), "id", "left_semi")
     for side in ("a", "b"):
         both = both.join(images.select(F.col("id").alias(side), F.col("places").alias(f"p{side}"), F.col("bits").alias(f"u{side}")), side)
-    return written(voted.where("sure").select("a", "b").unionByName(both.mapInArrow(decide, "a long, b long")), "links")
+    return written(voted.where("sure").select("a", "b").unionByName(both.mapInArrow(lean(decide), "a long, b long")), "links")
 
 
 def drawn(vector: Column, side: int = 64) -> Column:

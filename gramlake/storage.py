@@ -50,10 +50,10 @@ def clean() -> None:
             return
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a written table: cuts the lineage, is computed once and survives lost executors."""
+def written(df: DataFrame, name: str, file_rows: int = 0) -> DataFrame:
+    """df as a written table: cuts the lineage, is computed once and survives lost executors. file_rows: a file's rows at most, 0: any."""
     path = shared_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("maxRecordsPerFile", file_rows).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written = path
     return out

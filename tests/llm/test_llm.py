@@ -16,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from gramlake.llm import decontaminate, html_extract, language_id, license_scan, linking, media_match, ngram_join, packing, registry, token_counts, token_files, toxicity
+from gramlake.llm import common, decontaminate, html_extract, language_id, license_scan, linking, media_match, ngram_join, packing, registry, token_counts, token_files, toxicity
 from gramlake.llm.bpe import PieceEncoder
 
 SF = "/root/testdata/sf0.001"
@@ -589,6 +589,12 @@ def test_media_points_stay_where_they_lie(spark):
     assert moved() - before < 3 * size, (moved() - before, size)
 
 
+def test_written_files_are_small(spark):
+    out = common.written(spark.range(0, 100, 1, 2), "few", 20)
+    assert sorted(r.id for r in out.collect()) == list(range(100))
+    assert max(r["count"] for r in out.groupBy(F.input_file_name()).count().collect()) <= 20
+
+
 def test_media_repeats_and_empty_tables(spark):
     blank = b"P5 32 32 255\n" + bytes(1024)
     rows = spark.createDataFrame([(1, bytearray(blank), "x"), (1, bytearray(b"other"), "x"), (2, bytearray(blank), "y"), (None, bytearray(blank), "z")], "id long, data binary, component_id string")
