@@ -118,7 +118,7 @@ def skip_line_too_long(spark, d):
 
 @query(f"WITH {GRAMS_SQL} SELECT doc_id FROM p GROUP BY doc_id HAVING COUNT(*) > 700")
 def skip_too_many_trigrams(spark, d):
-    return files(spark, d).where(F.size(F.array_distinct(tg.trigram_array(F.col("content")))) > 700).select("doc_id")
+    return tg.trigram_counts(files(spark, d)).groupBy("doc_id").count().where("count > 700").select("doc_id")
 
 
 @query(f"""WITH {GRAMS_SQL}, {LONG_LINES_SQL}, m AS (SELECT doc_id FROM p GROUP BY doc_id HAVING COUNT(*) > 900)

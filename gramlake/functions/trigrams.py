@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 TOO_LONG, BINARY, INVALID_UTF8, LINE_TOO_LONG, TOO_MANY = "FileTooLong", "BinaryDataPresent", "HighInvalidUtf8Ratio", "LineTooLong", "TooManyTrigrams"
 # The reasons that a source gives, for names that are no UTF-8 and for files that can't be read.
 FILE_NAME, IO = "FileNameError", "IoError"
+#: Bytes of texts that a worker looks at together, about.
+PIECE_BYTES = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -36,6 +39,86 @@ def trigram_array(text: Column) -> Column:
     return F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.conv(F.substring(h, 2 * i + 1, F.lit(6)), 16, 10).cast("int"))).otherwise(F.array().cast("array<int>"))
 
 
+def slices(b: pa.RecordBatch, column: str, size: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about `size` bytes of a BINARY column, or of one row: what a task makes of a batch is held for a part
+    of it only, however many rows Spark puts into one and however long they are."""
+    ends, start = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+    while start < b.num_rows:
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + size, "right")))
+        yield b.slice(start, stop - start)
+        start = stop
+
+
+def counted(texts: pa.Array, numbers: np.ndarray, size: int = PIECE_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(keys, counts) for each piece of `size` bytes of all texts together: keys, in order, are a text's number << 24 | trigram."""
+    texts = pc.fill_null(texts.cast(pa.binary()), b"")
+    _, ends, data = texts.buffers()
+    ends = np.frombuffer(ends, np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    if ends[-1] == ends[0]:
+        return
+    b, ends = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]], ends[1:] - ends[0]
+    for at in range(0, max(0, len(b) - 2), size):
+        wide = b[at : at + size + 2].astype(np.int64)
+        place = np.arange(at, at + len(wide) - 2)
+        text = np.searchsorted(ends, place, "right")
+        keys = (numbers[text] << 24) | (wide[:-2] << 16) | (wide[1:-1] << 8) | wide[2:]
+        yield np.unique(keys[place + 2 < ends[text]], return_counts=True)
+
+
+def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The sum of some (keys in order, counts)."""
+    if len(parts) == 1:
+        return parts[0]
+    keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    n = np.zeros(len(keys), np.int64)
+    np.add.at(n, at, np.concatenate([c for _, c in parts]))
+    return keys, n
+
+
+def trigram_counts(files: DataFrame) -> DataFrame:
+    """(doc_id, trigram, n): how often each trigram, packed as b0 << 16 | b1 << 8 | b2, stands in the UTF-8 bytes of an id's STRING
+    contents. Texts, not trigrams, are shuffled, so that rows of one id meet; they are counted one piece after the other, so time
+    follows the bytes and memory a piece and one id's distinct trigrams."""
+    texts = files.select("doc_id", F.encode("content", "UTF-8").alias("content")).repartition("doc_id").sortWithinPartitions("doc_id")
+    kind = texts.schema["doc_id"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ident, parts = None, []  # of the id whose texts may go on
+
+        def rows(ids: pa.Array, keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for k in range(0, len(keys), PIECE_BYTES):
+                own = keys[k : k + PIECE_BYTES]
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(own >> 24)), pa.array(own & 0xFFFFFF), pa.array(n[k : k + PIECE_BYTES])], ["doc_id", "trigram", "n"])
+
+        for b in batches:
+            for s in slices(b, "content"):
+                ids = s.column("doc_id").to_pylist()
+                first = np.array([k > 0 and v != ids[k - 1] for k, v in enumerate(ids)]).cumsum()
+                own = s.column("doc_id").take(pa.array(np.searchsorted(first, np.arange(first[-1] + 1))))
+                if parts and ids[0] != ident[0].as_py():
+                    yield from rows(ident, *added(parts))
+                    parts = []
+                ident, at = own.slice(0, 1), 0
+                for keys, n in counted(s.column("content"), first):
+                    bounds = np.searchsorted(keys, [(at + 1) << 24, keys[-1] >> 24 << 24 if len(keys) else 0])
+                    cut, top = bounds[0], max(bounds)
+                    parts.append((keys[:cut] & 0xFFFFFF, n[:cut]))
+                    if cut < len(keys):
+                        yield from rows(ident, *added(parts))
+                        yield from rows(own, keys[cut:top], n[cut:top])
+                        at = int(keys[-1] >> 24)
+                        ident, parts = own.slice(at, 1), [(keys[top:] & 0xFFFFFF, n[top:])]
+                    elif sum(len(k) for k, _ in parts[1:]) > max(PIECE_BYTES, len(parts[0][0])):
+                        parts = [added(parts)]
+                if parts and at < first[-1]:  # texts without trigrams follow
+                    yield from rows(ident, *added(parts))
+                    parts = []
+        if parts:
+            yield from rows(ident, *added(parts))
+
+    return texts.mapInArrow(run, f"doc_id {kind.simpleString()}, trigram long, n long")
+
+
 def packed(gram: bytes) -> int:
     return int.from_bytes(gram, "big")
 

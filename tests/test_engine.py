@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import time
+
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,6 +75,37 @@ def test_trigrams_in_order():
     assert tg.examined(b"hello", tg.Limits())[0].tolist() == sorted(tg.packed(g) for g in (b"hel", b"ell", b"llo"))
 
 
+def test_trigram_counts(spark):
+    rows = [(1, "hello"), (1, "hello hé"), (2, None), (3, "ab"), (None, "xyz"), (4, "aaaaa" * 9), (5, ""), (6, "ab\0c"), (7, "x" * 70 + "yz"), (None, "xyzxyz"), (7, "")]
+    want = {}
+    for ident, text in rows:
+        b = (text or "").encode()
+        for k in range(len(b) - 2):
+            key = ident, tg.packed(b[k : k + 3])
+            want[key] = want.get(key, 0) + 1
+    files = spark.createDataFrame(rows, "doc_id long, content string")
+    small = [pa.array([(t or "").encode() for _, t in rows], pa.binary()).slice(k) for k in range(3)]
+    for size in (1, 7, 1 << 20):  # pieces that cut texts anywhere
+        for texts in small:
+            got = {}
+            for keys, n in tg.counted(texts, np.arange(len(texts)), size):
+                for key, c in zip(keys.tolist(), n.tolist(), strict=True):
+                    got[key] = got.get(key, 0) + c
+            assert sum(got.values()) == sum(max(0, len(t) - 2) for t in texts.to_pylist())
+    for n in (1, 3):
+        got = [tuple(r) for r in tg.trigram_counts(files.repartition(n)).collect()]
+        assert len(got) == len(want) and {(i, t): c for i, t, c in got} == want
+
+
+def test_long_texts_take_time_by_their_bytes(spark, tmp_path):
+    text = " ".join(str(k * 7919 % 1000003) for k in range(60_000))
+    spark.createDataFrame([(5, text, "src1")], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    start = time.monotonic()
+    assert sum(r.n for r in catalog.QUERIES["trigrams_explode"](spark, str(tmp_path)).collect()) == len(text) - 2
+    assert ids(catalog.QUERIES["skip_too_many_trigrams"](spark, str(tmp_path))) == [5]
+    assert time.monotonic() - start < 30  # by the square of the length it took minutes
+
+
 A = [("/a/x", "hello world"), ("/a/y", "goodbye world"), ("/b/xx", "now is the time"), ("/b/xy", "for all good men"), ("/c/ab", "give me all the potatoes"), ("/c/de", "or give me death now")]
 B = [("/b/www", "world wide indeed"), ("/b/xx", "no, not now"), ("/b/yy", "first potatoes, now liberty?"), ("/cc", "come to the aid of his potatoes")]
 
