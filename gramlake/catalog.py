@@ -133,7 +133,7 @@ def skip_report(spark, d):
 
 @query(f"WITH {GRAMS_SQL} SELECT doc_id, trigram, COUNT(*) AS n FROM g GROUP BY ALL")
 def trigrams_explode(spark, d):
-    return files(spark, d).select("doc_id", F.explode(tg.trigram_array(F.col("content"))).alias("t")).groupBy("doc_id", F.col("t").cast("long").alias("trigram")).agg(F.count("*").alias("n"))
+    return tg.trigram_counts(files(spark, d))
 
 
 @query(f"WITH {GRAMS_SQL} SELECT doc_id, trigram FROM p")

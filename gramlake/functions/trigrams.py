@@ -32,13 +32,6 @@ class Limits:
 NO_LIMITS = Limits(1 << 62, 1 << 30, 1 << 30, 1.0)
 
 
-def trigram_array(text: Column) -> Column:
-    """All trigrams of a STRING in order, packed as b0 << 16 | b1 << 8 | b2, from its UTF-8 bytes."""
-    h = F.hex(F.encode(text, "UTF-8"))
-    n = F.octet_length(text)
-    return F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.conv(F.substring(h, 2 * i + 1, F.lit(6)), 16, 10).cast("int"))).otherwise(F.array().cast("array<int>"))
-
-
 def slices(b: pa.RecordBatch, column: str, size: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """A batch in parts of about `size` bytes of a BINARY column, or of one row: what a task makes of a batch is held for a part
     of it only, however many rows Spark puts into one and however long they are."""
