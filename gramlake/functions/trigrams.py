@@ -204,7 +204,7 @@ def numbered(rows: DataFrame, limits: Limits) -> DataFrame:
         from pyspark import TaskContext
 
         part, at, last = TaskContext.get().partitionId(), 0, ()
-        for b in batches:
+        for b in (s for batch in batches for s in slices(batch, "content")):
             new = []
             for name in b.column("name").to_pylist():
                 new.append((name,) != last)

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import time
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 from gramlake import catalog, commands
 from gramlake.functions import trigrams as tg
@@ -106,6 +108,29 @@ def test_long_texts_take_time_by_their_bytes(spark, tmp_path):
     assert time.monotonic() - start < 30  # by the square of the length it took minutes
 
 
+def test_batches_are_examined_in_parts(monkeypatch):
+    """A task's memory beside its batch doesn't grow with the batch: what it gives back comes in small parts, with all rows."""
+    import pyspark
+
+    class Rows:
+        schema = StructType([StructField("name", StringType()), StructField("content", BinaryType()), StructField("error", StringType())])
+        columns = schema.names
+        mapInArrow = staticmethod(lambda run, _: run)  # noqa: N815
+
+    monkeypatch.setattr(pyspark.TaskContext, "get", classmethod(lambda _: SimpleNamespace(partitionId=lambda: 7)))
+    names = [f"/a/{k // 3:05d}" if k % 9 < 3 else f"/b/{k:05d}" for k in range(4000)]
+    contents = [None if k % 500 == 0 else (f"{k} " * 1000).encode()[: 1 + k] for k in range(4000)]
+    contents[77] = b"x" * (3 << 20)
+    b = pa.RecordBatch.from_arrays([pa.array(names), pa.array(contents, pa.binary()), pa.array([None] * 4000, pa.string())], ["name", "content", "error"])
+    out = list(tg.numbered(Rows(), tg.NO_LIMITS)(iter([b])))
+    whole = pa.Table.from_batches(out)
+    kept = [k for k in range(4000) if k == 0 or names[k] != names[k - 1]]
+    assert whole["name"].to_pylist() == [names[k] for k in kept] and whole["content"].to_pylist() == [contents[k] for k in kept]
+    assert whole["local"].to_pylist() == list(range(len(kept))) and set(whole["part"].to_pylist()) == {7}
+    assert [len(g) for g in whole["grams"].to_pylist()] == [len(tg.examined(contents[k], tg.NO_LIMITS)[0]) for k in kept]
+    assert len(out) > 5 and max(o.column("content").nbytes for o in out if o.num_rows > 1) <= 1 << 21
+
+
 A = [("/a/x", "hello world"), ("/a/y", "goodbye world"), ("/b/xx", "now is the time"), ("/b/xy", "for all good men"), ("/c/ab", "give me all the potatoes"), ("/c/de", "or give me death now")]
 B = [("/b/www", "world wide indeed"), ("/b/xx", "no, not now"), ("/b/yy", "first potatoes, now liberty?"), ("/cc", "come to the aid of his potatoes")]
 
