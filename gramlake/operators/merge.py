@@ -64,9 +64,15 @@ def merged_paths(a: DataFrame, b: DataFrame, compat_prefix: bool = False) -> Dat
     return both.join(inner, "path", "left_anti")
 
 
+def hashed(ids: DataFrame) -> DataFrame:
+    """ids for a join with postings or contents: a task hashes its share of the ids, one row a document, and lets the other side
+    pass; a sort-merge join sorts all of its postings, in as much memory as they take."""
+    return ids.hint("shuffle_hash")
+
+
 def merged_postings(old: DataFrame, new: DataFrame, ids: DataFrame) -> DataFrame:
     both = old.select("trigram", F.col("doc_id").alias("old_id"), F.lit("old").alias("src")).unionByName(new.select("trigram", F.col("doc_id").alias("old_id"), F.lit("new").alias("src")))
-    return both.join(ids, ["src", "old_id"]).select("trigram", F.col("new_id").alias("doc_id"))
+    return both.join(hashed(ids), ["src", "old_id"]).select("trigram", F.col("new_id").alias("doc_id"))
 
 
 def check_newer(newer: TrigramIndex, compat_prefix: bool = False) -> None:
@@ -82,7 +88,7 @@ def merged(old: TrigramIndex, new: TrigramIndex, compat_prefix: bool = False) ->
 
     def renumbered(a: DataFrame, b: DataFrame) -> DataFrame:
         both = a.withColumn("src", F.lit("old")).unionByName(b.withColumn("src", F.lit("new"))).withColumnRenamed("doc_id", "old_id")
-        return both.join(ids.select("src", "old_id", F.col("new_id").alias("doc_id")), ["src", "old_id"]).drop("src", "old_id")
+        return both.join(hashed(ids.select("src", "old_id", F.col("new_id").alias("doc_id"))), ["src", "old_id"]).drop("src", "old_id")
 
     skipped = unshadowed(old.skipped, new.paths, compat_prefix)
     return type(old)(

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from .. import storage
 from ..functions.trigrams import Limits
 from ..operators.index import TrigramIndex
+from ..operators.merge import hashed
 from ..operators.postings import with_dense_ids
 
 #: Segments that are compacted into one.
@@ -68,7 +69,7 @@ def compact(spark: SparkSession, root: str) -> None:
         return
     view = latest(spark, root)
     ids = with_dense_ids(view.docs.select("name", F.col("doc_id").alias("old_id")), "name").select("old_id", "doc_id")
-    again = lambda df: df.withColumnRenamed("doc_id", "old_id").join(ids, "old_id").drop("old_id")
+    again = lambda df: df.withColumnRenamed("doc_id", "old_id").join(hashed(ids), "old_id").drop("old_id")
     whole = TrigramIndex(view.paths, again(view.docs), again(view.postings), again(view.contents), view.skipped)
     write_segment(whole, root, batch_of(old[-1]), "whole")
     for p in old:
@@ -93,7 +94,7 @@ def latest(spark: SparkSession, root: str) -> TrigramIndex | None:
             docs, skipped = (df.join(newer, "name", "left_anti") for df in (docs, skipped))
         alive = docs.select("doc_id")
         for name, df in (("postings", ix.postings), ("contents", ix.contents)):
-            df = df if newer is None else df.join(alive, "doc_id", "left_semi")
+            df = df if newer is None else df.join(hashed(alive), "doc_id", "left_semi")
             shown[name].append(df.select(ident, *(c for c in df.columns if c not in ("doc_id", "bucket"))))
         shown["docs"].append(docs.select(ident, *(c for c in docs.columns if c != "doc_id")))
         shown["skipped"].append(skipped.select("name", "reason"))

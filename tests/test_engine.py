@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import time
 from types import SimpleNamespace
 
@@ -147,6 +148,24 @@ def test_merge(spark):
         built(spark, A).merge(built(spark, B, ["/b"]))
 
 
+def test_merging_sorts_no_postings(spark, tmp_path):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        a, b = built(spark, A, ["/a", "/b", "/c"]), built(spark, B, ["/b", "/cc"])
+        ids = merge.id_map(a.docs.where("name not like '/b/%'"), b.docs)
+        plan = merge.merged_postings(a.postings, b.postings, ids)._jdf.queryExecution().executedPlan().toString()
+        top = plan[: plan.index("Generate explode")]
+        assert "ShuffledHashJoin" in top and "Sort " not in top
+        for k, ix in enumerate((a, b)):
+            ingest.write_segment(ix, str(tmp_path), k)
+        shown = latest(spark, str(tmp_path)).postings._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"ShuffledHashJoin \[doc_id#\d+L\], \[doc_id#\d+L\], LeftSemi", shown)
+        assert sorted(map(tuple, a.merge(b).postings.collect())) == sorted(map(tuple, built(spark, [r for r in A if not r[0].startswith("/b/")] + B).postings.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_merge_by_component_or_prefix(spark):
     a, b = built(spark, [("/bb/x", "one")], ["/bb"]), built(spark, [("/b/y", "two")], ["/b"])
     assert a.merge(b).docs.count() == 2
