@@ -182,7 +182,7 @@ class TrigramIndex:
 
     def dictionary(self, end: bool = False) -> DataFrame:
         """(trigram, doc_count, offset) of every list as encoded one after the other."""
-        return list_offsets(self.postings, end)
+        return list_offsets(self.postings, end, in_files=self.stats_table is not None)
 
     def encoded_lists(self) -> DataFrame:
         """(trigram, chunk, bytes): the encoded lists themselves."""

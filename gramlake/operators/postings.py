@@ -6,6 +6,10 @@ whole list (positions, deltas, sums) is carried over from one row for each chunk
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,17 +97,60 @@ def encoded(postings: DataFrame, chunk_bits: int = CHUNK_BITS) -> DataFrame:
     return rows.select("trigram", "chunk", F.unhex(F.concat(head, "h")).alias("bytes"))
 
 
-def list_sizes(postings: DataFrame) -> DataFrame:
-    """(trigram, doc_count, n_bytes) of each encoded list: the trigram, its deltas and the closing zero."""
-    d = deltas(postings)
-    return d.groupBy("trigram").agg((F.count("*") - 1).alias("doc_count"), (F.sum(varint_bytes(F.col("delta"))) + 3).alias("n_bytes"))
-
-
-def list_offsets(postings: DataFrame, end: bool = False) -> DataFrame:
+def list_sizes(postings: DataFrame, chunk_bits: int = CHUNK_BITS) -> DataFrame:
+    """(trigram, doc_count, n_bytes) of each encoded list: the trigram, its deltas and the closing zero. Postings are shuffled and
+    sorted once; what crosses chunks is worked out from one row for each."""
+    p = postings.select("trigram", "doc_id", F.shiftright("doc_id", chunk_bits).alias("chunk"))
+    delta = F.col("doc_id") - F.lag("doc_id").over(Window.partitionBy("trigram", "chunk").orderBy("doc_id"))
+    inner = F.coalesce(F.sum(F.when(F.col("delta").isNotNull(), varint_bytes(F.col("delta")))), F.lit(0)).alias("n_bytes")
+    ends = F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")
+    return _sizes(p.withColumn("delta", delta).groupBy("trigram", "chunk").agg(*ends, inner))
+
+
+def stored_sizes(postings: DataFrame) -> DataFrame:
+    """The same of postings that are read from files, sorted within and apart from one another by (trigram, doc_id), as an index
+    writes them: without a shuffle of postings. A run is what a list holds in one part of a file."""
+    source = F.xxhash64("_metadata.file_path", "_metadata.file_block_start").alias("source")
+    names = ["trigram", "first", "last", "n", "n_bytes"]
+
+    def size(delta: np.ndarray) -> np.ndarray:
+        return 1 + sum((delta >= 1 << k).astype(np.int64) for k in (7, 14, 21, 28))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, kept = None, None  # the last run, which may go on
+        for b in batches:
+            trigram, doc, src = (b.column(c).to_numpy() for c in ("trigram", "doc_id", "source"))
+            if not len(doc):
+                continue
+            start = np.flatnonzero(np.concatenate([[True], (trigram[1:] != trigram[:-1]) | (src[1:] != src[:-1])]))
+            inner = np.concatenate([[0], size(np.diff(doc))])
+            inner[start] = 0
+            runs = np.stack([trigram[start], doc[start], doc[np.append(start[1:], len(doc)) - 1], np.diff(np.append(start, len(doc))), np.add.reduceat(inner, start)]).astype(np.int64)
+            if key == (trigram[0], src[0]):
+                runs[3, 0], runs[4, 0] = runs[3, 0] + kept[3], runs[4, 0] + kept[4] + size(runs[1, 0] - kept[2])
+                runs[1, 0] = kept[1]
+            elif kept is not None:
+                runs = np.concatenate([kept[:, None], runs], axis=1)
+            key, kept = (trigram[-1], src[-1]), runs[:, -1].copy()
+            yield pa.RecordBatch.from_arrays([pa.array(runs[0, :-1].astype(np.int32)), *(pa.array(r[:-1]) for r in runs[1:])], names)
+        if kept is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([int(kept[0])], pa.int32()), *(pa.array([int(v)], pa.int64()) for v in kept[1:])], names)
+
+    return _sizes(postings.select("trigram", "doc_id", source).mapInArrow(run, "trigram int, first long, last long, n long, n_bytes long"))
+
+
+def _sizes(runs: DataFrame) -> DataFrame:
+    """(trigram, doc_count, n_bytes) from runs (trigram, first, last, n, n_bytes) of lists: their ends, length and the bytes within."""
+    before = F.lag("last", 1, -1).over(Window.partitionBy("trigram").orderBy("first", "last"))
+    joined = runs.withColumn("n_bytes", F.col("n_bytes") + varint_bytes(F.col("first") - before))
+    return joined.groupBy("trigram").agg(F.sum("n").alias("doc_count"), (F.sum("n_bytes") + 4).alias("n_bytes"))
+
+
+def list_offsets(postings: DataFrame, end: bool = False, in_files: bool = False) -> DataFrame:
     """(trigram, doc_count, offset): the dictionary, and where each encoded list starts; with `end` its last entry, the end
-    trigram without documents. The dictionary has at most 2^24 rows at any scale; the running sum goes by blocks of the
-    trigram's first byte, so no task holds it all."""
-    sizes = list_sizes(postings)
+    trigram without documents. in_files: postings are read from a stored index. The dictionary has at most 2^24 rows at any scale;
+    it is written, as it is read twice, and the running sum goes by blocks of the trigram's first byte, so no task holds it all."""
+    sizes = written(stored_sizes(postings) if in_files else list_sizes(postings), "sizes")
     if end:
         sizes = sizes.unionByName(postings.sparkSession.createDataFrame([(END_TRIGRAM, 0, 4)], sizes.schema))
     sizes = sizes.withColumn("block", F.shiftright("trigram", 16))

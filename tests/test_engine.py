@@ -261,6 +261,43 @@ def test_lists_in_chunks(spark):
     assert max(len(r.doc_ids) for r in postings.posting_lists(posts, 4).collect()) == 16
 
 
+def exchanged(df):
+    return len(re.findall(r"Exchange (?:hash|range)partitioning", df._jdf.queryExecution().executedPlan().toString()))
+
+
+def test_sizes_of_lists(spark, tmp_path):
+    lists = {7: range(0, 1000, 3), 8: [0, 127, 128, 300, 16700, 3_000_000, 3_000_001, 1 << 29], 9: [5], 0xABCDEF: range(100, 40_000, 200)}
+    posts = spark.createDataFrame([(t, i) for t, own in lists.items() for i in own], "trigram int, doc_id long")
+    want = {}
+    for t, own in lists.items():
+        deltas = [a - b for a, b in zip(own, [-1, *own], strict=False)]
+        want[t] = len(own), 4 + sum(1 + sum(d >= 1 << k for k in (7, 14, 21, 28)) for d in deltas)
+    got = lambda df: {r.trigram: (r.doc_count, r.n_bytes) for r in df.collect()}
+    for bits in (3, 20):
+        assert exchanged(sized := postings.list_sizes(posts, bits)) == 2 and got(sized) == want  # postings once, chunks once
+    posts.repartitionByRange(5, "trigram", "doc_id").sortWithinPartitions("trigram", "doc_id").write.option("parquet.block.size", 1024).parquet(str(tmp_path / "p"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size, rows in ((700, 3), (1 << 30, 10), (1 << 30, 10_000)):  # parts of files, and runs that go on in the next batch
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+            assert got(postings.stored_sizes(spark.read.schema("trigram int, doc_id long").parquet(str(tmp_path / "p")))) == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before[1])
+
+
+def test_dictionary_sizes_are_worked_out_once(spark, tmp_path, monkeypatch):
+    built(spark, A, ["/a", "/b", "/c"]).write(str(tmp_path / "index"))
+    ix = TrigramIndex.open(spark, str(tmp_path / "index"))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    want = rows(postings.list_offsets(ix.postings, end=True))
+    found = ix.dictionary(end=True)
+    assert rows(found) == want and not [f for f in found.inputFiles() if "/postings/" in f]
+    monkeypatch.setattr(postings, "list_sizes", None)  # which shuffles postings
+    assert rows(ix.dictionary(end=True)) == want
+
+
 def test_varints(spark):
     values = [0, 1, 127, 128, 300, 16383, 16384, 2**21, 2**28, 2**32 - 1]
     rows = spark.createDataFrame([(v,) for v in values], "v long").withColumn("b", postings.varint_hex(F.col("v")))
